@@ -121,17 +121,16 @@ def iso8601(spark, d):
 
 
 @query(
-    f"""WITH {FEED}, {LOG}, target_log AS (SELECT max(o_orderdate) + INTERVAL 8220 HOUR AS ingested FROM orders),
-    v AS (SELECT max(version) AS v FROM log, target_log
+    f"""WITH {FEED}, {LOG}, t AS (SELECT max(o_orderdate) + INTERVAL 8204 DAY AS ingested FROM orders),
+    v AS (SELECT max(version) AS v FROM log, t
       WHERE operation IN ('MERGE', 'WRITE', 'UPDATE') AND timestamp <= ingested)
-    SELECT feed.* FROM feed, v WHERE _commit_version >= v"""
+    SELECT feed.* FROM feed, v WHERE v IS NULL OR _commit_version >= v"""
 )
 def incremental_load(spark, d):
-    """Events since the commit nearest before the target's last ingestion, 8220 hours after the last order."""
-    orders = table(spark, d, "orders")
-    target_log = orders.select(
+    """Events since the commit nearest before the target's last ingestion, 8204 days after the last order."""
+    target_log = table(spark, d, "orders").select(
         F.lit(0).alias("version"),
-        (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 8220 HOUR")).alias("timestamp"),
+        (F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 8204 DAY")).alias("timestamp"),
         F.lit("WRITE").alias("operation"),
     )
     log = versions.data_history(commit_log(spark, d))
@@ -144,8 +143,8 @@ def incremental_load(spark, d):
     return loaded["u"]["dataframe"]
 
 
-# Two snapshots of the customers: before 2000 those that ordered, afterwards all,
-# with the balance of the households raised.
+# Two snapshots of the customers: first those with a positive balance, then those
+# outside one nation, with the balance of the households raised.
 _BEFORE = "SELECT * FROM customer WHERE c_acctbal > 0"
 _AFTER = """SELECT c_custkey, c_name, c_nationkey,
   CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal, c_mktsegment

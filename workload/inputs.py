@@ -154,45 +154,34 @@ s AS (
 
 
 # -- lineage edges ------------------------------------------------------------
-# Every order is one run that reads its customer's table and writes the table of
-# its status; the notebook is the priority, the job the customer's nation.
+# Every order is one run: an open one writes a gold report from its segment's
+# table, any other one its segment's table from its nation's; an urgent one
+# rewrites what it reads. The notebook is the priority, the job the nation.
+
+_SEGMENT_TABLE = "concat('silver.orders.', lower(c_mktsegment))"
+_READ = f"CASE WHEN o_orderstatus = 'O' THEN {_SEGMENT_TABLE} ELSE concat('bronze.nation.n', c_nationkey) END"
+_WRITTEN = f"""CASE WHEN o_orderpriority = '1-URGENT' THEN {_READ}
+  WHEN o_orderstatus = 'O' THEN concat('gold.report.p', substr(o_orderpriority, 1, 1)) ELSE {_SEGMENT_TABLE} END"""
+_METADATA = """CASE WHEN o_orderstatus = 'P' THEN 'not json'
+  ELSE concat('{"notebook_id": "', substr(o_orderpriority, 1, 1), '", "job_info": {"job_id": "', c_nationkey, '"}}') END"""
 
 
 def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    runs = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    return runs.select(
+    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("entity_run_id"),
-        F.concat(F.lit("bronze.nation.n"), F.col("c_nationkey")).alias("source_table_full_name"),
-        F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("bronze.nation.n"), F.col("c_nationkey")))
-        .otherwise(F.concat(F.lit("silver.orders."), F.lower("c_mktsegment")))
-        .alias("target_table_full_name"),
-        F.when(F.col("o_orderstatus") == "P", F.lit("not json"))
-        .otherwise(
-            F.concat(
-                F.lit('{"notebook_id": "'),
-                F.substring("o_orderpriority", 1, 1),
-                F.lit('", "job_info": {"job_id": "'),
-                F.col("c_nationkey"),
-                F.lit('"}}'),
-            )
-        )
-        .alias("entity_metadata"),
+        F.expr(_READ).alias("source_table_full_name"),
+        F.expr(_WRITTEN).alias("target_table_full_name"),
+        F.expr(_METADATA).alias("entity_metadata"),
         F.col("o_orderdate").alias("event_time"),
     )
 
 
-EDGES = """
+EDGES = f"""
 edges AS (
-  SELECT o_orderkey AS entity_run_id,
-         'bronze.nation.n' || c_nationkey AS source_table_full_name,
-         CASE WHEN o_orderpriority = '1-URGENT' THEN 'bronze.nation.n' || c_nationkey
-              ELSE 'silver.orders.' || lower(c_mktsegment) END AS target_table_full_name,
-         CASE WHEN o_orderstatus = 'P' THEN 'not json'
-              ELSE '{"notebook_id": "' || substr(o_orderpriority, 1, 1) || '", "job_info": {"job_id": "' || c_nationkey || '"}}'
-         END AS entity_metadata,
-         o_orderdate AS event_time
+  SELECT o_orderkey AS entity_run_id, {_READ} AS source_table_full_name, {_WRITTEN} AS target_table_full_name,
+         {_METADATA} AS entity_metadata, o_orderdate AS event_time
   FROM orders JOIN customer ON o_custkey = c_custkey
 )
 """
