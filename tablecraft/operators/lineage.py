@@ -58,7 +58,11 @@ def lineage_entities(edges: DataFrame, jobs: DataFrame, tasks: DataFrame) -> Dat
     notebook_path, task_key``. Edges without notebook or job, or with broken
     metadata, count for nothing. Unknown names fall back to the identifiers.
     """
-    parsed = edges.select(SOURCE, TARGET, F.from_json("entity_metadata", METADATA_SCHEMA).alias("m")).select(
+    # Runs repeat the same edge: group first, parse each distinct metadata once.
+    # The count inside the parsed text keeps the parsing above the grouping.
+    grouped = edges.groupBy(SOURCE, TARGET, "entity_metadata").agg(F.count(F.lit(1)).alias("n"))
+    metadata = F.from_json(F.when(F.col("n") > 0, F.col("entity_metadata")), METADATA_SCHEMA)
+    parsed = grouped.select(SOURCE, TARGET, metadata.alias("m")).select(
         SOURCE, TARGET, F.col("m.notebook_id").alias("notebook_id"), F.col("m.job_info.job_id").alias("job_id")
     )
     used = parsed.where((F.col("notebook_id") != "") & (F.col("job_id") != ""))

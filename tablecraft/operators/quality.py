@@ -14,6 +14,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from tablecraft.functions.change import any_of
 from tablecraft.operators.skew import skew_join
 
 ERRORS = "_errors"
@@ -71,55 +72,62 @@ UNIQUE = "unique_combination_of_columns"
 DATASET_CHECKS = ("row_count_between", "expect_schema")
 
 
-def annotate(df: DataFrame, checks: Iterable[Check]) -> DataFrame:
-    """Add ``_errors`` and ``_warnings``: the names of the checks a row fails.
+def _evaluate(df: DataFrame, checks: Iterable[Check]) -> tuple[DataFrame, list[tuple[Check, Column]], list[str]]:
+    """The rows with helper columns, whether each check fails on a row, and the helpers' names.
 
     Uniqueness needs the number of rows per key; only repeated keys are counted
     out and joined back, with large keys spread over tasks.
     """
-    checks = [c for c in checks if c.function not in DATASET_CHECKS]
-    failed: dict[str, list[Column]] = {"error": [], "warn": []}
-    helpers = []
-    for i, check in enumerate(checks):
+    failed, helpers = [], []
+    for i, check in enumerate(c for c in checks if c.function not in DATASET_CHECKS):
         if check.function == UNIQUE:
             keys, repeated = list(check.arguments["columns"]), f"__repeated_{i}"
             counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
             df = skew_join(df, counted.select(*keys, F.lit(True).alias(repeated)), keys, null_safe=True)
             helpers.append(repeated)
-            ok = F.col(repeated).isNull()
+            failed.append((check, F.col(repeated).isNotNull()))
         elif check.function in ROW_CHECKS:
-            ok = ROW_CHECKS[check.function](**check.arguments)
+            failed.append((check, ~ROW_CHECKS[check.function](**check.arguments)))
         else:
             raise ValueError(f"unknown check function: {check.function}")
-        failed[check.criticality].append(F.when(~ok, F.lit(check.name)))
+    return df, failed, helpers
+
+
+def _named(rows: DataFrame, failed: Sequence[tuple[Check, Column]]) -> DataFrame:
+    def names(criticality: str) -> Column:
+        found = [F.when(bad, F.lit(c.name)) for c, bad in failed if c.criticality == criticality]
+        return (F.array_compact(F.array(*found)) if found else F.array()).cast("array<string>")
+
+    return rows.withColumns({ERRORS: names("error"), WARNINGS: names("warn")})
 
-    def names(columns: Sequence[Column]) -> Column:
-        found = F.array_compact(F.array(*columns)) if columns else F.array()
-        return found.cast("array<string>")
 
-    return df.withColumns({ERRORS: names(failed["error"]), WARNINGS: names(failed["warn"])}).drop(*helpers)
+def annotate(df: DataFrame, checks: Iterable[Check]) -> DataFrame:
+    """Add ``_errors`` and ``_warnings``: the names of the checks a row fails."""
+    rows, failed, helpers = _evaluate(df, checks)
+    return _named(rows, failed).drop(*helpers)
 
 
 def split(df: DataFrame, checks: Iterable[Check]) -> tuple[DataFrame, DataFrame]:
     """Valid rows (no error) and quarantined rows (any failed check, with the reasons)."""
-    rows = annotate(df, checks)
-    valid = rows.where(F.size(ERRORS) == 0).drop(ERRORS, WARNINGS)
-    quarantine = rows.where((F.size(ERRORS) > 0) | (F.size(WARNINGS) > 0))
-    return valid, quarantine
+    rows, failed, helpers = _evaluate(df, checks)
+    valid = rows.where(~any_of(bad for c, bad in failed if c.criticality == "error"))
+    quarantine = _named(rows.where(any_of(bad for _, bad in failed)), failed)
+    return valid.drop(*helpers), quarantine.drop(*helpers)
 
 
 def violations(df: DataFrame, checks: Iterable[Check]) -> DataFrame:
-    """Failures per check and criticality."""
-    rows = annotate(df, checks)
-    tagged = F.concat(
-        F.transform(ERRORS, lambda n: F.struct(n.alias("check"), F.lit("error").alias("criticality"))),
-        F.transform(WARNINGS, lambda n: F.struct(n.alias("check"), F.lit("warn").alias("criticality"))),
-    )
-    return (
-        rows.select(F.explode(tagged).alias("v"))
-        .groupBy("v.check", "v.criticality")
-        .agg(F.count(F.lit(1)).alias("failures"))
-    )
+    """Failures per check and criticality, counted in one aggregation; checks without a failure are left out."""
+    rows, failed, _ = _evaluate(df, checks)
+    if not failed:
+        raise ValueError("no row checks given")
+    counts = rows.agg(*[F.count_if(bad).alias(f"n{i}") for i, (_, bad) in enumerate(failed)])
+    entries = [
+        F.struct(
+            F.lit(c.name).alias("check"), F.lit(c.criticality).alias("criticality"), F.col(f"n{i}").alias("failures")
+        )
+        for i, (c, _) in enumerate(failed)
+    ]
+    return counts.select(F.explode(F.array(*entries)).alias("v")).select("v.*").where(F.col("failures") > 0)
 
 
 def row_count_check(df: DataFrame, min: int, max: int, name: str = "row_count_between") -> DataFrame:
