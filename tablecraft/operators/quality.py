@@ -147,7 +147,7 @@ def schema_problems(df: DataFrame, columns: Mapping[str, str]) -> list[str]:
         if column not in found:
             problems.append(f"{column} is missing")
         elif found[column] != wanted:
-            problems.append(f"{column} is {found[column]}, expected {wanted}")
+            problems.append(f"{column} is {found[column]}, expected {expected}")
     return problems
 
 

@@ -155,7 +155,7 @@ def carry(
         .orderBy(F.col(_SEGMENT).desc() if forward else F.col(_SEGMENT).asc())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    key_names = [f"__key_{i}" for i in range(len(keys))]
+    key_names = [f"__carried_key_{i}" for i in range(len(keys))]
     carried = per_segment.select(
         *[F.col(k).alias(n) for k, n in zip(keys, key_names)],
         F.col(_SEGMENT).alias("__segment_of"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from enum import Enum
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,23 +53,26 @@ def create_table(
 def overwrite(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
     """Replace a table and its schema, also when ``df`` reads that table.
 
-    The new rows are written beside the table first and take its name once
-    complete; the old rows stay until then.
+    Spark refuses to overwrite a table it is reading. The new rows then go to a
+    table beside it first, so they are complete before the old ones go.
     """
     spark = df.sparkSession
-    staged, old = f"{name}__staged", f"{name}__old"
-    spark.sql(f"DROP TABLE IF EXISTS {staged}")
-    writer = df.write.format("parquet")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.saveAsTable(staged)
-    existed = spark.catalog.tableExists(name)
-    if existed:
-        spark.sql(f"DROP TABLE IF EXISTS {old}")
-        spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
-    spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
-    if existed:
-        spark.sql(f"DROP TABLE {old}")
+
+    def replace(rows: DataFrame) -> None:
+        writer = rows.write.format("parquet").mode("overwrite")
+        if partition_by:
+            writer = writer.partitionBy(*partition_by)
+        writer.saveAsTable(name)
+
+    try:
+        replace(df)
+    except AnalysisException as error:
+        if not (error.getCondition() or "").startswith("UNSUPPORTED_OVERWRITE"):
+            raise
+        staged = f"{name}__staged"
+        df.write.format("parquet").mode("overwrite").saveAsTable(staged)
+        replace(spark.table(staged))
+        spark.sql(f"DROP TABLE {staged}")
 
 
 def append_rows(existing: DataFrame, new: DataFrame) -> DataFrame:
