@@ -37,6 +37,8 @@ EMOJI_BASE = (
     r"\x{1F004}\x{1F0CF}\x{1F18E}\x{1F191}-\x{1F19A}\x{2B05}-\x{2B07}\x{2B1B}\x{2B1C}"
     r"\x{2B50}\x{2B55}\x{231A}\x{231B}\x{23E9}-\x{23F3}\x{23F8}-\x{23FA}]"
 )
+# Every emoji has at least one character of this class.
+EMOJI_HINT = r"[\x{20E3}\x{231A}-\x{2BFF}\x{1F000}-\x{1FAFF}]"
 EMOJI_MODIFIER = r"[\x{FE0F}\x{1F3FB}-\x{1F3FF}]*"
 EMOJI = (
     r"[0-9#*]\x{FE0F}?\x{20E3}|[\x{1F1E6}-\x{1F1FF}]{2}|"
@@ -128,16 +130,25 @@ def context_text(variables: Column, metadata: Column) -> Column:
 
 
 def emoji_score(c: Column) -> Column:
-    """``value`` yes without emojis, else no; ``rationale`` lists up to ten distinct ones in code-point order."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(EMOJI), F.lit(0))
-    listed = F.slice(F.array_sort(F.array_distinct(found)), 1, MAX_LISTED_EMOJIS)
-    none = F.size(found) == 0
-    return F.struct(
-        F.when(none, "yes").otherwise("no").alias("value"),
-        F.when(none, "No emojis detected in the response.")
-        .otherwise(F.concat(F.lit("Emojis detected: ['"), F.array_join(listed, "', '"), F.lit("']")))
-        .alias("rationale"),
-    )
+    """``value`` yes without emojis, else no; ``rationale`` lists up to ten distinct ones in code-point order.
+
+    One scan for a single character class decides for most texts; only the
+    others are searched for whole emojis, once.
+    """
+
+    def judged(found: Column) -> Column:
+        listed = F.slice(F.array_sort(F.array_distinct(found)), 1, MAX_LISTED_EMOJIS)
+        return F.when(
+            F.size(found) > 0,
+            F.struct(
+                F.lit("no").alias("value"),
+                F.concat(F.lit("Emojis detected: ['"), F.array_join(listed, "', '"), F.lit("']")).alias("rationale"),
+            ),
+        )
+
+    found = F.when(c.rlike(EMOJI_HINT), F.regexp_extract_all(c, F.lit(EMOJI), F.lit(0)))
+    none = F.struct(F.lit("yes").alias("value"), F.lit("No emojis detected in the response.").alias("rationale"))
+    return F.coalesce(F.element_at(F.transform(F.array(found), judged), 1), none)
 
 
 def evaluation_input(prompt: Column) -> Column:

@@ -31,6 +31,15 @@ def read_csv(spark: SparkSession, path: str, schema: str, header: bool = True) -
     return spark.read.csv(path, schema=schema, header=header, mode="FAILFAST")
 
 
+def _laid_out(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Gather the rows of a partition value, in files of even size.
+
+    Rebalancing splits a large value over several tasks and joins small ones,
+    which a plain repartition by the value would not.
+    """
+    return df.hint("rebalance", *partition_by) if partition_by else df
+
+
 def create_table(
     spark: SparkSession,
     name: str,
@@ -59,7 +68,7 @@ def overwrite(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> Non
     spark = df.sparkSession
 
     def replace(rows: DataFrame) -> None:
-        writer = rows.write.format("parquet").mode("overwrite")
+        writer = _laid_out(rows, partition_by).write.format("parquet").mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.saveAsTable(name)
@@ -96,7 +105,7 @@ def append(df: DataFrame, name: str, partition_by: Sequence[str] = (), merge_sch
     aligned = df.withColumns(
         {f.name: F.lit(None).cast(f.dataType) for f in table.schema.fields if f.name not in df.columns}
     )
-    aligned.select(*table.columns).write.insertInto(name)
+    _laid_out(aligned.select(*table.columns), partition_by).write.insertInto(name)
 
 
 def write(

@@ -208,7 +208,7 @@ def dedupe_none(spark, d):
     return dedupe(table(spark, d, "lineitem"), _KEY, False)
 
 
-@query(_ranked("l_shipdate DESC, " + ", ".join(f"{c} DESC" for c in _REST)))
+@query(_ranked("l_shipdate DESC, " + ", ".join(f"{c} DESC" for c in _REST)), name="dedupe_latest")
 def dedupe_latest_shipment(spark, d):
     return dedupe_latest(table(spark, d, "lineitem"), _KEY, "l_shipdate", _REST)
 
