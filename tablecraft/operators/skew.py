@@ -25,6 +25,11 @@ from pyspark.sql import types as T
 MAX_GROUP_ROWS_CONF = "tablecraft.maxGroupRows"
 DEFAULT_MAX_GROUP_ROWS = 2_000_000
 
+# Limits of the sketch: counters Spark allows, counters of a small one, groups that merge larger ones.
+MAX_COUNTERS = 1_000_000
+SMALL_SKETCH = 4096
+SKETCH_GROUPS = 64
+
 _SEGMENT = "__segment"
 LEFT_SALT = "__left_salt"
 RIGHT_SALT = "__right_salt"
@@ -48,14 +53,29 @@ def heavy_keys(df: DataFrame, keys: Sequence[str]) -> dict[int, int]:
     """Hashes of the keys with more rows than one task may hold, and how many rows they have.
 
     A sketch of m counters errs by at most 3.5 / m of all rows, here less than a
-    quarter of an average partition.
+    quarter of an average partition. Small sketches meet in one task. Larger
+    ones, which a large cluster needs, meet in groups of tasks; each group names
+    four times as many keys as there are partitions, so a key it leaves out has
+    at most a quarter of an average partition there as well.
     """
     partitions = _shuffle_partitions(df.sparkSession)
-    counters = min(max(1024, 16 * partitions), 1_000_000)
-    top = F.expr(f"approx_top_k(h, {min(partitions, counters)}, {counters})")
-    found = df.select(key_hash(keys).alias("h")).agg(top.alias("top")).first()["top"]
-    limit = max_group_rows(df.sparkSession)
-    return {item["item"]: item["count"] for item in found if item["count"] > limit}
+    counters = min(16 * partitions, MAX_COUNTERS)
+    hashed = df.select(key_hash(keys).alias("h"))
+    if counters <= SMALL_SKETCH:
+        grouped = hashed.groupBy()
+    else:
+        grouped = hashed.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS))).groupBy("g")
+    named = min(4 * partitions, counters)
+    top = grouped.agg(F.expr(f"approx_top_k(h, {named}, {max(counters, 1024)})").alias("top"))
+    found = (
+        top.select(F.explode("top").alias("t"))
+        .groupBy("t.item")
+        .agg(F.sum("t.count").alias("n"))
+        .where(F.col("n") > max_group_rows(df.sparkSession))
+        .orderBy(F.col("n").desc(), "item")
+        .limit(partitions)
+    )
+    return {row["item"]: row["n"] for row in found.collect()}
 
 
 def _pieces(spark: SparkSession, n: int) -> int:

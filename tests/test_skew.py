@@ -32,6 +32,24 @@ def test_heavy_keys_are_bounded_by_the_partitions(spark, skewed):
     assert heavy_keys(skewed, ["k"]) == {}
 
 
+@pytest.mark.parametrize("partitions", ["4", "500"])
+def test_heavy_keys_on_clusters_of_any_size(spark, partitions):
+    spark.conf.set(MAX_GROUP_ROWS_CONF, "300")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        df = spark.range(0, 20000, 1, 16).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 40).alias("k"))
+        found = heavy_keys(df, ["k"])
+        sizes = {r["h"]: r["count"] for r in df.groupBy(F.xxhash64("k").alias("h")).count().collect()}
+        largest = max(sizes, key=sizes.get)
+        assert found[largest] == sizes[largest]
+        assert set(found) <= set(sizes) and len(found) == min(len(sizes), int(partitions))
+        assert heavy_keys(df.limit(0), ["k"]) == {}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset(MAX_GROUP_ROWS_CONF)
+
+
 @pytest.mark.parametrize("forward", [False, True])
 @pytest.mark.parametrize("include_current", [False, True])
 def test_carry_equals_a_plain_window(spark, skewed, group_size, forward, include_current):
