@@ -40,14 +40,15 @@ EMOJI_BASE = (
 # Every emoji has at least one character of this class.
 EMOJI_HINT = r"[\x{20E3}\x{231A}-\x{2BFF}\x{1F000}-\x{1FAFF}]"
 EMOJI_MODIFIER = r"[\x{FE0F}\x{1F3FB}-\x{1F3FF}]*"
+# The first group lets a search pass over other characters quickly.
 EMOJI = (
-    r"[0-9#*]\x{FE0F}?\x{20E3}|[\x{1F1E6}-\x{1F1FF}]{2}|"
+    r"(?=[#*0-9\x{231A}-\x{1FAFF}])(?:[0-9#*]\x{FE0F}?\x{20E3}|[\x{1F1E6}-\x{1F1FF}]{2}|"
     + EMOJI_BASE
     + EMOJI_MODIFIER
     + r"(?:\x{200D}"
     + EMOJI_BASE
     + EMOJI_MODIFIER
-    + r")*"
+    + r")*)"
 )
 
 

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablecraft.operators.skew import skew_join
-
 # Edge columns, metadata layout, size of a recent-lineage report.
 SOURCE = "source_table_full_name"
 TARGET = "target_table_full_name"
@@ -78,9 +76,10 @@ def lineage_entities(edges: DataFrame, jobs: DataFrame, tasks: DataFrame) -> Dat
         .select("u.*", "notebook_id", "job_id")
         .distinct()
     )
-    named = skew_join(uses, jobs.select("job_id", "job_name"), ["job_id"])
-    placed = skew_join(
-        named, tasks.select("job_id", "notebook_id", "notebook_path", "task_key"), ["job_id", "notebook_id"]
+    # What is left has the size of the catalog, not of its history of runs.
+    named = uses.join(jobs.select("job_id", "job_name"), "job_id", "left")
+    placed = named.join(
+        tasks.select("job_id", "notebook_id", "notebook_path", "task_key"), ["job_id", "notebook_id"], "left"
     )
     fallback = F.concat(F.lit("notebook_id:"), F.col("notebook_id"))
     return placed.select(

@@ -17,8 +17,10 @@ from workload.registry import query
 _CUTS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
 
 
-def _deliveries(spark, d):
-    feed = change_feed(spark, d)
+def _deliveries(spark, d, root):
+    """The feed, written once and then cut into its deliveries."""
+    change_feed(spark, d).write.parquet(f"{root}/source")
+    feed = spark.read.parquet(f"{root}/source")
     first, second = F.lit(_CUTS[0]).cast("timestamp"), F.lit(_CUTS[1]).cast("timestamp")
     at = F.col("_commit_timestamp")
     return feed.schema, [feed.where(at < first), feed.where((at >= first) & (at < second)), feed.where(at >= second)]
@@ -30,7 +32,7 @@ def _deliveries(spark, d):
 )
 def stream_scd2(spark, d):
     root = working_dir(spark, "stream-scd2")
-    schema, deliveries = _deliveries(spark, d)
+    schema, deliveries = _deliveries(spark, d, root)
     folder = HistoryFolder(spark, f"{root}/history", history_schema(schema))
     batches = []
     for i, delivery in enumerate(deliveries):
@@ -44,7 +46,7 @@ def stream_scd2(spark, d):
 def stream_feed(spark, d):
     """Deliveries consumed once each: what the later runs of the same query took in."""
     root = working_dir(spark, "stream-feed")
-    schema, deliveries = _deliveries(spark, d)
+    schema, deliveries = _deliveries(spark, d, root)
     for i, delivery in enumerate(deliveries):
         delivery.write.parquet(f"{root}/feed/delivery={i}")
         stream = feed_stream(spark, f"{root}/feed/*", schema)
