@@ -32,11 +32,13 @@ BACKFILL_TIMESTAMP = "1900-01-01 00:00:00"
 
 
 def all_of(terms: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a & b, terms, F.lit(True))
+    terms = list(terms)
+    return reduce(lambda a, b: a & b, terms) if terms else F.lit(True)
 
 
 def any_of(terms: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, terms, F.lit(False))
+    terms = list(terms)
+    return reduce(lambda a, b: a | b, terms) if terms else F.lit(False)
 
 
 def differs(columns: Sequence[str]) -> Column:

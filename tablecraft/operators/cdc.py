@@ -22,9 +22,11 @@ from tablecraft.functions.change import (
     START_DATE,
     UPDATE_POSTIMAGE,
     UPDATE_PREIMAGE,
+    all_of,
 )
 from tablecraft.functions.time import instant
 from tablecraft.operators.dedupe import top_row
+from tablecraft.operators.sizing import is_small
 from tablecraft.operators.skew import carry
 
 _RANK = "__rank"
@@ -132,8 +134,9 @@ def merge_history(
     and version, so a replay of any part of the feed changes nothing.
 
     Target rows and feed events are put on one timeline per key, hence a single
-    shuffle on the keys. Closed rows older than the feed cannot be affected and
-    bypass it; ``from_version`` is the feed's first version, looked up if absent.
+    shuffle on the keys. Closed rows older than the feed and, for a feed of few
+    keys, rows of other keys cannot be affected and bypass it. ``from_version``
+    is the feed's first version, looked up if absent.
     """
     if from_version is None:
         from_version = feed.agg(F.min(COMMIT_VERSION)).first()[0]
@@ -151,7 +154,21 @@ def apply_feed(
     *,
     tie_break: Sequence[str] = (),
 ) -> DataFrame:
-    """The part of :func:`merge_history` that looks at the affected target rows only."""
+    """The part of :func:`merge_history` that looks at the affected target rows only.
+
+    When the feed has few keys, target rows of other keys stay where they are.
+    """
+    key_names = [f"__feed_{k}" for k in keys]
+    feed_keys = feed.select(*[F.col(k).alias(n) for k, n in zip(keys, key_names)]).distinct()
+    if not is_small(feed_keys):
+        return _timeline(feed, touched, keys, tie_break)
+    match = all_of(F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, key_names))
+    known = F.broadcast(feed_keys)
+    changed = _timeline(feed, touched.join(known, match, "left_semi"), keys, tie_break)
+    return touched.join(known, match, "left_anti").unionByName(changed, allowMissingColumns=True)
+
+
+def _timeline(feed: DataFrame, touched: DataFrame, keys: Sequence[str], tie_break: Sequence[str]) -> DataFrame:
     events = _as_history(feed).withColumn(_FROM_TARGET, F.lit(0))
     existing = touched.withColumns({_RANK: F.lit(3), _FROM_TARGET: F.lit(1)})
     timeline = existing.unionByName(events, allowMissingColumns=True)
@@ -221,10 +238,7 @@ def snapshot_changes(
 
     old = packed(before.withColumns(missing) if missing else before, "b")
     new = packed(after, "a")
-    match = None
-    for n in key_names:
-        term = F.col(f"b{n}").eqNullSafe(F.col(f"a{n}"))
-        match = term if match is None else match & term
+    match = all_of(F.col(f"b{n}").eqNullSafe(F.col(f"a{n}")) for n in key_names)
     gone, fresh = F.col("a").isNull(), F.col("b").isNull()
 
     def event(kind: str, row: str) -> Column:

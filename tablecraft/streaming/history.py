@@ -1,12 +1,12 @@
 """Change feeds as streams, applied to a history continuously.
 
-The history is kept as two kinds of Parquet folders below one root:
+The history is kept below one root, one Parquet folder per micro-batch:
 
-``closed/batch=<n>``  rows closed by batch n, never touched again
-``active/batch=<n>``  all active rows after batch n
+``batch=<n>/is_active_record=false``  rows closed by batch n, never touched again
+``batch=<n>/is_active_record=true``   all active rows after batch n
 
 A micro-batch reads the active rows of the batch before it, plus closed rows
-recent enough to be replayed, and writes both folders of its own. So its cost
+recent enough to be replayed, and writes its own folder in one job. So its cost
 follows the active rows and the batch, not the length of the history, and a
 repeated batch overwrites its own output with the same rows.
 """
@@ -45,18 +45,14 @@ class HistoryFolder:
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
 
-    def _part(self, kind: str, batch: int) -> str:
-        return f"{self.root}/{kind}/batch={batch}"
+    def _rows(self) -> DataFrame:
+        schema = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
+        return self.spark.read.schema(schema).parquet(self.root)
 
     def _closed_before(self, batch: int) -> DataFrame:
-        schema = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
-        try:
-            rows = self.spark.read.schema(schema).parquet(f"{self.root}/closed")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
+        if batch <= 0:
             return self.empty()
-        return rows.where(F.col("batch") < batch).drop("batch")
+        return self._rows().where(~F.col(IS_ACTIVE) & (F.col("batch") < batch)).select(*self.schema.names)
 
     def empty(self) -> DataFrame:
         return self.spark.createDataFrame([], self.schema)
@@ -65,33 +61,30 @@ class HistoryFolder:
         """Active rows after a batch; none before the first."""
         if batch < 0:
             return self.empty()
-        return self.spark.read.schema(self.schema).parquet(self._part("active", batch))
+        return self._rows().where(F.col(IS_ACTIVE) & (F.col("batch") == batch)).select(*self.schema.names)
 
     def history(self, batch: int) -> DataFrame:
         """The whole history after a batch."""
         return self._closed_before(batch + 1).unionByName(self.active(batch))
 
     def apply(self, feed: DataFrame, batch: int, keys: Sequence[str], tie_break: Sequence[str] = ()) -> None:
-        """Apply one micro-batch of feed events and write its folders."""
+        """Apply one micro-batch of feed events and write its folder."""
         first = feed.agg(F.min(COMMIT_VERSION)).first()[0]
-        active = self.active(batch - 1)
-        if first is None:
-            self._write(active, "active", batch)
-            return
-        stored = self._closed_before(batch).where(F.col(BRONZE_VERSION) >= first)
-        known = active.withColumn("stored_before", F.lit(False)).unionByName(
-            stored.withColumn("stored_before", F.lit(True))
+        rows = self.active(batch - 1)
+        if first is not None:
+            stored = self._closed_before(batch).where(F.col(BRONZE_VERSION) >= first)
+            known = rows.withColumn("stored_before", F.lit(False)).unionByName(
+                stored.withColumn("stored_before", F.lit(True))
+            )
+            changed = apply_feed(feed, known, keys, tie_break=tie_break)
+            rows = changed.where(~F.coalesce("stored_before", F.lit(False)))
+        (
+            rows.select(*self.schema.names)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "static")
+            .partitionBy(IS_ACTIVE)
+            .parquet(f"{self.root}/batch={batch}")
         )
-        changed = apply_feed(feed, known, keys, tie_break=tie_break)
-        rows = changed.where(~F.coalesce("stored_before", F.lit(False))).persist()
-        try:
-            self._write(rows.where(~F.col(IS_ACTIVE)), "closed", batch)
-            self._write(rows.where(F.col(IS_ACTIVE)), "active", batch)
-        finally:
-            rows.unpersist()
-
-    def _write(self, df: DataFrame, kind: str, batch: int) -> None:
-        df.select(*self.schema.names).write.mode("overwrite").parquet(self._part(kind, batch))
 
 
 def maintain_history(

@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tablecraft.operators.merge import SMALL_SOURCE_ROWS_CONF  # noqa: E402
+from tablecraft.operators.sizing import SMALL_SOURCE_ROWS_CONF  # noqa: E402
 from tablecraft.operators.skew import MAX_GROUP_ROWS_CONF  # noqa: E402
 from tablecraft.session import build_session  # noqa: E402
 

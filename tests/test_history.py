@@ -104,7 +104,7 @@ CASES = {
 
 
 @pytest.mark.parametrize("case", CASES)
-def test_merge_history_golden(spark, group_size, case):
+def test_merge_history_golden(spark, group_size, source_size, case):
     start, events, expected = CASES[case]
     merged = cdc.merge_history(feed_of(spark, events), history_of(spark, start), ["user_id"])
     same(merged, history_of(spark, expected))
@@ -160,6 +160,12 @@ def test_new_feed_columns_are_added(spark):
     assert "email" in merged.columns and merged.count() == 3
 
 
+def test_rows_of_other_keys_are_not_shuffled(spark):
+    merged = cdc.merge_history(feed_of(spark, TWO_UPDATES), history_of(spark, START), ["user_id"])
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan and "SortMergeJoin" not in plan
+
+
 def test_history_rows_golden(spark, group_size):
     found = cdc.history_rows(feed_of(spark, TWO_UPDATES), ["user_id"])
     assert found.columns == [

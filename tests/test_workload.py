@@ -11,7 +11,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from tablecraft.operators.merge import SMALL_SOURCE_ROWS_CONF
+from tablecraft.operators.sizing import SMALL_SOURCE_ROWS_CONF
 from tablecraft.operators.skew import MAX_GROUP_ROWS_CONF
 
 SF_DIR = "/root/testdata/sf0.001"

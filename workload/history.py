@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tablecraft.functions.time import iso8601_utc
 from tablecraft.operators import cdc, versions
 from tablecraft.sources import feed as feeds
-from workload.inputs import AS_OF, FEED, HISTORY, LOG, SECOND_LOAD, change_feed, commit_log, table
+from workload.inputs import AS_OF, FEED, HISTORY, LOG, SECOND_LOAD, change_feed, commit_log, stored, table
 from workload.registry import query
 
 _HISTORY_COLUMNS = (
@@ -51,11 +51,11 @@ def bulk_load_stamped(spark, d):
 )
 def feed_since_target(spark, d):
     """The feed a target still needs, from the highest version it holds."""
-    feed = change_feed(spark, d)
+    feed = stored(change_feed(spark, d), "feed")
     config = {"u": {"table_name": "users", "target_table_name": "users_history", "read_cdc": True}}
     loaded = feeds.load_targets(
         config,
-        read=lambda name: cdc.history_rows(feed.where(F.col("_commit_timestamp") < F.lit(SECOND_LOAD)), ["user_id"]),
+        read=lambda name: _first_load(feed),
         read_feed=lambda name: feed,
         read_log=lambda name: commit_log(spark, d),
     )
@@ -82,26 +82,27 @@ def cdc_to_scd(spark, d):
     return cdc.history_rows(change_feed(spark, d), ["user_id"])
 
 
-def _two_loads(spark, d):
-    """History after the first load, and the feed of the second, which re-reads the last commit."""
-    feed = change_feed(spark, d)
-    at = F.lit(SECOND_LOAD).cast("timestamp")
-    target = cdc.history_rows(feed.where(F.col("_commit_timestamp") < at), ["user_id"])
-    start = versions.scalar(versions.max_commit_version(target))
-    return target, feeds.from_version(feed, start), start
+def _first_load(feed):
+    """The history table after the first load, partitioned like a table that is kept up to date."""
+    first = feed.where(F.col("_commit_timestamp") < F.lit(SECOND_LOAD).cast("timestamp"))
+    return stored(cdc.history_rows(first, ["user_id"]), "history", ("is_active_record",))
 
 
 @query(f"WITH {HISTORY} SELECT {_HISTORY_COLUMNS} FROM history")
 def scd2_merge(spark, d):
-    target, feed, start = _two_loads(spark, d)
-    return cdc.merge_history(feed, target, ["user_id"], from_version=start)
+    """The second load re-reads the last commit of the first one."""
+    feed = stored(change_feed(spark, d), "feed")
+    target = _first_load(feed)
+    start = versions.scalar(versions.max_commit_version(target))
+    return cdc.merge_history(feeds.from_version(feed, start), target, ["user_id"], from_version=start)
 
 
 @query(f"WITH {HISTORY} SELECT {_HISTORY_COLUMNS} FROM history")
 def scd2_replay(spark, d):
     """The whole feed once more on a complete history changes nothing."""
-    feed = change_feed(spark, d)
-    return cdc.merge_history(feed, cdc.history_rows(feed, ["user_id"]), ["user_id"])
+    feed = stored(change_feed(spark, d), "feed")
+    history = stored(cdc.history_rows(feed, ["user_id"]), "history", ("is_active_record",))
+    return cdc.merge_history(feed, history, ["user_id"])
 
 
 @query(
@@ -170,11 +171,11 @@ def snapshot_diff(spark, d):
 @query(
     f"""WITH {FEED}, r AS (
       SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY _commit_version DESC) AS rn
-      FROM feed WHERE _change_type <> 'update_preimage' AND _commit_version <= 6000)
+      FROM feed WHERE _change_type <> 'update_preimage' AND _commit_timestamp <= TIMESTAMP '{SECOND_LOAD}')
     SELECT user_id, state, value FROM r WHERE rn = 1 AND _change_type <> 'delete'"""
 )
 def state_as_of(spark, d):
-    return cdc.state_as_of(change_feed(spark, d), ["user_id"], version=6000)
+    return cdc.state_as_of(change_feed(spark, d), ["user_id"], timestamp=SECOND_LOAD)
 
 
 @query(

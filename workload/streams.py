@@ -9,7 +9,7 @@ from tablecraft.session import working_dir
 from tablecraft.sources.feed import between
 from tablecraft.streaming.history import HistoryFolder, feed_stream, history_schema, maintain_history
 from tablecraft.streaming.scoring import predict_stream, tally_stream
-from workload.inputs import FEED, HISTORY, change_feed, table
+from workload.inputs import FEED, HISTORY, change_feed, stored, table
 from workload.models import PriceModel
 from workload.registry import query
 
@@ -17,10 +17,9 @@ from workload.registry import query
 _CUTS = ("2024-01-11 00:00:00", "2024-01-21 00:00:00")
 
 
-def _deliveries(spark, d, root):
+def _deliveries(spark, d):
     """The feed, written once and then cut into its deliveries."""
-    change_feed(spark, d).write.parquet(f"{root}/source")
-    feed = spark.read.parquet(f"{root}/source")
+    feed = stored(change_feed(spark, d), "feed")
     first, second = F.lit(_CUTS[0]).cast("timestamp"), F.lit(_CUTS[1]).cast("timestamp")
     at = F.col("_commit_timestamp")
     return feed.schema, [feed.where(at < first), feed.where((at >= first) & (at < second)), feed.where(at >= second)]
@@ -32,7 +31,7 @@ def _deliveries(spark, d, root):
 )
 def stream_scd2(spark, d):
     root = working_dir(spark, "stream-scd2")
-    schema, deliveries = _deliveries(spark, d, root)
+    schema, deliveries = _deliveries(spark, d)
     folder = HistoryFolder(spark, f"{root}/history", history_schema(schema))
     batches = []
     for i, delivery in enumerate(deliveries):
@@ -46,7 +45,7 @@ def stream_scd2(spark, d):
 def stream_feed(spark, d):
     """Deliveries consumed once each: what the later runs of the same query took in."""
     root = working_dir(spark, "stream-feed")
-    schema, deliveries = _deliveries(spark, d, root)
+    schema, deliveries = _deliveries(spark, d)
     for i, delivery in enumerate(deliveries):
         delivery.write.parquet(f"{root}/feed/delivery={i}")
         stream = feed_stream(spark, f"{root}/feed/*", schema)
