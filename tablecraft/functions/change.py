@@ -43,13 +43,13 @@ def any_of(terms: Iterable[Column]) -> Column:
 
 def differs(columns: Sequence[str]) -> Column:
     """True when any column differs between ``target`` and ``source``, nulls being equal."""
-    return any_of(~F.col(f"target.{c}").eqNullSafe(F.col(f"source.{c}")) for c in columns)
+    return any_of(~F.col(f"target.`{c}`").eqNullSafe(F.col(f"source.`{c}`")) for c in columns)
 
 
 def differs_ignoring_nulls(columns: Sequence[str]) -> Column:
     """Like :func:`differs`, but a null on the source side is no change."""
     return any_of(
-        F.col(f"source.{c}").isNotNull() & ~F.col(f"target.{c}").eqNullSafe(F.col(f"source.{c}"))
+        F.col(f"source.`{c}`").isNotNull() & ~F.col(f"target.`{c}`").eqNullSafe(F.col(f"source.`{c}`"))
         for c in columns
     )
 

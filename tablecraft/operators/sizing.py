@@ -18,7 +18,7 @@ _VALUE_BYTES = 16
 
 
 def _width(field: T.StructField) -> Column:
-    c = F.col(field.name)
+    c = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):
         return F.coalesce(F.octet_length(c), F.lit(0)) + _VALUE_BYTES
     if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):

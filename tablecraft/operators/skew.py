@@ -198,7 +198,7 @@ def carry(
 
 def _row_hash(df: DataFrame) -> Column:
     plain = [
-        F.col(f.name)
+        F.col(f"`{f.name}`")
         for f in df.schema.fields
         if not isinstance(f.dataType, (T.MapType, T.VariantType))
     ]

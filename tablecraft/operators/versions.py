@@ -12,7 +12,8 @@ from datetime import datetime
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,6 +101,17 @@ def freshness(tables: Mapping[str, DataFrame], logs: Mapping[str, DataFrame] | N
     return reduce(DataFrame.unionByName, parts)
 
 
+def schema_freshness(spark: SparkSession, schema: str, logs: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Freshness of every table of a schema; null for a table that cannot be read."""
+    tables = {}
+    for entry in spark.catalog.listTables(schema):
+        try:
+            tables[entry.name] = spark.table(f"{schema}.{entry.name}")
+        except AnalysisException:
+            tables[entry.name] = spark.range(0)
+    return freshness(tables, logs)
+
+
 # -- metadata frames ----------------------------------------------------------
 
 

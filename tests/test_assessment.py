@@ -235,3 +235,15 @@ def test_freshness(spark, log):
     assert rows(found) == [("logged", datetime(2025, 1, 4)), ("made", datetime(2025, 6, 1)), ("named", None)]
     with pytest.raises(ValueError):
         V.freshness({})
+
+
+def test_schema_freshness(spark):
+    spark.sql("CREATE DATABASE fresh")
+    try:
+        spark.sql("CREATE TABLE fresh.a USING parquet AS SELECT timestamp'2025-03-01 00:00:00' AS loaded_date")
+        spark.sql("CREATE TABLE fresh.gone USING parquet AS SELECT 1 AS id")
+        spark.sql("CREATE VIEW fresh.broken AS SELECT * FROM fresh.gone")
+        spark.sql("DROP TABLE fresh.gone")
+        assert rows(V.schema_freshness(spark, "fresh")) == [("a", datetime(2025, 3, 1)), ("broken", None)]
+    finally:
+        spark.sql("DROP DATABASE fresh CASCADE")
