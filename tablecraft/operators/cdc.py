@@ -181,7 +181,8 @@ def _timeline(feed: DataFrame, touched: DataFrame, keys: Sequence[str], tie_brea
         "__known": F.when(~is_feed, F.col(BRONZE_VERSION)),
     }
     order = [BRONZE_VERSION, _FROM_TARGET, START_DATE, _RANK, *tie_break]
-    timeline = carry(timeline, keys, order, values, forward=True)
+    # A key has one active row, and no more closed ones than the events they repeat.
+    timeline = carry(timeline, keys, order, values, forward=True, measured=feed)
 
     columns = [c for c in timeline.columns if not c.startswith("__")]
     closes = ~is_feed & F.col(IS_ACTIVE) & F.col("__close").isNotNull()

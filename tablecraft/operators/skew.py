@@ -131,6 +131,7 @@ def carry(
     *,
     forward: bool = False,
     include_current: bool = False,
+    measured: DataFrame | None = None,
 ) -> DataFrame:
     """Add, per row, the nearest non-null value before (or after) it within its key.
 
@@ -151,7 +152,7 @@ def carry(
         )
         return {name: F.last(value, ignorenulls=True).over(w) for name, value in values.items()}
 
-    heavy = heavy_keys(df, keys)
+    heavy = heavy_keys(df if measured is None else measured, keys)
     if not heavy:
         return df.withColumns(nearest(list(keys)))
 
