@@ -124,7 +124,6 @@ def merge_history(
     target: DataFrame,
     keys: Sequence[str],
     *,
-    from_version: int | None = None,
     tie_break: Sequence[str] = (),
 ) -> DataFrame:
     """New state of a type-2 history after applying a change feed.
@@ -134,19 +133,23 @@ def merge_history(
     and version, so a replay of any part of the feed changes nothing.
 
     Target rows and feed events are put on one timeline per key, hence a single
-    shuffle on the keys. Closed rows older than the feed and, for a feed of few
-    keys, rows of other keys cannot be affected and bypass it. ``from_version``
-    is the feed's first version, looked up if absent.
+    shuffle on the keys. Closed rows outside the versions of the feed and, for a
+    feed of few keys, rows of other keys cannot be affected and bypass it.
     """
-    if from_version is None:
-        from_version = feed.agg(F.min(COMMIT_VERSION)).first()[0]
-        if from_version is None:
-            return target
-    touched = F.coalesce(F.col(IS_ACTIVE) | (F.col(BRONZE_VERSION) >= from_version), F.lit(True))
+    versions = version_range(feed)
+    if versions is None:
+        return target
+    touched = F.coalesce(F.col(IS_ACTIVE) | F.col(BRONZE_VERSION).between(*versions), F.lit(True))
     changed = apply_feed(feed, target.where(touched), keys, tie_break=tie_break)
     return target.where(~touched).unionByName(changed, allowMissingColumns=True)
 
 
+def version_range(feed: DataFrame) -> tuple[int, int] | None:
+    """First and last commit version of a feed; ``None`` for an empty one."""
+    first, last = feed.agg(F.min(COMMIT_VERSION), F.max(COMMIT_VERSION)).first()
+    return None if first is None else (first, last)
+
+
 def apply_feed(
     feed: DataFrame,
     touched: DataFrame,

@@ -41,7 +41,7 @@ def refresh_history_table(
     else:
         target = spark.table(table)
         start = scalar(max_commit_version(target))
-        state = merge_history(from_version(feed, start), target, keys, from_version=start)
+        state = merge_history(from_version(feed, start), target, keys)
     overwrite(state, table, ["is_active_record"])
 
 

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tablecraft.functions.change import BRONZE_VERSION, COMMIT_VERSION, FEED_COLUMNS, HISTORY_COLUMNS, IS_ACTIVE
-from tablecraft.operators.cdc import apply_feed
+from tablecraft.functions.change import BRONZE_VERSION, FEED_COLUMNS, HISTORY_COLUMNS, IS_ACTIVE
+from tablecraft.operators.cdc import apply_feed, version_range
 
 
 def feed_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -69,10 +69,10 @@ class HistoryFolder:
 
     def apply(self, feed: DataFrame, batch: int, keys: Sequence[str], tie_break: Sequence[str] = ()) -> None:
         """Apply one micro-batch of feed events and write its folder."""
-        first = feed.agg(F.min(COMMIT_VERSION)).first()[0]
+        versions = version_range(feed)
         rows = self.active(batch - 1)
-        if first is not None:
-            stored = self._closed_before(batch).where(F.col(BRONZE_VERSION) >= first)
+        if versions is not None:
+            stored = self._closed_before(batch).where(F.col(BRONZE_VERSION).between(*versions))
             known = rows.withColumn("stored_before", F.lit(False)).unionByName(
                 stored.withColumn("stored_before", F.lit(True))
             )

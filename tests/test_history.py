@@ -266,6 +266,14 @@ def test_random_lifecycles_in_overlapping_loads(spark, group_size, seed):
     assert rows(cdc.merge_history(feed, state, ["user_id"]).select(*COLUMNS)) == expected
 
 
+def test_replaying_the_middle_of_a_feed_changes_nothing(spark):
+    feed = spark.createDataFrame(_random_feed(5, 6, 80), FEED)
+    history = cdc.history_rows(feed, ["user_id"])
+    middle = feed.where("_commit_version BETWEEN 20 AND 40")
+    assert cdc.version_range(middle) == (20, 40)
+    same(cdc.merge_history(middle, history, ["user_id"]), history)
+
+
 def test_history_intervals_never_overlap(spark):
     feed = spark.createDataFrame(_random_feed(7, 5, 80), FEED)
     spans = {}

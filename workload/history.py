@@ -94,7 +94,7 @@ def scd2_merge(spark, d):
     feed = stored(change_feed(spark, d), "feed")
     target = _first_load(feed)
     start = versions.scalar(versions.max_commit_version(target))
-    return cdc.merge_history(feeds.from_version(feed, start), target, ["user_id"], from_version=start)
+    return cdc.merge_history(feeds.from_version(feed, start), target, ["user_id"])
 
 
 @query(f"WITH {HISTORY} SELECT {_HISTORY_COLUMNS} FROM history")
