@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecraft.llm import decontamination, ngram_join, packing, quality_rules, toxicity
+from tablecraft.llm import (
+    decontamination,
+    edit_counts,
+    html_text,
+    license_scan,
+    ngram_join,
+    packing,
+    quality_rules,
+    sharding,
+    tool_calls,
+    toxicity,
+)
 from workload.registry import query
 
 
@@ -49,3 +60,46 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a passage of a benchmark item, replaced words allowed, and where it lies."""
     return decontamination.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns as calls, the user turns after them as results: linked, ordered, checked, canonical."""
+    calls, results = tool_calls.from_turns(_table(spark, sf_dir, "conversations"))
+    return tool_calls.link(calls, results, tool_calls.TURN_SCHEMAS)
+
+
+@query()
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after three edits each, from their segment trees."""
+    state = edit_counts.trees(_table(spark, sf_dir, "documents"))
+    edited = edit_counts.apply_edits(state, edit_counts.sample_edits(F.col("text")))
+    return edited.select(
+        "doc_id",
+        "n_before",
+        "n_tokens",
+        "n_pretokens",
+        "n_encoded",
+        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+    )
+
+
+@query()
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near equal bytes, with a place in their shard."""
+    placed = sharding.slots(sharding.partition(_table(spark, sf_dir, "documents")))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query()
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+@query()
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents: template, coverage and span."""
+    return license_scan.license_matches(_table(spark, sf_dir, "documents"))
