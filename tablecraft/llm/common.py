@@ -25,7 +25,16 @@ def keep(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: a lost executor costs no earlier step again."""
     path = working_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Remove what ``keep`` wrote for ``stored``; nothing that is still to run may read it."""
+    spark = stored.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(stored._stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablecraft.llm.common import WordHashes, keep, lists, mixed, multiplier, small, text_bytes, window_hashes, without_documents
+from tablecraft.llm.common import WordHashes, discard, keep, lists, mixed, multiplier, small, text_bytes, window_hashes, without_documents
 from tablecraft.llm.components import components
 
 # Comparisons per member that a place of the index may cost; a place that would cost more gets a hub, and the places
@@ -240,7 +240,9 @@ def _deltas(spokes: DataFrame, over: int, under: int) -> DataFrame:
 
 def _links(sets: DataFrame, over: int, under: int) -> DataFrame:
     """Links (hub, sid) that join all linked sets into their components."""
-    crowds = _crowds(keep(sets.mapInArrow(_signed(over, under), "place long, sid long"), "signatures"))
+    signed = keep(sets.mapInArrow(_signed(over, under), "place long, sid long"), "signatures")
+    crowds = _crowds(signed)
+    discard(signed)
     found, allowed = [], PAIRED_MEMBERS
     while crowds.limit(1).count():
         spokes = keep(_compared(_spokes(crowds), sets, over, under, differences=True), "spokes")
@@ -289,19 +291,21 @@ def ngram_join(
     if not 0 < over <= under:
         raise ValueError("the similarity must be over 0 and at most 1")
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # A set may lack the share (under - over) / under of its features in a partner; the first look covers a quarter more.
-    look = min(2**64 - 1, 2**64 * 5 * max(under - over, 1) // (4 * under))
-    rows = keep(
+    # A set may lack the share (under - over) / under of its features in a partner. The first look covers half as much
+    # again and a twentieth of all features, so that most sets without a partner show more than that.
+    look = min(2**64 - 1, 2**64 * (30 * (under - over) + under) // (20 * under))
+    scanned = keep(
         plain.mapInArrow(_scan(size, look), "doc_id long, high long, low long, n_shingles long, first array<long>"),
-        "documents",
+        "scanned",
     )
+    rows = keep(scanned.drop("first"), "documents")
     classes = (
         rows.filter("n_shingles > 0")
         .groupBy("high", "low")
         .agg(F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"))
     )
     owned = (
-        rows.select("high", F.explode("first").alias("feature"))
+        scanned.select("high", F.explode("first").alias("feature"))
         .groupBy("feature")
         .agg(F.min("high").alias("high"), F.max("high").alias("other"))
         .filter("high = other")
@@ -312,6 +316,7 @@ def ngram_join(
         F.coalesce("owned", F.lit(0)) * under <= F.col("n") * (under - over)
     )
     likely = keep(likely.select("high", "low", "class_id"), "likely")
+    discard(scanned)
     wanted = small(likely.select(F.col("high").alias("sid"), F.col("low").alias("wanted"), F.col("class_id").alias("doc_id")))
     found = plain.join(wanted, plain["doc_id"].eqNullSafe(wanted["doc_id"])).select("sid", "wanted", "text")
     sets = keep(

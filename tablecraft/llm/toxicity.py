@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablecraft.llm.common import keep, small, without_documents
+from tablecraft.llm.common import discard, keep, small, without_documents
 
 TOKEN = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
@@ -326,7 +326,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id
         return None
     others = train.filter("label = 0").orderBy(sample).limit(sample_docs)
     both = toxic.union(others).select("label", "text").coalesce(1)
-    return both.mapInPandas(_train([pure[i]["term"] for i in chosen]), MODEL).first()
+    model = both.mapInPandas(_train([pure[i]["term"] for i in chosen]), MODEL).first()
+    discard(train)
+    return model
 
 
 SCORED = "doc_id long, score double, toxic_tokens double, spans array<struct<start:int,end:int,marginal:double>>"
