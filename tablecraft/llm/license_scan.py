@@ -5,9 +5,9 @@ Templates become tokens (runs of letters and digits in lower case) and hashes of
 kept hash. The kept hashes form an inverted index (hash to template and place), which is sent to the tasks in blocks of
 at most ``INDEX_ROWS`` entries; a larger index takes several passes.
 
-Documents look up all their hashes. Hits of one template that lie near one diagonal form a candidate, and a local
-alignment in a band around it (token equal 1, else -1, gap -1) gives the matched share of the template and the span
-in the document, in code points. Of overlapping candidates of one template the best stays.
+Documents look up all their hashes. The hits of one template on one diagonal form a candidate, and a local alignment in
+a band around it (token equal 1, else -1, gap -1) gives the matched share of the template and the span in the document,
+in code points. Of overlapping candidates of one template the best stays.
 
 Defined results: null or empty texts have no matches; a template of fewer than ``GRAM`` tokens is hashed as a whole; a
 license that stands in a document several times is reported each time; repeated rows are scanned one by one.
@@ -129,13 +129,6 @@ def align(template: list[int], tokens: list[int], diagonal: int, band: int) -> t
     return best[1], best[2], best[3] + 1
 
 
-def candidates(places: np.ndarray, template_places: np.ndarray, size: int) -> list[int]:
-    """A diagonal for each group of hits: hits further apart than the template belong to different groups."""
-    diagonals = np.sort(places - template_places)
-    cuts = np.flatnonzero(np.diff(diagonals) > BAND)
-    return [int(np.median(part)) for part in np.split(diagonals, cuts + 1)]
-
-
 def _scan(index: list[dict], coverage: float) -> callable:
     grams = sorted({r["gram"] for r in index})
     names = sorted({r["template"] for r in index})
@@ -170,9 +163,8 @@ def _scan(index: list[dict], coverage: float) -> callable:
         out = []
         for template, pairs in hits.items():
             tokens = known[template]
-            at, place = np.array(pairs, np.int64).T
             results = []
-            for diagonal in candidates(at, place, len(tokens)):
+            for diagonal in sorted({at - place for at, place in pairs}):
                 low = max(0, diagonal - BAND)
                 part = ids[low : diagonal + len(tokens) + BAND + 1].tolist()
                 equal, first, last = align(tokens, part, diagonal - low, BAND)

@@ -121,10 +121,11 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         # Sum of squares after placing into a sequence of gap g, less the sum before: 2 (n[g - length] - n[g] + 1).
         before = open_count[length:]
         change = open_count[: capacity + 1 - length] - before + 1
-        change[0] = -before[0]
+        # A sequence that is filled leaves the counts; half a unit more than the others, rounded up.
+        change[0] = 1 - before[0]
         change[before == 0] = capacity * len(lengths) + 1
         best = int(change.argmin())
-        if change[best] <= open_count[capacity - length] or length == capacity and change[best] < 0:
+        if change[best] <= open_count[capacity - length]:
             gap = best + length
             number = by_gap[gap].pop()
             open_count[gap] -= 1

@@ -21,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablecraft.llm.common import keep, numbered
+from tablecraft.llm.common import discard, keep, numbered
 
 SHARDS = 24
 OVERHEAD = 8
-SLICES = 4096
+SLICE_BITS = 12
 ROUNDS = 4
 # A key is 16 bits of the dimension above 32 bits of hash.
 KEY_BITS = 48
@@ -89,7 +89,7 @@ def _splits(rows: DataFrame, dims: list[str], axes: list[int], shards: list[int]
     close, widths = [0.0] * cells, [0] * cells
     keyed = rows.select("__cell", "size", _keys(dims, axes).alias("key"))
     for _ in range(ROUNDS):
-        step = bits - 12
+        step = bits - SLICE_BITS
         inside = F.col("key") - _by_cell(low, F.col("__cell"))
         slices = (
             keyed.filter((inside >= 0) & (inside < (1 << bits)))
@@ -132,7 +132,7 @@ def partition(docs: DataFrame, shards: int = SHARDS, dimensions: dict[str, Colum
         ),
         "sizes",
     )
-    current, kept = rows.withColumn("__cell", F.lit(0)), [(0, shards)]
+    current, kept, stored = rows.withColumn("__cell", F.lit(0)), [(0, shards)], []
     while any(k > 1 for _, k in kept):
         axes = _widest(current, dims, len(kept))
         splits = _splits(current, dims, axes, [k for _, k in kept])
@@ -145,8 +145,12 @@ def partition(docs: DataFrame, shards: int = SHARDS, dimensions: dict[str, Colum
                 following.append((first + k // 2, k - k // 2))
         upper = _keys(dims, axes) >= _by_cell(splits, F.col("__cell"))
         lower_cell, upper_cell = (_by_cell([p[side] for p in places], F.col("__cell")) for side in (0, 1))
-        current = current.withColumn("__cell", F.when(upper, upper_cell).otherwise(lower_cell))
+        # Stored, as the next cells are computed from these several times over.
+        current = keep(current.withColumn("__cell", F.when(upper, upper_cell).otherwise(lower_cell)), "cells")
+        stored.append(current)
         kept = following
+    for old in [rows, *stored[:-1]] if stored else []:
+        discard(old)
     shard = _by_cell([first for first, _ in kept], F.col("__cell")).cast("int")
     return current.select("doc_id", "size", "text_crc32", shard.alias("shard"))
 
