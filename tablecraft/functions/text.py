@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,20 +26,29 @@ BAD_EXAMPLE = "\n\nand BAD example:\n"
 VARIABLES_HEADING = "Variables available in the prompt:"
 METADATA_HEADING = "\nMetadata available:"
 
-# Emoji code points. One emoji is a keycap, a pair of regional
-# indicators, or a pictograph with its modifiers and joined pictographs.
-EMOJI_BASE = (
-    r"[\x{1F300}-\x{1F5FF}\x{1F600}-\x{1F64F}\x{1F680}-\x{1F6FF}\x{1F7E0}-\x{1F7EB}"
-    r"\x{1F900}-\x{1F9FF}\x{1FA70}-\x{1FAFF}\x{2600}-\x{26FF}\x{2702}-\x{27B0}"
-    r"\x{1F004}\x{1F0CF}\x{1F18E}\x{1F191}-\x{1F19A}\x{2B05}-\x{2B07}\x{2B1B}\x{2B1C}"
-    r"\x{2B50}\x{2B55}\x{231A}\x{231B}\x{23E9}-\x{23F3}\x{23F8}-\x{23FA}]"
+# Code points with the Emoji property of Unicode 16, except digits and the signs # and *.
+EMOJI_POINTS = (
+    "A9 AE 203C 2049 2122 2139 2194-2199 21A9-21AA 231A-231B 2328 23CF 23E9-23F3 23F8-23FA 24C2 25AA-25AB 25B6 25C0"
+    " 25FB-25FE 2600-2604 260E 2611 2614-2615 2618 261D 2620 2622-2623 2626 262A 262E-262F 2638-263A 2640 2642 2648-2653"
+    " 265F-2660 2663 2665-2666 2668 267B 267E-267F 2692-2697 2699 269B-269C 26A0-26A1 26A7 26AA-26AB 26B0-26B1 26BD-26BE"
+    " 26C4-26C5 26C8 26CE-26CF 26D1 26D3-26D4 26E9-26EA 26F0-26F5 26F7-26FA 26FD 2702 2705 2708-270D 270F 2712 2714 2716"
+    " 271D 2721 2728 2733-2734 2744 2747 274C 274E 2753-2755 2757 2763-2764 2795-2797 27A1 27B0 27BF 2934-2935 2B05-2B07"
+    " 2B1B-2B1C 2B50 2B55 3030 303D 3297 3299 1F004 1F0CF 1F170-1F171 1F17E-1F17F 1F18E 1F191-1F19A 1F201-1F202 1F21A 1F22F"
+    " 1F232-1F23A 1F250-1F251 1F300-1F321 1F324-1F393 1F396-1F397 1F399-1F39B 1F39E-1F3F0 1F3F3-1F3F5 1F3F7-1F4FD 1F4FF-1F53D"
+    " 1F549-1F54E 1F550-1F567 1F56F-1F570 1F573-1F57A 1F587 1F58A-1F58D 1F590 1F595-1F596 1F5A4-1F5A5 1F5A8 1F5B1-1F5B2 1F5BC"
+    " 1F5C2-1F5C4 1F5D1-1F5D3 1F5DC-1F5DE 1F5E1 1F5E3 1F5E8 1F5EF 1F5F3 1F5FA-1F64F 1F680-1F6C5 1F6CB-1F6D2 1F6D5-1F6D7"
+    " 1F6DC-1F6E5 1F6E9 1F6EB-1F6EC 1F6F0 1F6F3-1F6FC 1F7E0-1F7EB 1F7F0 1F90C-1F93A 1F93C-1F945 1F947-1F9FF 1FA70-1FA7C"
+    " 1FA80-1FA89 1FA8F-1FAC6 1FACE-1FADC 1FADF-1FAE9 1FAF0-1FAF8"
 )
-# Every emoji has at least one character of this class.
-EMOJI_HINT = r"[\x{20E3}\x{231A}-\x{2BFF}\x{1F000}-\x{1FAFF}]"
-EMOJI_MODIFIER = r"[\x{FE0F}\x{1F3FB}-\x{1F3FF}]*"
-# The first group lets a search pass over other characters quickly.
+EMOJI_BASE = "[" + "".join("-".join(rf"\x{{{p}}}" for p in r.split("-")) for r in EMOJI_POINTS.split()) + "]"
+# Every emoji but keycaps begins in these wide ranges, which are quick to search for.
+_WIDE = r"\x{A9}\x{AE}\x{203C}-\x{3299}\x{1F000}-\x{1FAFF}"
+EMOJI_HINT = rf"[\x{{20E3}}{_WIDE}]"
+# Presentation and skin tone, then the tags of a subdivision flag.
+EMOJI_MODIFIER = r"[\x{FE0F}\x{1F3FB}-\x{1F3FF}]*(?:[\x{E0020}-\x{E007E}]+\x{E007F})?"
+# One emoji is a keycap, a pair of regional indicators, or a pictograph with its modifiers and joined pictographs.
 EMOJI = (
-    r"(?=[#*0-9\x{231A}-\x{1FAFF}])(?:[0-9#*]\x{FE0F}?\x{20E3}|[\x{1F1E6}-\x{1F1FF}]{2}|"
+    rf"(?=[#*0-9{_WIDE}])(?:[0-9#*]\x{{FE0F}}?\x{{20E3}}|[\x{{1F1E6}}-\x{{1F1FF}}]{{2}}|"
     + EMOJI_BASE
     + EMOJI_MODIFIER
     + r"(?:\x{200D}"
@@ -57,32 +63,109 @@ def preview(c: Column, length: int = PREVIEW_LENGTH) -> Column:
     return F.when(F.length(c) > length, F.concat(F.substring(c, 1, length), F.lit(PREVIEW_MARK))).otherwise(c)
 
 
-def _python_text(raw: str | None) -> str | None:
-    data = None if raw is None else json.loads(raw)
-    if not isinstance(data, dict):
-        return None if raw is None else str(data)
-    for name in RESPONSE_FIELDS:
-        if name in data:
-            return str(data[name])
-    return json.dumps(data, indent=2)
+# Tokens of a JSON text: strings, empty objects and arrays, marks, and other values.
+JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|\{\s*\}|\[\s*\]|[\[\]{}:,]|[^\[\]{}:,"\s]++'
+
+
+def _tokens(json_text: Column) -> Column:
+    return F.regexp_extract_all(json_text, F.lit(JSON_TOKEN), F.lit(0))
+
+
+def _quoted(token: Column) -> Column:
+    """A JSON string token in Python's notation of a string."""
+    plain = F.get_json_object(F.concat(F.lit("["), token, F.lit("]")), "$[0]")
+    for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        plain = F.replace(plain, F.lit(raw), F.lit(shown))
+    double = F.contains(plain, F.lit("'")) & ~F.contains(plain, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    )
+
+
+def _python_notation(json_text: Column) -> Column:
+    """A JSON value in Python's notation; numbers stay as they are written."""
+
+    def shown(t: Column) -> Column:
+        named = {"true": "True", "false": "False", "null": "None", ",": ", ", ":": ": "}
+        out = F.when(t.startswith('"'), _quoted(t))
+        for raw, text in named.items():
+            out = out.when(t == raw, F.lit(text))
+        return out.when(F.length(t) > 1, F.regexp_replace(t, r"\s+", "")).otherwise(t)
+
+    return F.array_join(F.transform(_tokens(json_text), shown), "")
+
+
+def _ascii(json_token: Column) -> Column:
+    """A JSON token with ``\\u`` escapes for everything beyond ASCII."""
 
+    def unit(code: Column) -> Column:
+        return F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
 
-@F.pandas_udf(T.StringType())
-def _python_texts(raw: pd.Series) -> pd.Series:
-    return raw.map(_python_text, na_action="ignore")
+    def shown(c: Column) -> Column:
+        code = F.ascii(c)
+        high = F.shiftright(code - 0x10000, 10) + 0xD800
+        low = (code - 0x10000) % 0x400 + 0xDC00
+        return F.when(code < 128, c).when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
+
+    return F.when(json_token.rlike(r"[^\x00-\x7F]"), F.array_join(F.transform(F.split(json_token, ""), shown), "")).otherwise(json_token)
+
+
+def _indented(json_text: Column) -> Column:
+    """A JSON text laid out with two blanks per level, its keys and numbers as they are written."""
+
+    def line(depth: Column) -> Column:
+        return F.concat(F.lit("\n"), F.repeat(F.lit("  "), depth))
+
+    def add(state: Column, t: Column) -> Column:
+        depth, out = state["depth"], state["out"]
+        opens, closes = t.isin("{", "["), t.isin("}", "]")
+        inner = F.when(opens, depth + 1).when(closes, depth - 1).otherwise(depth)
+        text = (
+            F.when(opens, F.concat(t, line(inner)))
+            .when(closes, F.concat(line(inner), t))
+            .when(t == ",", F.concat(t, line(depth)))
+            .when(t == ":", F.lit(": "))
+            .when(t.startswith('"'), _ascii(t))
+            .when(F.length(t) > 1, F.regexp_replace(t, r"\s+", ""))
+            .otherwise(t)
+        )
+        return F.struct(inner.alias("depth"), F.concat(out, text).alias("out"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+    return F.aggregate(_tokens(json_text), start, add)["out"]
 
 
 def json_first_field(c: Column) -> Column:
     """First known response field of a JSON object; else the JSON, indented; else the raw text.
 
-    A text field, the usual case, is read inside the JVM. Only JSON of another
-    shape goes to Python, whose notation of values and indents the result keeps.
+    A text counts as JSON only as a whole: it has to parse both as the one item of an array and as the value of a field,
+    which no text with more before or after its value does. Of repeated fields the last counts. Other values than text
+    come in Python's notation, numbers as they are written. All of it runs inside the JVM.
     """
-    parsed = F.try_parse_json(c)
-    first = F.coalesce(*[F.try_variant_get(parsed, f"$.{name}", "variant") for name in RESPONSE_FIELDS])
-    plain = F.when(F.schema_of_variant(first) == "STRING", first.cast("string"))
-    other = _python_texts(F.when(parsed.isNotNull() & plain.isNull(), c))
-    return F.coalesce(plain, other, c)
+    item, value = F.concat(F.lit("["), c, F.lit("]")), F.concat(F.lit('{"v":'), c, F.lit("}"))
+    one = F.size(F.from_json(item, "array<string>")) == 1
+    fields = F.map_entries(F.from_json(value, "v map<string,string>")["v"])
+    kinds = F.map_entries(F.from_json(value, "v map<string,variant>")["v"])
+
+    def last(entries: Column, name: str) -> Column:
+        return F.try_element_at(F.filter(entries, lambda e: e["key"] == name), F.lit(-1))
+
+    found = None
+    for name in RESPONSE_FIELDS:
+        entry = last(fields, name)
+        is_text = F.schema_of_variant(last(kinds, name)["value"]) == "STRING"
+        shown = F.when(is_text, entry["value"]).otherwise(
+            F.coalesce(_python_notation(entry["value"]), F.lit("None"))
+        )
+        found = F.when(entry.isNotNull(), shown) if found is None else found.when(entry.isNotNull(), shown)
+    scalar = F.from_json(value, "v string")["v"]
+    other = (
+        F.when(F.trim(c) == "null", F.lit("None"))
+        .when(scalar.isNull(), c)
+        .when(F.ltrim(c).startswith('"'), scalar)
+        .otherwise(_python_notation(c))
+    )
+    return F.when(~F.coalesce(one, F.lit(False)), c).when(fields.isNotNull(), found.otherwise(_indented(c))).otherwise(other)
 
 
 def json_struct(c: Column, schema: str) -> Column:

@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablecraft.functions.change import (
     BRONZE_VERSION,
@@ -230,34 +231,45 @@ def snapshot_changes(
     version: int,
     timestamp: str | datetime | Column,
 ) -> DataFrame:
-    """Change feed that leads from one keyed snapshot to the next."""
+    """Change feed that leads from one keyed snapshot to the next.
+
+    Each snapshot has one row per key, where equal nulls are one key; a key that repeats raises when the feed runs.
+    """
     columns = after.columns
     missing = {f.name: F.lit(None).cast(f.dataType) for f in after.schema.fields if f.name not in before.columns}
     key_names = [f"__key_{i}" for i in range(len(keys))]
+    wide = {f.name: f.dataType for f in after.schema.fields}
 
     def packed(df: DataFrame, side: str) -> DataFrame:
+        row = F.struct(*[F.col(f"`{c}`").cast(wide[c]).alias(c) for c in columns])
         return df.select(
-            *[F.col(k).alias(f"{side}{n}") for k, n in zip(keys, key_names)], F.struct(*columns).alias(side)
+            *[F.col(k).cast(wide[k]).alias(n) for k, n in zip(keys, key_names)],
+            (row if side == "b" else F.lit(None).cast(T.StructType(after.schema.fields))).alias("b"),
+            (row if side == "a" else F.lit(None).cast(T.StructType(after.schema.fields))).alias("a"),
         )
 
-    old = packed(before.withColumns(missing) if missing else before, "b")
-    new = packed(after, "a")
-    match = all_of(F.col(f"b{n}").eqNullSafe(F.col(f"a{n}")) for n in key_names)
+    both = packed(before.withColumns(missing) if missing else before, "b").unionByName(packed(after, "a"))
+    met = both.groupBy(*key_names).agg(
+        F.first("b", ignorenulls=True).alias("b"),
+        F.first("a", ignorenulls=True).alias("a"),
+        F.greatest(F.count("b"), F.count("a")).alias("most"),
+    )
     gone, fresh = F.col("a").isNull(), F.col("b").isNull()
 
     def event(kind: str, row: str) -> Column:
         return F.struct(F.lit(kind).alias("kind"), F.col(row).alias("row"))
 
+    repeated = F.raise_error(F.lit(f"a snapshot has several rows of one key of {list(keys)}"))
     events = (
-        F.when(fresh, F.array(event(INSERT, "a")))
+        F.when(F.col("most") > 1, repeated.cast(T.ArrayType(_event_type(after))))
+        .when(fresh, F.array(event(INSERT, "a")))
         .when(gone, F.array(event(DELETE, "b")))
         .when(~F.col("a").eqNullSafe(F.col("b")), F.array(event(UPDATE_PREIMAGE, "b"), event(UPDATE_POSTIMAGE, "a")))
     )
     return (
-        old.join(new, match, "full_outer")
-        .select(F.explode(events).alias("e"))
+        met.select(F.explode(events).alias("e"))
         .select(
-            *[F.col(f"e.row.{c}").alias(c) for c in columns],
+            *[F.col(f"e.row.`{c}`").alias(c) for c in columns],
             F.col("e.kind").alias(CHANGE_TYPE),
             F.lit(version).cast("long").alias(COMMIT_VERSION),
             instant(timestamp).alias(COMMIT_TIMESTAMP),
@@ -265,6 +277,10 @@ def snapshot_changes(
     )
 
 
+def _event_type(rows: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("kind", T.StringType()), T.StructField("row", T.StructType(rows.schema.fields))])
+
+
 def state_as_of(
     feed: DataFrame,
     keys: Sequence[str],

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import timedelta
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -70,7 +71,15 @@ def lookup_features(labels: DataFrame, features: DataFrame, lookup: FeatureLooku
         raise ValueError(f"labels already have columns {clash}: use rename_outputs")
     if lookup.timestamp_lookup_key:
         return _lookup_as_of(labels, features, lookup)
-    picked = features.select(*lookup.keys, *[F.col(f).alias(f"__feature_{f}") for f in lookup.feature_names])
+    known = [F.col(k).isNotNull() for k in lookup.keys]
+    picked = features.where(reduce(lambda a, b: a & b, known)).groupBy(*lookup.keys).agg(
+        F.count(F.lit(1)).alias("__rows"), *[F.first(f).alias(f"__first_{f}") for f in lookup.feature_names]
+    )
+    # One row per key, or the label rows would multiply: a repeated key raises when the lookup runs.
+    repeated = F.raise_error(F.lit(f"{lookup.table_name} has several rows of one key of {lookup.keys}"))
+    picked = picked.where(F.when(F.col("__rows") == 1, F.lit(True)).otherwise(repeated.cast("boolean"))).select(
+        *lookup.keys, *[F.col(f"__first_{f}").alias(f"__feature_{f}") for f in lookup.feature_names]
+    )
     joined = skew_join(labels, picked, lookup.keys, "left")
     return joined.select(*labels.columns, *_outputs(lookup, lambda f: F.col(f"__feature_{f}")))
 

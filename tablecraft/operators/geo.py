@@ -61,18 +61,20 @@ def nearby_places(
     grid cell, a center asks for the (at most nine) cells around it, so the join
     is on cell equality; places of a crowded cell are spread over tasks.
     """
-    if not 0 < radius <= 1_000_000:
-        raise ValueError("the radius must be positive and at most 1000 km")
+    if not radius > 0:
+        raise ValueError("the radius must be positive")
     if types is not None:
         places = places.where(F.col(type_column).isin(list(types)))
-    height = math.degrees(radius / EARTH_RADIUS) * (1 + 1e-9)
+    # No two points are further apart than half the circumference.
+    reach = min(radius, math.pi * EARTH_RADIUS)
+    height = math.degrees(reach / EARTH_RADIUS) * (1 + 1e-9)
 
     p_lat, p_lon = F.col(place_columns[0]), F.col(place_columns[1])
     band = _band(p_lat, height)
     left = places.select(
         *[F.col(c).alias(f"place_{c}") for c in places.columns],
         band.alias("__band"),
-        _cell(p_lon, _cells_in_band(band, height, radius)).alias("__cell"),
+        _cell(p_lon, _cells_in_band(band, height, reach)).alias("__cell"),
     )
 
     c_lat, c_lon = F.col(center_columns[0]), F.col(center_columns[1])
@@ -81,7 +83,7 @@ def nearby_places(
         *[F.col(c).alias(f"center_{c}") for c in centers.columns],
         c_lon.alias("__lon"),
         F.explode(F.array(own - 1, own, own + 1)).alias("__band"),
-    ).withColumn("__n", _cells_in_band(F.col("__band"), height, radius))
+    ).withColumn("__n", _cells_in_band(F.col("__band"), height, reach))
     at = _cell(F.col("__lon"), F.col("__n"))
     around = F.array_distinct(F.array(*[F.pmod(at + step, F.col("__n")) for step in (-1, 0, 1)]))
     right = right.withColumn("__cell", F.explode(around)).drop("__lon", "__n")

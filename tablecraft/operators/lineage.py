@@ -37,9 +37,10 @@ def recent_edges(edges: DataFrame, table: str, limit: int = RECENT_EVENTS, tie_b
     return edges.where(touches).orderBy(*order).limit(limit)
 
 
-def table_lineage(edges: DataFrame, table: str, limit: int = RECENT_EVENTS, tie_break: Column | None = None) -> DataFrame:
-    """One row with the sorted upstream and downstream tables among a table's newest events."""
-    recent = recent_edges(edges, table, limit, tie_break)
+def table_lineage(edges: DataFrame, table: str, limit: int | None = None, tie_break: Column | None = None) -> DataFrame:
+    """One row with the sorted upstream and downstream tables of a table, over all its events or its newest ``limit``."""
+    touches = (F.col(SOURCE) == table) | (F.col(TARGET) == table)
+    recent = edges.where(touches) if limit is None else recent_edges(edges, table, limit, tie_break)
     other = F.col(SOURCE) != F.col(TARGET)
     up = F.when(other & (F.col(TARGET) == table), F.col(SOURCE))
     down = F.when(other & (F.col(SOURCE) == table), F.col(TARGET))

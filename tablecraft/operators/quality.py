@@ -61,10 +61,15 @@ def _in_range(column: str, min: Any = None, max: Any = None) -> Column:
     return c.isNull() | ok
 
 
+def _in_list(column: str, allowed: Sequence[Any]) -> Column:
+    values = [v for v in allowed if v is not None]
+    return F.col(column).isNull() | (F.col(column).isin(values) if values else F.lit(False))
+
+
 ROW_CHECKS: dict[str, Callable[..., Column]] = {
     "is_not_null_and_not_empty": _not_empty,
     "not_null": lambda column: F.col(column).isNotNull(),
-    "is_in_list": lambda column, allowed: F.col(column).isNull() | F.col(column).isin(list(allowed)),
+    "is_in_list": _in_list,
     "is_in_range": _in_range,
     "expression_true_for_all": lambda expression: F.coalesce(F.expr(expression), F.lit(False)),
 }
@@ -87,7 +92,8 @@ def _evaluate(df: DataFrame, checks: Iterable[Check]) -> tuple[DataFrame, list[t
             helpers.append(repeated)
             failed.append((check, F.col(repeated).isNotNull()))
         elif check.function in ROW_CHECKS:
-            failed.append((check, ~ROW_CHECKS[check.function](**check.arguments)))
+            # Never null: a row is in exactly one of the frames that a split makes.
+            failed.append((check, ~F.coalesce(ROW_CHECKS[check.function](**check.arguments), F.lit(False))))
         else:
             raise ValueError(f"unknown check function: {check.function}")
     return df, failed, helpers

@@ -75,28 +75,30 @@ def predict(
     """Add a model's output to every row, batch by batch.
 
     ``load_model`` runs once per task. The model sees the named feature columns,
-    after ``preprocess``; ``postprocess`` shapes its output.
+    after ``preprocess``; ``postprocess`` shapes its output. Only the features
+    travel to Python: all other columns stay as they are.
     """
     if predict_method not in PREDICT_METHODS:
         raise ValueError(f"invalid predict method: {predict_method}")
     missing = [c for c in features if c not in df.columns]
     if missing:
         raise ValueError(f"missing feature columns: {missing}")
-    schema = T.StructType([*df.schema.fields, T.StructField(output, T._parse_datatype_string(output_type))])
     names = list(features)
+    kind = T._parse_datatype_string(output_type)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         model = load_model()
-        for batch in batches:
-            inputs = batch[names]
+        for inputs in batches:
+            inputs = inputs[names]
             if preprocess is not None:
                 inputs = preprocess(inputs)
             values = getattr(model, predict_method)(inputs)
             if postprocess is not None:
                 values = postprocess(values)
-            yield batch.assign(**{output: list(values)})
+            yield pd.Series(list(values))
 
-    return df.mapInPandas(run, schema)
+    model_output = F.pandas_udf(run, kind)
+    return df.withColumn(output, model_output(F.struct(*[F.col(f"`{n}`") for n in names])))
 
 
 def batch_inference(

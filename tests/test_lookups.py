@@ -91,7 +91,7 @@ def _meters(a, b):
     return 2 * EARTH_RADIUS * math.asin(math.sqrt(min(h, 1.0)))
 
 
-@pytest.mark.parametrize("radius", [11265.0, 300_000.0, 900_000.0])
+@pytest.mark.parametrize("radius", [11265.0, 300_000.0, 900_000.0, 4_000_000.0, 15_000_000.0, 30_000_000.0])
 @pytest.mark.parametrize("region", ["equator", "mid latitudes", "pole", "south pole", "date line"])
 def test_nearby_places_equals_brute_force(spark, group_size, region, radius):
     rng = random.Random(3)
@@ -122,6 +122,6 @@ def test_nearby_places_equals_brute_force(spark, group_size, region, radius):
 
 def test_nearby_places_refuses_odd_radii(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0)], "id int, lat double, lon double")
-    for radius in (0, 2_000_000):
+    for radius in (0, -1):
         with pytest.raises(ValueError):
             nearby_places(df, df, radius)

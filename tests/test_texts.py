@@ -32,6 +32,23 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
         ("[1, 2]", "[1, 2]"),
         ('"quoted"', "quoted"),
         ("not json", "not json"),
+        ("12 apples", "12 apples"),
+        ('{"a":1} and more', '{"a":1} and more'),
+        ('{"content":"x"} and more', '{"content":"x"} and more'),
+        ('{"content":"x"}, {"b":1', '{"content":"x"}, {"b":1'),
+        ("1], [2", "1], [2"),
+        ("1, 2", "1, 2"),
+        ('{"content": "a", "content": "b"}', "b"),
+        ('{"content": 5, "text": "t"}', "5"),
+        ('{"message": [true, null, "it\'s", {"k": "a\\nb"}, {}, [ ]]}', str([True, None, "it's", {"k": "a\nb"}, {}, []])),
+        ('{"x": {"content": "inner"}, "y": [{}, [], "a, b: {c}"]}', json.dumps({"x": {"content": "inner"}, "y": [{}, [], "a, b: {c}"]}, indent=2)),
+        ('{"e": "😀 é"}', json.dumps({"e": "😀 é"}, indent=2)),
+        ('  {"text": "blanks"}\n', "blanks"),
+        ("12", "12"),
+        ("true", "True"),
+        ("null", "None"),
+        ('{"broken": ', '{"broken": '),
+        ("{}", "{}"),
         ("", ""),
         (None, None),
     ],
@@ -85,6 +102,9 @@ def test_context_text(spark):
     [
         ("plain 12 # * text", "yes", "No emojis detected in the response."),
         (None, "yes", "No emojis detected in the response."),
+        ("★ ✓ → • “x” ™x".replace("™", ""), "yes", "No emojis detected in the response."),
+        ("© ↩️ ℹ️ ▶️", "no", "Emojis detected: ['©', 'ℹ️', '↩️', '▶️']"),
+        ("\U0001F3F4\U000E0067\U000E0062\U000E0065\U000E006E\U000E0067\U000E007F #️⃣", "no", "Emojis detected: ['#️⃣', '\U0001F3F4\U000E0067\U000E0062\U000E0065\U000E006E\U000E0067\U000E007F']"),
         ("a 😀 b 😀 👍🏽", "no", "Emojis detected: ['👍🏽', '😀']"),
         ("🇩🇪 1️⃣ 👨‍👩‍👧 ❤️", "no", "Emojis detected: ['1️⃣', '❤️', '🇩🇪', '👨‍👩‍👧']"),
     ],

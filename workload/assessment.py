@@ -183,8 +183,7 @@ def lineage_recent(spark, d):
 
 
 @query(
-    f"""WITH {EDGES}, r AS (SELECT * FROM edges WHERE source_table_full_name = '{_ONE}' OR target_table_full_name = '{_ONE}'
-      ORDER BY event_time DESC, entity_run_id LIMIT 100)
+    f"""WITH {EDGES}, r AS (SELECT * FROM edges WHERE source_table_full_name = '{_ONE}' OR target_table_full_name = '{_ONE}')
     SELECT '{_ONE}' AS table_name,
       coalesce(string_agg(DISTINCT source_table_full_name, ',' ORDER BY source_table_full_name)
         FILTER (source_table_full_name <> '{_ONE}'), '') AS upstream,
@@ -192,7 +191,7 @@ def lineage_recent(spark, d):
         FILTER (target_table_full_name <> '{_ONE}'), '') AS downstream FROM r"""
 )
 def lineage_of_table(spark, d):
-    row = L.table_lineage(lineage_edges(spark, d), _ONE, tie_break=F.col("entity_run_id"))
+    row = L.table_lineage(lineage_edges(spark, d), _ONE)
     return row.select(
         "table_name",
         F.array_join("upstream_tables", ",").alias("upstream"),
