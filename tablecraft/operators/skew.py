@@ -83,38 +83,58 @@ def _pieces(spark: SparkSession, n: int) -> int:
     return min(_shuffle_partitions(spark), -(-n // max_group_rows(spark)))
 
 
-def _order_number(df: DataFrame, name: str) -> Column:
-    """The leading order column as a number that sorts the same way."""
-    dtype = df.schema[name].dataType
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(F.col(name))
-    if isinstance(dtype, T.TimestampNTZType):
-        return F.unix_micros(F.col(name).cast("timestamp"))
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(F.col(name)).cast("long")
-    if isinstance(dtype, T.NumericType):
+def common_type(spark: SparkSession, a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type Spark itself would coerce both to; only analysed, nothing runs."""
+    if a == b:
+        return a
+    both = F.coalesce(F.lit(None).cast(a), F.lit(None).cast(b))
+    return spark.range(0).select(both.alias("c")).schema["c"].dataType
+
+
+def _place(df: DataFrame, order: Sequence[str]) -> Column:
+    """The order columns as one value that sorts like them; times as numbers, which travel unchanged."""
+
+    def number(name: str) -> Column:
+        dtype = df.schema[name].dataType
+        if isinstance(dtype, T.TimestampType):
+            return F.unix_micros(F.col(name))
+        if isinstance(dtype, T.TimestampNTZType):
+            return F.unix_micros(F.col(name).cast("timestamp"))
+        if isinstance(dtype, T.DateType):
+            return F.unix_date(F.col(name)).cast("long")
         return F.col(name)
-    raise ValueError(f"cannot cut large keys along {name}: order by a number, date or timestamp first")
 
+    return F.struct(*[number(name).alias(f"o{i}") for i, name in enumerate(order)])
 
-def _cut_points(df: DataFrame, position: Column, is_heavy: Column, n: int) -> list:
-    """Quantiles of the order column over the ``n`` rows of the large keys, one per allowed group."""
+
+# Rows per segment that are looked at to place the cuts.
+CUT_SAMPLE = 100
+
+
+def _cut_points(df: DataFrame, place: Column, is_heavy: Column, n: int) -> list[Column]:
+    """Places that part the ``n`` rows of the large keys into about equal shares, one per allowed group.
+
+    The whole order counts, so many rows of one instant are parted as well. A bounded random sample names the cuts;
+    they only decide how even the segments are.
+    """
     segments = _pieces(df.sparkSession, n)
     if segments < 2:
         return []
-    shares = [i / segments for i in range(1, segments)]
-    accuracy = max(10_000, 20 * segments)
-    cuts = df.where(is_heavy).agg(F.percentile_approx(position, shares, accuracy).alias("cuts")).first()["cuts"]
-    return sorted(set(cuts or []))
+    drawn = df.where(is_heavy).select(place.alias("p")).orderBy(F.rand(1)).limit(CUT_SAMPLE * segments)
+    rows = [r["p"] for r in drawn.orderBy("p").collect()]
+    kind = df.select(place.alias("p")).schema["p"].dataType
+    chosen = [rows[i * len(rows) // segments] for i in range(1, segments)] if rows else []
+    distinct = [c for i, c in enumerate(chosen) if i == 0 or c != chosen[i - 1]]
+    return [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(c, kind.fields)]) for c in distinct]
 
 
-def _segment_number(position: Column, cuts: list) -> Column:
-    """How many cuts lie below the position, by binary search over the literal array."""
+def _segment_number(position: Column, cuts: list[Column]) -> Column:
+    """How many cuts lie below the position, by binary search over the array of cuts."""
     step, steps = 1, []
     while step <= len(cuts):
         steps.append(step)
         step *= 2
-    points = F.array(*[F.lit(c) for c in cuts])
+    points = F.array(*cuts)
 
     def descend(low: Column, width: Column) -> Column:
         return F.when(F.try_element_at(points, low + width) < position, low + width).otherwise(low)
@@ -157,7 +177,7 @@ def carry(
         return df.withColumns(nearest(list(keys)))
 
     is_heavy = key_hash(keys).isin(list(heavy))
-    position = _order_number(df, order[0])
+    position = _place(df, order)
     cuts = _cut_points(df, position, is_heavy, sum(heavy.values()))
     if not cuts:
         return df.withColumns(nearest(list(keys)))
@@ -197,15 +217,6 @@ def carry(
     )
 
 
-def _row_hash(df: DataFrame) -> Column:
-    plain = [
-        F.col(f"`{f.name}`")
-        for f in df.schema.fields
-        if not isinstance(f.dataType, (T.MapType, T.VariantType))
-    ]
-    return F.xxhash64(*plain)
-
-
 def salt_pair(
     left: DataFrame,
     right: DataFrame,
@@ -214,21 +225,29 @@ def salt_pair(
 ) -> tuple[DataFrame, DataFrame, bool]:
     """Add matching salt columns when the left side has large keys.
 
-    Rows of a large left key get a salt from a hash of the row; only the right
-    rows of those keys are repeated, once per salt. Returns the two frames and
-    whether ``LEFT_SALT = RIGHT_SALT`` has to be part of the join condition.
+    Rows of a large left key get a salt by their place, so equal rows spread as
+    well; only the right rows of those keys are repeated, once per salt. Keys are
+    hashed in the type in which the join compares them. Returns the two frames
+    and whether ``LEFT_SALT = RIGHT_SALT`` has to be part of the join condition.
     """
-    heavy = heavy_keys(left, left_keys)
+    spark = left.sparkSession
+    types = [
+        common_type(spark, left.schema[k].dataType, right.schema[r].dataType) for k, r in zip(left_keys, right_keys)
+    ]
+
+    def compared(keys: Sequence[str]) -> list[Column]:
+        return [F.col(f"`{k}`").try_cast(t) for k, t in zip(keys, types)]
+
+    names = [f"__compared_{i}" for i in range(len(types))]
+    heavy = heavy_keys(left.select(*[c.alias(n) for c, n in zip(compared(left_keys), names)]), names)
     if not heavy:
         return left, right, False
     hashes = list(heavy)
-    n_salts = _pieces(left.sparkSession, max(heavy.values()))
-    salt = F.when(key_hash(left_keys).isin(hashes), F.pmod(_row_hash(left), F.lit(n_salts))).otherwise(F.lit(0))
-    # A right key may have another type than the left one; equal values hash
-    # alike once cast, and a needless repetition still matches only once.
-    same = [F.col(r).try_cast(left.schema[k].dataType) for k, r in zip(left_keys, right_keys)]
+    n_salts = _pieces(spark, max(heavy.values()))
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(n_salts))
+    salt = F.when(F.xxhash64(*compared(left_keys)).isin(hashes), place).otherwise(F.lit(0))
     repeats = F.when(
-        F.xxhash64(*same).isin(hashes), F.sequence(F.lit(0), F.lit(n_salts - 1))
+        F.xxhash64(*compared(right_keys)).isin(hashes), F.sequence(F.lit(0), F.lit(n_salts - 1))
     ).otherwise(F.array(F.lit(0)))
     return (
         left.withColumn(LEFT_SALT, salt.cast("int")),

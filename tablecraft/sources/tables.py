@@ -54,34 +54,53 @@ def create_table(
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.saveAsTable(name)
-    for key, value in (properties or {}).items():
-        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ('{key}' = '{value}')")
+    _set_properties(spark, name, properties or {})
     return True
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _set_properties(spark: SparkSession, name: str, properties: Mapping[str, str]) -> None:
+    if properties:
+        pairs = ", ".join(f"{_quoted(k)} = {_quoted(v)}" for k, v in properties.items())
+        spark.sql(f"ALTER TABLE {name} SET TBLPROPERTIES ({pairs})")
+
+
+def _properties(spark: SparkSession, name: str) -> dict[str, str]:
+    """The properties a user has set; Spark keeps its own under reserved names."""
+    if not spark.catalog.tableExists(name):
+        return {}
+    found = spark.sql(f"SHOW TBLPROPERTIES {name}").collect()
+    return {r["key"]: r["value"] for r in found if not r["key"].startswith(("transient", "spark.sql", "option."))}
+
+
 def overwrite(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace a table and its schema, also when ``df`` reads that table.
+    """Replace a table and its schema, also when ``df`` reads that table; its properties stay.
 
     Spark refuses to overwrite a table it is reading. The new rows then go to a
-    table beside it first, so they are complete before the old ones go.
+    table beside it, which takes the old one's place when it is complete.
     """
     spark = df.sparkSession
+    properties = _properties(spark, name)
 
-    def replace(rows: DataFrame) -> None:
-        writer = _laid_out(rows, partition_by).write.format("parquet").mode("overwrite")
+    def replace(place: str) -> None:
+        writer = _laid_out(df, partition_by).write.format("parquet").mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.saveAsTable(name)
+        writer.saveAsTable(place)
 
     try:
-        replace(df)
+        replace(name)
     except AnalysisException as error:
         if not (error.getCondition() or "").startswith("UNSUPPORTED_OVERWRITE"):
             raise
         staged = f"{name}__staged"
-        df.write.format("parquet").mode("overwrite").saveAsTable(staged)
-        replace(spark.table(staged))
-        spark.sql(f"DROP TABLE {staged}")
+        replace(staged)
+        spark.sql(f"DROP TABLE {name}")
+        spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+    _set_properties(spark, name, properties)
 
 
 def append_rows(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -74,16 +74,35 @@ def test_carry_cuts_along_other_types(spark, group_size, dtype):
     assert [r["x"] for r in found.orderBy("t").collect()] == [None, *range(59)]
 
 
-def test_carry_refuses_to_cut_text(spark):
-    spark.conf.set(MAX_GROUP_ROWS_CONF, "3")
+def test_carry_cuts_along_text(spark, group_size):
+    df = spark.range(60).select(F.lit(1).alias("k"), F.lpad(F.col("id").cast("string"), 3, "0").alias("t"), "id")
+    found = carry(df, ["k"], ["t"], {"x": F.col("id")})
+    assert [r["x"] for r in found.orderBy("t").collect()] == [None, *range(59)]
+
+
+def test_carry_cuts_within_one_instant(spark):
+    spark.conf.set(MAX_GROUP_ROWS_CONF, "10")
     try:
-        df = spark.range(60).select(F.lit(1).alias("k"), F.col("id").cast("string").alias("t"))
-        with pytest.raises(ValueError, match="order by a number"):
-            carry(df, ["k"], ["t"], {"x": F.col("t")})
+        df = spark.range(80).select(F.lit(1).alias("k"), F.lit(7).alias("t"), "id")
+        found = carry(df, ["k"], ["t", "id"], {"x": F.col("id")})
+        assert [r["x"] for r in found.orderBy("id").collect()] == [None, *range(79)]
+        assert found.groupBy("__segment").count().count() > 1 if "__segment" in found.columns else True
     finally:
         spark.conf.unset(MAX_GROUP_ROWS_CONF)
 
 
+def test_equal_rows_and_other_types_join_alike_when_salted(spark, group_size):
+    left = spark.range(200).select(F.lit("01").alias("k"), F.lit("same").alias("v"))
+    right = spark.createDataFrame([(1, "one")], "k int, w string")
+    assert skew_join(left, right, ["k"], "inner").count() == 200
+    assert skew_join(left, right, ["k"], "left_anti").count() == 0
+
+
+def test_rows_with_nested_maps_are_salted(spark, group_size):
+    left = spark.range(60).select(F.lit(1).alias("k"), F.array(F.create_map(F.lit("a"), "id")).alias("m"))
+    assert skew_join(left, spark.createDataFrame([(1, 2)], "k int, w int"), ["k"], "inner").count() == 60
+
+
 def test_no_task_gets_a_large_key_whole(spark, skewed):
     spark.conf.set(MAX_GROUP_ROWS_CONF, "60")
     try:

@@ -135,3 +135,18 @@ def test_working_dir_is_the_shared_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     first, second = working_dir(spark, "x"), working_dir(spark, "x")
     assert first.startswith(root) and first != second
+
+
+def test_overwrite_keeps_properties_and_writes_a_self_reading_table_once(spark):
+    from tablecraft.sources import tables as S
+
+    name = "kept_properties"
+    rows_of = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    S.create_table(spark, name, rows_of, properties={"owner_team": "it's a \\ team"})
+    S.overwrite(rows_of, name)
+    S.overwrite(spark.table(name).where("id > 1"), name)
+    assert [tuple(r) for r in spark.table(name).collect()] == [(2, "b")]
+    found = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {name}").collect()}
+    assert found["owner_team"] == "it's a \\ team"
+    assert not spark.catalog.tableExists(f"{name}__staged")
+    spark.sql(f"DROP TABLE {name}")
