@@ -6,6 +6,7 @@ import datetime
 import decimal
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -83,7 +84,9 @@ def test_query_with_large_keys_and_large_sources(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    # Those of the training-data operators and their pipeline are tested against brute force.
+    own = {n for n in queries() if not re.fullmatch(r"op\d+_.*|pipeline", n)}
+    assert own == set(oracle_sql())
 
 
 def test_entry(spark):
