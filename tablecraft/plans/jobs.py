@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from tablecraft.operators.cdc import merge_history, standardize_history
 from tablecraft.operators.quality import Check, gate
 from tablecraft.operators.scoring import batch_inference
 from tablecraft.operators.versions import max_commit_version, scalar
+from tablecraft.plans.silver import silver_table
 from tablecraft.sources.feed import from_version
 from tablecraft.sources.tables import append, overwrite, read
 
@@ -20,6 +21,23 @@ def check_table(spark: SparkSession, table: str, checks: Iterable[Check], quaran
     return gate(read(spark, table), checks, lambda bad: overwrite(bad, quarantine_table), table)
 
 
+def silver_job(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    options: Mapping[str, Any],
+    checks: Iterable[Check] = (),
+    quarantine_table: str | None = None,
+    partition_by: Sequence[str] = (),
+) -> None:
+    """Read a bronze table, cleanse it by its options, check it, and replace the silver table.
+
+    A failed check writes the bad rows to the quarantine table, if one is named, and leaves the silver table as it is.
+    """
+    write_bad = (lambda bad: overwrite(bad, quarantine_table)) if quarantine_table else None
+    overwrite(silver_table(read(spark, source), options, checks, write_bad), target, partition_by)
+
+
 def refresh_history_table(
     spark: SparkSession,
     feed: DataFrame,

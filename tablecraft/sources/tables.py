@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 from enum import Enum
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablecraft.operators.merge import MergeConfig, merge_with_config, merge_with_keys
+from tablecraft.operators.merge import (
+    Expression,
+    MergeConfig,
+    audited_upsert,
+    delete_rows,
+    merge_with_config,
+    merge_with_keys,
+    update_rows,
+)
 
 
 class WriteMode(Enum):
@@ -18,6 +27,7 @@ class WriteMode(Enum):
     MERGE = "merge"
     MERGE_CDC = "merge_cdc"
     UPSERT = "upsert"
+    MERGE_AUDITED = "merge_audited"
 
 
 def read(spark: SparkSession, table: str, options: Mapping[str, str] | None = None) -> DataFrame:
@@ -80,13 +90,14 @@ def overwrite(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> Non
     """Replace a table and its schema, also when ``df`` reads that table; its properties stay.
 
     Spark refuses to overwrite a table it is reading. The new rows then go to a
-    table beside it, which takes the old one's place when it is complete.
+    table beside it, which takes the old one's place when it is complete. The
+    places of partitions don't follow a new name, so those rows are copied back.
     """
     spark = df.sparkSession
     properties = _properties(spark, name)
 
-    def replace(place: str) -> None:
-        writer = _laid_out(df, partition_by).write.format("parquet").mode("overwrite")
+    def replace(place: str, rows: DataFrame = df) -> None:
+        writer = _laid_out(rows, partition_by).write.format("parquet").mode("overwrite")
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.saveAsTable(place)
@@ -98,8 +109,12 @@ def overwrite(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> Non
             raise
         staged = f"{name}__staged"
         replace(staged)
-        spark.sql(f"DROP TABLE {name}")
-        spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+        if partition_by:
+            replace(name, spark.table(staged))
+            spark.sql(f"DROP TABLE {staged}")
+        else:
+            spark.sql(f"DROP TABLE {name}")
+            spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
     _set_properties(spark, name, properties)
 
 
@@ -136,8 +151,13 @@ def write(
     keys: Sequence[str] = (),
     config: MergeConfig | None = None,
     merge_schema: bool = True,
+    as_of: str | datetime | Column | None = None,
 ) -> None:
-    """Append to, overwrite or merge into a table."""
+    """Append to, overwrite or merge into a table.
+
+    A merge by keys without ``keys`` uses those in the table's ``primary_key`` property (names joined by commas).
+    An audited merge creates the table when it is absent, adds and backfills its audit columns, and stamps ``as_of``.
+    """
     if mode is WriteMode.APPEND:
         append(df, name, partition_by, merge_schema)
     elif mode is WriteMode.OVERWRITE:
@@ -149,7 +169,40 @@ def write(
         if mode is WriteMode.MERGE_CDC:
             if config is None:
                 raise ValueError("merge_cdc needs a MergeConfig")
-            state = merge_with_config(target, df, config, with_schema_evolution=merge_schema)
+            state = merge_with_config(target, df, config, with_schema_evolution=merge_schema, as_of=as_of)
+        elif mode is WriteMode.MERGE_AUDITED:
+            state = audited_upsert(df, target, _keys_of(spark, name, keys), as_of)
         else:
+            keys = _keys_of(spark, name, keys)
             state = merge_with_keys(target, df, keys, with_schema_evolution=merge_schema)
         overwrite(state, name, partition_by)
+
+
+PRIMARY_KEY = "primary_key"
+
+
+def _keys_of(spark: SparkSession, name: str, keys: Sequence[str]) -> list[str]:
+    """The given keys, else those the table's properties name."""
+    named = _properties(spark, name).get(PRIMARY_KEY, "")
+    found = list(keys) or [k.strip() for k in named.split(",") if k.strip()]
+    if not found:
+        raise ValueError(f"no keys given, and {name} names none in its property {PRIMARY_KEY}")
+    return found
+
+
+def update_table(
+    spark: SparkSession,
+    name: str,
+    set_expr: Mapping[str, Expression],
+    condition: Expression | None = None,
+    partition_by: Sequence[str] = (),
+) -> None:
+    """Set columns of a table's rows where the condition is true, of all rows without one."""
+    overwrite(update_rows(spark.table(name), set_expr, condition), name, partition_by)
+
+
+def delete_from_table(
+    spark: SparkSession, name: str, condition: Expression | None = None, partition_by: Sequence[str] = ()
+) -> None:
+    """Drop a table's rows where the condition is true, all rows without one."""
+    overwrite(delete_rows(spark.table(name), condition), name, partition_by)

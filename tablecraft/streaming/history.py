@@ -45,6 +45,14 @@ class HistoryFolder:
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
         self.spark, self.root, self.schema = spark, root.rstrip("/"), schema
 
+    def exists(self, path: str) -> bool:
+        name = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = name.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(name)
+        return found is not None and len(found) > 0
+
+    def holds_batches(self) -> bool:
+        return self.exists(f"{self.root}/batch=*")
+
     def _rows(self) -> DataFrame:
         schema = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
         return self.spark.read.schema(schema).parquet(self.root)
@@ -97,7 +105,13 @@ def maintain_history(
     available_now: bool = True,
     on_batch: Callable[[int], None] | None = None,
 ) -> StreamingQuery:
-    """Start a query that applies a feed stream to a history folder."""
+    """Start a query that applies a feed stream to a history folder.
+
+    A checkpoint and a folder belong together: with a new checkpoint, batches would count from 0 again and replace
+    those in the folder, so a folder that holds batches is refused then.
+    """
+    if folder.holds_batches() and not folder.exists(f"{checkpoint.rstrip('/')}/offsets"):
+        raise ValueError(f"{folder.root} holds batches of another checkpoint than {checkpoint}")
 
     def apply(events: DataFrame, batch: int) -> None:
         folder.apply(events, batch, keys, tie_break)

@@ -247,3 +247,12 @@ def test_schema_freshness(spark):
         assert rows(V.schema_freshness(spark, "fresh")) == [("a", datetime(2025, 3, 1)), ("broken", None)]
     finally:
         spark.sql("DROP DATABASE fresh CASCADE")
+
+
+@pytest.mark.parametrize("allowed", [["a", None], [None], [], ["a"]])
+def test_no_row_is_lost_by_a_split(spark, allowed):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "v string")
+    check = Q.Check("is_in_list", {"column": "v", "allowed": allowed})
+    valid, bad = Q.split(df, [check])
+    assert sorted(str(r["v"]) for r in valid.union(bad.select("v")).collect()) == ["None", "a", "b"]
+    assert {r["v"] for r in bad.collect()} == {"a", "b"} - set(allowed)

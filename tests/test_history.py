@@ -319,3 +319,20 @@ def test_valid_at_and_current_rows(spark):
     history = history_of(spark, CASES["two updates of one key"][2])
     assert [r["tier"] for r in cdc.valid_at(history, "2025-07-30 09:00:00").collect()] == ["Gold"]
     assert [r["tier"] for r in cdc.current_rows(history).collect()] == ["Platinum"]
+
+
+def test_snapshots_with_repeated_keys_are_refused(spark):
+    schema = "k int, v string"
+    once = spark.createDataFrame([(None, "a"), (1, "b")], schema)
+    changed = spark.createDataFrame([(None, "c"), (2, "d")], schema)
+    found = cdc.snapshot_changes(once, changed, ["k"], 1, "2024-01-01").select("k", "v", "_change_type")
+    assert rows(found) == rows(
+        spark.createDataFrame(
+            [(None, "a", "update_preimage"), (None, "c", "update_postimage"), (1, "b", "delete"), (2, "d", "insert")],
+            "k int, v string, t string",
+        )
+    )
+    twice = once.union(once)
+    for before, after in ((twice, changed), (changed, twice)):
+        with pytest.raises(Exception, match="several rows of one key"):
+            cdc.snapshot_changes(before, after, ["k"], 1, "2024-01-01").collect()

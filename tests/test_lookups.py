@@ -125,3 +125,12 @@ def test_nearby_places_refuses_odd_radii(spark):
     for radius in (0, -1):
         with pytest.raises(ValueError):
             nearby_places(df, df, radius)
+
+
+def test_lookup_of_repeated_keys_is_refused(spark, group_size):
+    labels = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    features = spark.createDataFrame([(1, 5.0), (2, 6.0), (None, 7.0), (None, 8.0)], "k int, f double")
+    lookup = FeatureLookup("t", "k", ["f"])
+    assert rows(lookup_features(labels, features, lookup)) == [(None, None), (1, 5.0), (2, 6.0)]
+    with pytest.raises(Exception, match="several rows of one key"):
+        lookup_features(labels, features.union(features), lookup).collect()

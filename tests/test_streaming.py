@@ -67,6 +67,20 @@ def test_history_stream(spark, group_size, overlap):
     assert rows(folder.history(3).select(*expected.columns)) == rows(expected)
 
 
+def test_history_stream_refuses_another_checkpoint(spark):
+    root = working_dir(spark, "history")
+    feed = _feed(spark)
+    folder = HistoryFolder(spark, f"{root}/history", history_schema(feed.schema))
+    feed.write.parquet(f"{root}/feed/delivery=0")
+    stream = feed_stream(spark, f"{root}/feed/*", feed.schema)
+    maintain_history(stream, folder, ["k"], f"{root}/checkpoint").awaitTermination()
+    before = rows(folder.history(0))
+    with pytest.raises(ValueError, match="another checkpoint"):
+        maintain_history(feed_stream(spark, f"{root}/feed/*", feed.schema), folder, ["k"], f"{root}/new")
+    maintain_history(feed_stream(spark, f"{root}/feed/*", feed.schema), folder, ["k"], f"{root}/checkpoint").awaitTermination()
+    assert rows(folder.history(0)) == before
+
+
 class Plus:
     def predict(self, x):
         return x.iloc[:, 0].to_numpy() + 1.0

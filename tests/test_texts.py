@@ -186,3 +186,16 @@ def test_batch_inference(spark):
     df = spark.createDataFrame([(1.0,)], "x double")
     found = batch_inference(df, Doubler, ["x"], "model@3", "2025-01-01 00:00:00")
     assert rows(found) == [(1.0, 2.0, "model@3", datetime(2025, 1, 1))]
+
+
+def test_predict_leaves_other_columns_alone(spark):
+    """A long id beyond 2**53 beside a null, and a time that pandas can't hold."""
+    df = spark.sql("SELECT * FROM VALUES (9007199254740993L, timestamp'9999-12-31 00:00:00', 1.0D), (NULL, NULL, 2.0D) AS t(id, at, x)")
+
+    class Double:
+        def predict(self, x):
+            return x["x"] * 2
+
+    found = predict(df, Double, ["x"])
+    assert found.where("id = 9007199254740993 AND at = timestamp'9999-12-31 00:00:00' AND prediction = 2.0").count() == 1
+    assert found.where("id IS NULL AND at IS NULL AND prediction = 4.0").count() == 1

@@ -54,14 +54,21 @@ def audit_backfill(spark, d):
     return M.audited_upsert(merge_source(spark, d), merge_target(spark, d), _KEY, AS_OF)
 
 
-@query(f"WITH {PAIR} SELECT *, CAST(NULL AS TIMESTAMP) AS created_date, CAST(NULL AS TIMESTAMP) AS last_modified_date FROM t")
+@query("SELECT *, CAST(NULL AS TIMESTAMP) AS created_date, CAST(NULL AS TIMESTAMP) AS last_modified_date FROM orders")
 def audit_evolve(spark, d):
-    return M.ensure_audit_columns(merge_target(spark, d))[0]
+    return M.ensure_audit_columns(table(spark, d, "orders"))[0]
 
 
-@query(f"WITH {PAIR} SELECT t.o_orderkey, {_CHANGED} AS changed FROM t JOIN s ON t.o_orderkey = s.o_orderkey")
+@query("SELECT o_orderkey, o_orderstatus = 'P' OR o_orderkey % 3 = 0 AS changed FROM orders")
 def merge_change_predicate(spark, d):
-    target, source = merge_target(spark, d).alias("target"), merge_source(spark, d).alias("source")
+    """All orders against a copy that loses the customer of some and the price of others."""
+    target = table(spark, d, "orders").alias("target")
+    source = table(spark, d, "orders").withColumns(
+        {
+            "o_totalprice": F.expr("CASE WHEN o_orderstatus = 'P' THEN -1.0 - o_totalprice ELSE o_totalprice END"),
+            "o_custkey": F.expr("CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_custkey END"),
+        }
+    ).alias("source")
     joined = target.join(source, F.col("target.o_orderkey") == F.col("source.o_orderkey"))
     return joined.select("target.o_orderkey", differs(_PLAIN).alias("changed"))
 
@@ -213,11 +220,9 @@ def update_where(spark, d):
     return M.update_rows(orders, {"o_orderstatus": F.lit("X"), "o_totalprice": "o_totalprice * 2"}, "o_orderstatus = 'P'")
 
 
-@query(
-    f"""WITH {PAIR} SELECT * FROM s WHERE o_orderstatus IS NULL OR o_orderstatus <> 'F'"""
-)
+@query("SELECT * FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus <> 'F'")
 def delete_where(spark, d):
-    return M.delete_rows(merge_source(spark, d), "o_orderstatus = 'F'")
+    return M.delete_rows(table(spark, d, "orders"), "o_orderstatus = 'F'")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
