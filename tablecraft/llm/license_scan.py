@@ -164,10 +164,12 @@ def _scan(index: list[dict], coverage: float) -> callable:
         for template, pairs in hits.items():
             tokens = known[template]
             results = []
+            # Narrower than a template, so that no band reaches the next place of the same one.
+            band = min(BAND, max(len(tokens) // 2, 1))
             for diagonal in sorted({at - place for at, place in pairs}):
-                low = max(0, diagonal - BAND)
-                part = ids[low : diagonal + len(tokens) + BAND + 1].tolist()
-                equal, first, last = align(tokens, part, diagonal - low, BAND)
+                low = max(0, diagonal - band)
+                part = ids[low : diagonal + len(tokens) + band + 1].tolist()
+                equal, first, last = align(tokens, part, diagonal - low, band)
                 if equal >= coverage * len(tokens):
                     results.append((equal, first + low, last + low))
             taken: list[tuple[int, int]] = []
