@@ -102,11 +102,15 @@ def freshness(tables: Mapping[str, DataFrame], logs: Mapping[str, DataFrame] | N
 
 
 def schema_freshness(spark: SparkSession, schema: str, logs: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """Freshness of every table of a schema; null for a table that cannot be read."""
+    """Freshness of every table of a schema; null for a table that cannot be read.
+
+    Broken or missing files of a table count for nothing and don't end the report.
+    """
     tables = {}
+    reader = spark.read.options(ignoreCorruptFiles="true", ignoreMissingFiles="true")
     for entry in spark.catalog.listTables(schema):
         try:
-            tables[entry.name] = spark.table(f"{schema}.{entry.name}")
+            tables[entry.name] = reader.table(f"{schema}.{entry.name}")
         except AnalysisException:
             tables[entry.name] = spark.range(0)
     return freshness(tables, logs)

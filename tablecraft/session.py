@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -32,6 +35,14 @@ def build_session(master: str | None = None, app_name: str = "tablecraft", **con
     return builder.getOrCreate()
 
 
+@cache
+def _local_root() -> str:
+    """One folder of this machine for a local session without a shared one; it goes when the process ends."""
+    root = tempfile.mkdtemp(prefix="tablecraft-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def working_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder every executor can reach.
 
@@ -42,5 +53,5 @@ def working_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by the cluster")
-        root = tempfile.mkdtemp(prefix="tablecraft-")
+        root = _local_root()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

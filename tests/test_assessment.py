@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from conftest import rows
@@ -244,7 +245,20 @@ def test_schema_freshness(spark):
         spark.sql("CREATE TABLE fresh.gone USING parquet AS SELECT 1 AS id")
         spark.sql("CREATE VIEW fresh.broken AS SELECT * FROM fresh.gone")
         spark.sql("DROP TABLE fresh.gone")
-        assert rows(V.schema_freshness(spark, "fresh")) == [("a", datetime(2025, 3, 1)), ("broken", None)]
+        spark.sql("CREATE TABLE fresh.part USING parquet AS SELECT timestamp'2025-04-01 00:00:00' AS loaded_date")
+        spark.sql("CREATE TABLE fresh.torn USING parquet AS SELECT timestamp'2025-04-01 00:00:00' AS loaded_date")
+        for name, keep in (("part", True), ("torn", False)):
+            place = spark.sql(f"DESCRIBE FORMATTED fresh.{name}").where("col_name = 'Location'").first()["data_type"]
+            folder = Path(place.removeprefix("file:"))
+            for file in folder.glob("part-*.parquet"):
+                (folder / f"broken-{file.name}").write_bytes(b"no parquet at all, but long enough to be looked at")
+                if not keep:
+                    file.write_bytes(b"no parquet at all, but long enough to be looked at")
+                    (folder / f".{file.name}.crc").unlink()
+            spark.catalog.refreshTable(f"fresh.{name}")
+        assert rows(V.schema_freshness(spark, "fresh")) == [
+            ("a", datetime(2025, 3, 1)), ("broken", None), ("part", datetime(2025, 4, 1)), ("torn", None),
+        ]
     finally:
         spark.sql("DROP DATABASE fresh CASCADE")
 
