@@ -318,14 +318,21 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id
     pure = pure.orderBy(F.desc("toxic"), "term").limit(CANDIDATES).collect()
     if not pure:
         return None
-    sample = F.xxhash64("id", F.lit(7))
-    toxic = train.filter("label = 1").orderBy(sample).limit(sample_docs)
+    sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+
+    def sample(label: int) -> DataFrame:
+        """The rows of the smallest hashes; a bound on the hash, from the number of rows, keeps the others where they are."""
+        place = F.xxhash64("id", F.lit(7))
+        share = min(1.0, 1.3 * sample_docs / max(sizes.get(label, 0), 1) + 1e-4)
+        near = train.filter((F.col("label") == label) & (F.pmod(place, F.lit(10**9)) < int(share * 10**9) + 1))
+        return near.orderBy(F.pmod(place, F.lit(10**9)), "id").limit(sample_docs)
+
+    toxic = sample(1)
     found = toxic.mapInArrow(_marked({r["term"]: i for i, r in enumerate(pure)}), "found array<int>").collect()
     chosen = cover([r["found"] for r in found], [r["toxic"] / r["docs"] for r in pure], LEAST_GAIN)
     if not chosen:
         return None
-    others = train.filter("label = 0").orderBy(sample).limit(sample_docs)
-    both = toxic.union(others).select("label", "text").coalesce(1)
+    both = toxic.union(sample(0)).select("label", "text").coalesce(1)
     model = both.mapInPandas(_train([pure[i]["term"] for i in chosen]), MODEL).first()
     discard(train)
     return model
