@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from tablecraft.llm.common import WordHashes, keep, lists, mixed, multiplier, small, without_documents
 
-TOKEN = re.compile(r"[^\W_]+")
+# Characters beyond ASCII that are no letters or digits, and a table that blanks those within ASCII.
+_FOREIGN_MARK = re.compile(r"[^\w\x00-\x7f]")
+_BLANKED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 # Fixed masks of eight tokens; 1 counts, 0 is ignored.
 MASKS = ("11111111", "1101100111001", "11010010110011", "1110010100110101", "101101101101")
 LEAST_TOKENS = 10
@@ -36,22 +38,34 @@ AROUND = 64
 # Points of the bitmap (bits); a bitmap takes 4 MB.
 POINTS = 1 << 25
 MISMATCH = 4
+# Tokens that a task hashes at once.
+HELD_TOKENS = 1 << 15
 
 
 def tokens(text: str | None, hashes: WordHashes) -> np.ndarray:
     """Hashes of the tokens of a text."""
-    return hashes.of([w.encode() for w in TOKEN.findall(text.lower())]) if text else np.empty(0, np.uint64)
-
-
-def seeds(ids: np.ndarray, mask: str) -> np.ndarray:
-    """One hash per place where the mask fits."""
-    count = len(ids) - len(mask) + 1
-    if count <= 0:
+    if not text:
         return np.empty(0, np.uint64)
-    total = np.full(count, int(mask, 2), np.uint64)
-    for rank, at in enumerate(i for i, bit in enumerate(mask) if bit == "1"):
-        total = total + mixed(ids[at : at + count] * multiplier(rank))
-    return mixed(total)
+    text = text.lower()
+    if not text.isascii():
+        text = _FOREIGN_MARK.sub(" ", text)
+    return hashes.of(text.encode().translate(_BLANKED).split())
+
+
+def seeds(ids: np.ndarray, masks: list[str]) -> Iterator[tuple[str, np.ndarray]]:
+    """For each mask, one hash per place where it fits; the number of a token within the mask counts, not its place."""
+    largest = max((m.count("1") for m in masks), default=0)
+    ranked = [mixed(ids * multiplier(rank)) for rank in range(largest)] if len(ids) else []
+    for mask in masks:
+        count = len(ids) - len(mask) + 1
+        if count <= 0:
+            yield mask, np.empty(0, np.uint64)
+            continue
+        total = np.full(count, int(mask, 2), np.uint64)
+        for rank, at in enumerate(i for i, bit in enumerate(mask) if bit == "1"):
+            total += ranked[rank][at : at + count]
+        # Sums of spread values are spread.
+        yield mask, total
 
 
 def _item_seeds(shortest: int) -> callable:
@@ -65,8 +79,8 @@ def _item_seeds(shortest: int) -> callable:
                 masks = [m for m in MASKS if len(m) <= len(ids)]
                 if len(ids) < shortest and len(ids):
                     masks.append("1" * len(ids))
-                for mask in masks:
-                    for at, seed in enumerate(seeds(ids, mask).view(np.int64).tolist()):
+                for mask, found in seeds(ids, masks):
+                    for at, seed in enumerate(found.view(np.int64).tolist()):
                         for column, value in zip(rows, (seed, item, at, len(mask)), strict=True):
                             column.append(value)
                         items.append(ids.view(np.int64))
@@ -79,29 +93,45 @@ def _item_seeds(shortest: int) -> callable:
 
 
 def _hits(bitmap: bytes, lengths: list[int]) -> callable:
+    masks = sorted({*MASKS, *("1" * n for n in lengths)})
+
+    def found_in(docs: list[int | None], parts: list[np.ndarray], known: np.ndarray) -> pa.RecordBatch:
+        """Likely hits of some documents, whose tokens are hashed as one row; hits across documents don't count."""
+        ids = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        begins = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        owners, found, places, starts, around = [], [], [], [], []
+        for mask, own in seeds(ids, masks):
+            hit = np.flatnonzero(known[(own & np.uint64(POINTS - 1)).view(np.int64)])
+            doc = np.searchsorted(begins, hit, "right") - 1
+            for at, n in zip(hit.tolist(), doc.tolist(), strict=True):
+                begin, end = int(begins[n]), int(begins[n + 1])
+                if at + len(mask) <= end:
+                    start = max(begin, at - AROUND)
+                    owners.append(docs[n])
+                    found.append(own[at])
+                    places.append(at - begin)
+                    starts.append(start - begin)
+                    around.append(ids[start : min(end, at + AROUND + len(mask))].view(np.int64))
+        return pa.record_batch(
+            [pa.array(owners, pa.int64()), pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(places, pa.int32()), pa.array(starts, pa.int32()), lists(around, pa.int64())],
+            ["doc_id", "seed", "at", "start", "around"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap, np.uint8)
-        masks = sorted({*MASKS, *("1" * n for n in lengths)})
         hashes = WordHashes()
+        known = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").view(bool)
+        docs, parts, held = [], [], 0
         for batch in batches:
-            docs, found, places, starts, around = [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = tokens(text.as_py(), hashes)
-                for mask in masks:
-                    own = seeds(ids, mask)
-                    point = own % np.uint64(POINTS)
-                    hit = np.flatnonzero(bits[(point >> np.uint64(3)).astype(np.int64)] >> (point & np.uint64(7)).astype(np.uint8) & 1)
-                    for at in hit.tolist():
-                        start = max(0, at - AROUND)
-                        docs.append(doc)
-                        found.append(own[at])
-                        places.append(at)
-                        starts.append(start)
-                        around.append(ids[start : at + AROUND + len(mask)].view(np.int64))
-            yield pa.record_batch(
-                [pa.array(docs, pa.int64()), pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(places, pa.int32()), pa.array(starts, pa.int32()), lists(around, pa.int64())],
-                ["doc_id", "seed", "at", "start", "around"],
-            )
+                own = tokens(text.as_py(), hashes)
+                docs.append(doc)
+                parts.append(own)
+                held += len(own)
+                if held >= HELD_TOKENS:
+                    yield found_in(docs, parts, known)
+                    docs, parts, held = [], [], 0
+        if docs:
+            yield found_in(docs, parts, known)
 
     return run
 

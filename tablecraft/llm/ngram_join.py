@@ -11,9 +11,9 @@ Steps, each over stored tables:
 3. PartEnum: sets are banded by size so that linked sets lie in the same or in neighbouring bands. For each band, the
    bound on the symmetric difference fixes a first-level partition of the domain, split again into second-level
    parts; a signature is a subset of the second-level parts of one first-level part. By the pigeonhole principle,
-   linked sets share a signature.
-4. The sets that share a signature are compared with one of them, the hub (the set with most company), not with each
-   other. Two sets that were compared with one hub need a comparison of their own only if one of them is not linked
+   linked sets share a signature that is not empty, or all their signatures are kept.
+4. A few sets that share a signature are compared with each other. More of them are compared with one of them, the hub
+   (the set with most company), not with each other. Two sets that were compared with one hub need a comparison of their own only if one of them is not linked
    with it; then their differences from the hub overlap, and a prefix of the rarer elements of these differences finds
    the pair. Crowded places in that index get a hub again, so no group is ever compared pair by pair.
 5. Links make components.
@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 from tablecraft.llm.common import WordHashes, discard, keep, lists, mixed, multiplier, small, text_bytes, window_hashes, without_documents
 from tablecraft.llm.components import components
 
+# Sets that share a signature and are compared pair by pair; with more, one of them is the hub.
+PAIRED_SETS = 6
 # Comparisons per member that a place of the index may cost; a place that would cost more gets a hub, and the places
 # below it may cost eight times as much, so that this ends after a few rounds.
 PAIRED_MEMBERS = 48
@@ -106,16 +108,26 @@ def bands(largest: int, over: int, under: int) -> list[tuple[int, int]]:
     return out
 
 
-def levels(distance: int) -> tuple[int, int, int]:
-    """First-level parts, second-level parts and parts to leave out, for a bound on the symmetric difference."""
+def levels(distance: int) -> tuple[int, int, int, int]:
+    """First-level parts, spare ones among them, second-level parts and how many of these a signature leaves out.
+
+    Two sets at most ``distance`` apart differ by no more than the left out number in one first-level part, and in as
+    many more as are spare.
+    """
     if distance <= 2:
-        return distance + 1, 1, 0
-    return (distance + 2) // 2, 3, 1
+        return distance + 1, 0, 1, 0
+    needed = distance // 2 + 1
+    return needed + needed // 8, needed // 8, 3, 1
 
 
 def part_signatures(items: np.ndarray, band: int, distance: int) -> np.ndarray:
-    """The signatures of a set in one band: any two sets at most ``distance`` apart share one."""
-    first, second, left_out = levels(distance)
+    """The signatures of a set in one band: any two sets at most ``distance`` apart share one.
+
+    Signatures of no element say nothing. A set in which they come from no more first-level parts than are spare leaves
+    them out: one part more than that agrees with a partner, so they share another signature of this set, and the
+    partner, which has the same elements there, has it as well.
+    """
+    first, spare, second, left_out = levels(distance)
     spread = mixed(items + multiplier(7 + band))
     part = ((spread >> np.uint64(32)) * np.uint64(first)) >> np.uint64(32)
     inner = ((spread & np.uint64(0xFFFFFFFF)) * np.uint64(second)) >> np.uint64(32)
@@ -123,13 +135,15 @@ def part_signatures(items: np.ndarray, band: int, distance: int) -> np.ndarray:
     np.add.at(sums, (part * np.uint64(second) + inner).astype(np.int64), mixed(items))
     sums = sums.reshape(first, second)
     base = mixed(np.arange(first, dtype=np.uint64) + np.uint64(band << 32))
-    out = []
+    out, empty = [], []
     for number, chosen in enumerate(combinations(range(second), second - left_out)):
         total = base + np.uint64(number)
         for at in chosen:
             total = mixed(total + sums[:, at] * multiplier(at))
         out.append(total)
-    return np.concatenate(out)
+        empty.append((sums[:, list(chosen)] == 0).all(1))
+    out, empty = np.stack(out), np.stack(empty)
+    return out[~empty] if empty.any(0).sum() <= spare else out.ravel()
 
 
 def signatures(items: np.ndarray, over: int, under: int, limits: list[tuple[int, int]]) -> np.ndarray:
@@ -243,7 +257,13 @@ def _links(sets: DataFrame, over: int, under: int) -> DataFrame:
     signed = keep(sets.mapInArrow(_signed(over, under), "place long, sid long"), "signatures")
     crowds = _crowds(signed)
     discard(signed)
-    found, allowed = [], PAIRED_MEMBERS
+    few = crowds.filter(F.col("company") <= PAIRED_SETS).select("place", "sid")
+    pairs = (
+        few.withColumnRenamed("sid", "hub").join(few, "place").filter("hub < sid").select("hub", "sid").distinct()
+    )
+    compared = keep(_compared(pairs, sets, over, under, differences=False), "pairs")
+    found, allowed = [compared.filter("linked").select("hub", "sid")], PAIRED_MEMBERS
+    crowds = crowds.filter(F.col("company") > PAIRED_SETS)
     while crowds.limit(1).count():
         spokes = keep(_compared(_spokes(crowds), sets, over, under, differences=True), "spokes")
         found.append(spokes.filter("linked").select("hub", "sid"))
