@@ -3,9 +3,13 @@
 Learning, from labelled rows alone:
 
 1. Over all labelled rows, count for every word and word beginning the toxic and the other documents it is in.
-2. Of those that are nearly only in toxic documents, choose the fewest that explain the toxic documents, the one that
-   explains most of the unexplained ones first (copies of one toxic text so add nothing). Their words are the toxic
-   tokens; this turns labels of documents into labels of tokens.
+2. Weigh each by its smoothed log-odds (toxic against other documents with it, less the odds of all labelled ones where
+   toxic documents are the majority). Of positive weights, those count that chance does not account for: among the terms
+   in as many documents, fewer than ``BY_CHANCE`` of those at least as toxic are expected if labels were dealt at random.
+   Where no term passes that, all of positive weight count.
+   ``COVERS`` times, choose the fewest that explain the toxic documents, the one that explains most of the unexplained
+   ones first, without words chosen before (copies of one toxic text so add few). Their words are the toxic tokens; this
+   turns labels of documents into labels of tokens.
 3. Fit the chain by maximum likelihood on sentences around such tokens, and sentences without any. A token's features
    are its word and its beginnings, as far as they occur in toxic tokens.
 4. Fit a logistic curve from the marginals of a document to its label.
@@ -23,6 +27,7 @@ scored one by one; without labelled rows of both classes every score is 0.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablecraft.llm.common import discard, keep, small, without_documents
@@ -38,10 +43,11 @@ from tablecraft.llm.common import discard, keep, small, without_documents
 TOKEN = re.compile(r"[^\W\d_]+")
 BEGINNINGS = (4, 5, 6)
 SAMPLE_DOCS = 4_000
-LEAST_TOXIC = 4
-PURITY = 0.95
 CANDIDATES = 20_000
-LEAST_GAIN = 3
+BY_CHANCE = 0.25
+COVERS = 8
+# Unexplained documents that a term must explain, as a share of the toxic ones of the sample; one at least.
+LEAST_SHARE = 0.00075
 SEQUENCE = 48
 THRESHOLD = 0.7
 COUNTED_TERMS = 400_000
@@ -87,23 +93,37 @@ def _marked(candidates: dict[str, int]) -> callable:
     return mark
 
 
-def cover(found: list[list[int]], purity: list[float], least_gain: int) -> list[int]:
-    """Terms that explain the documents: always the one in most unexplained documents, the purer and longer if equal."""
-    owners: dict[int, set[int]] = {}
+def cover(found: list[list[int]], weight: list[float], least_gain: int) -> list[int]:
+    """Terms that explain the documents: always the one in most unexplained documents, the heavier and longer if equal."""
+    owners: dict[int, list[int]] = {}
     for doc, own in enumerate(found):
         for term in own:
-            owners.setdefault(term, set()).add(doc)
+            owners.setdefault(term, []).append(doc)
+    weights = np.array(weight, float)
+    left = np.bincount([t for own in found for t in own], minlength=len(weights)) if owners else np.zeros(len(weights), int)
+    explained = [False] * len(found)
     chosen = []
-    while owners:
-        best = max(owners, key=lambda t: (len(owners[t]), purity[t], -t))
-        gain = owners.pop(best)
-        if len(gain) < least_gain:
-            break
+    while len(left) and (most := left.max()) >= max(least_gain, 1):
+        equal = np.flatnonzero(left == most)
+        best = int(equal[weights[equal].argmax()])
         chosen.append(best)
-        for term in list(owners):
-            owners[term] = owners[term] - gain
-            if len(owners[term]) < least_gain:
-                del owners[term]
+        for doc in owners[best]:
+            if not explained[doc]:
+                explained[doc] = True
+                left[found[doc]] -= 1
+    return chosen
+
+
+def covers(found: list[list[int]], names: list[str], weight: list[float], least_gain: int) -> list[int]:
+    """Terms of ``COVERS`` covers, each without the terms that are a beginning or a longer form of those before."""
+    chosen, left = [], found
+    for _ in range(COVERS):
+        best = cover(left, weight, least_gain)
+        chosen += best
+        stems = tuple(names[t].lstrip("=") for t in best)
+        heads = {stem[:n] for stem in stems for n in range(1, len(stem) + 1)}
+        gone = {t for t, name in enumerate(names) if (low := name.lstrip("=")) in heads or low.startswith(stems)}
+        left = [[t for t in own if t not in gone] for own in left]
     return chosen
 
 
@@ -179,7 +199,7 @@ def _padded(found: list[list[tuple[int, ...]]], weights: np.ndarray) -> tuple[np
 
 def fit_chain(found: list[list[tuple[int, ...]]], labels: list[list[int]], size: int, steps: int = 90, ridge: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the features (the last is the bias) and of the chain, by gradient ascent on the likelihood."""
-    length = max(map(len, found))
+    length = max(map(len, found), default=1)
     mask, truth = np.zeros((len(found), length), bool), np.zeros((len(found), length))
     places, ids = [], []
     for n, (own, marks) in enumerate(zip(found, labels, strict=True)):
@@ -305,20 +325,44 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
+def _beyond_chance(counted: DataFrame, share: float) -> DataFrame:
+    """(docs, toxic) of terms that are toxic more often than labels dealt at random explain, by Chernoff's bound."""
+    same = Window.partitionBy("docs")
+    part = F.col("toxic") / F.col("docs")
+    rest = F.when(part < 1, (1 - part) * F.log((1 - part) / (1 - share))).otherwise(0.0)
+    counts = counted.groupBy("docs", "toxic").agg(F.count("*").alias("terms"))
+    counts = counts.withColumns(
+        {
+            "all": F.sum("terms").over(same),
+            "observed": F.sum("terms").over(same.orderBy(F.desc("toxic")).rowsBetween(Window.unboundedPreceding, 0)),
+        }
+    )
+    counts = counts.filter(part > share)
+    chance = F.col("all") * F.exp(-F.col("docs") * (part * F.log(part / share) + rest))
+    return counts.filter(chance < BY_CHANCE * F.col("observed")).select("docs", "toxic")
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
     """The model as one row (see ``MODEL``), or None when a class has no labelled row."""
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
-    marks = marks.filter("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label"))
+    marks = marks.filter("id is not null and label is not null").groupBy("id").agg((F.max("label") != 0).cast("int").alias("label"))
     marks = small(marks.filter(~held_out(F.col("id"))))
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     train = keep(plain.join(marks, "id").select("id", "label", "text"), "labelled")
     counted = train.mapInArrow(_count, "term string, toxic long, docs long")
     counted = counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
-    pure = counted.filter((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") >= PURITY * F.col("docs")))
-    pure = pure.orderBy(F.desc("toxic"), "term").limit(CANDIDATES).collect()
-    if not pure:
-        return None
     sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
+    if len(sizes) < 2:
+        discard(train)
+        return None
+    counted = keep(counted, "counted-terms")
+    share = sizes[1] / (sizes[0] + sizes[1])
+    odds = F.log((F.col("toxic") + 0.5) / (F.col("docs") - F.col("toxic") + 0.5))
+    weighed = counted.withColumn("weight", odds - max(0.0, float(np.log(share / (1 - share))))).filter("weight > 0 and toxic > 0")
+    certain = small(keep(_beyond_chance(counted, share), "certain-counts"))
+    by_rank = [F.desc(F.col("toxic") * F.col("weight")), F.desc("toxic"), "term"]
+    pure = weighed.join(certain, ["docs", "toxic"], "left_semi").orderBy(*by_rank).limit(CANDIDATES).collect()
+    pure = pure or weighed.orderBy(*by_rank).limit(CANDIDATES).collect()
 
     def sample(label: int) -> DataFrame:
         """The rows of the smallest hashes; a bound on the hash, from the number of rows, keeps the others where they are."""
@@ -329,11 +373,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id
 
     toxic = sample(1)
     found = toxic.mapInArrow(_marked({r["term"]: i for i, r in enumerate(pure)}), "found array<int>").collect()
-    chosen = cover([r["found"] for r in found], [r["toxic"] / r["docs"] for r in pure], LEAST_GAIN)
-    if not chosen:
-        return None
+    least_gain = max(1, math.ceil(LEAST_SHARE * len(found)))
+    chosen = covers([r["found"] for r in found], [r["term"] for r in pure], [r["weight"] for r in pure], least_gain)
     both = toxic.union(sample(0)).select("label", "text").coalesce(1)
     model = both.mapInPandas(_train([pure[i]["term"] for i in chosen]), MODEL).first()
+    discard(counted)
     discard(train)
     return model
 

@@ -73,6 +73,24 @@ def test_cover_ignores_what_is_explained():
     assert m.cover(found, [1.0] * 7, 3) == [0, 1]
 
 
+@pytest.mark.parametrize(("sf", "least"), [("sf0.001", 2), ("sf0.01", 12)])
+def test_few_labels_find_toxic_documents(spark, sf, least):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    scores = [r for r in m.score_documents(docs, labels).collect() if zlib.crc32(str(r.doc_id).encode()) % 3 == 1 and r.doc_id in toxic]
+    assert sum(r.score >= m.THRESHOLD and toxic[r.doc_id] == 1 for r in scores) >= least
+    assert sum(r.score >= m.THRESHOLD and toxic[r.doc_id] == 0 for r in scores) <= 1
+
+
+def test_one_row_of_each_class_fits(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["you moron here", "good words here", "such a moron", None])], "doc_id long, text string")
+    free = [i for i in range(4) if zlib.crc32(str(i).encode()) % 3 != 1]
+    labels = spark.createDataFrame([(free[0], 1), (free[1], 0)], "doc_id long, toxic int")
+    assert m.learn(docs, labels) is not None
+    assert m.learn(docs, labels.filter("toxic = 1")) is None
+    assert len({r.score for r in m.score_documents(docs, labels).collect()}) > 1
+
+
 def test_odd_rows(odd_docs, no_docs, corpus, spark):
     _, labels = corpus
     none = m.score_documents(odd_docs, labels.limit(0)).collect()
