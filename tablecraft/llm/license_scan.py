@@ -1,20 +1,21 @@
-"""License scans: winnowed template fingerprints pick candidates, banded alignment measures them.
+"""License scans: hashed runs of template tokens pick candidates, banded alignment measures them.
 
-Templates become tokens (runs of letters and digits in lower case) and hashes of ``GRAM`` neighbouring tokens; of every
-``WINDOW`` neighbouring hashes the smallest is kept, so a shared stretch of ``GRAM + WINDOW - 1`` tokens always shares a
-kept hash. The kept hashes form an inverted index (hash to template and place), which is sent to the tasks in blocks of
-at most ``INDEX_ROWS`` entries; a larger index takes several passes.
+Templates become tokens (runs of letters and digits in lower case) and hashes of all their runs of ``GRAM`` tokens, or
+of fewer for the shortest: of the tokens that ``coverage`` asks for, cut apart by as many edits as it allows (one at
+least), some run has that length, so every such passage shares a hash. The hashes form an inverted index (hash to
+template and place), which is sent to the tasks in blocks of about ``INDEX_ROWS`` entries; a larger index takes several
+passes.
 
 Documents look up all their hashes. The hits of one template on one diagonal form a candidate, and a local alignment in
-a band around it (token equal 1, else -1, gap -1) gives the matched share of the template and the span in the document,
+a band around it (other token -1, gap -1, equal token one more than the edits that ``coverage`` allows) gives the matched share of the template and the span in the document,
 in code points. Of overlapping candidates of one template the best stays.
 
-Defined results: null or empty texts have no matches; a template of fewer than ``GRAM`` tokens is hashed as a whole; a
-license that stands in a document several times is reported each time; repeated rows are scanned one by one.
+Defined results: null or empty texts have no matches; a license that stands in a document several times is reported each time; repeated rows are scanned one by one.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -73,34 +74,47 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(last)
 
 
-def fingerprints(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Kept hashes of a template and their places."""
-    hashes = window_hashes(ids, min(GRAM, len(ids))) if len(ids) else np.empty(0, np.uint64)
-    kept = winnow(hashes, WINDOW)
-    return hashes[kept], kept
+def allowed_edits(size: int, coverage: float) -> int:
+    """Tokens of a template that a match may lack."""
+    return size - max(1, math.ceil(coverage * size - 1e-9))
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in batches:
-        for name, text in zip(batch.column("template").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            ids = hashes.of([t.encode() for t in TOKEN.findall((text or "").lower())])
-            found, places = fingerprints(ids)
-            size = len(found)
-            yield pa.record_batch(
-                [
-                    pa.array([name] * size, pa.string()),
-                    pa.array(found.view(np.int64)),
-                    pa.array(places, pa.int32()),
-                    pa.array([min(GRAM, len(ids))] * size, pa.int32()),
-                    pa.array([ids.view(np.int64).tolist()] * size, pa.list_(pa.int64())),
-                ],
-                ["template", "hash", "place", "gram", "tokens"],
-            )
+def gram_of(size: int, coverage: float) -> int:
+    """Length of a run that some part of every match has, at most ``GRAM``."""
+    edits = allowed_edits(size, coverage)
+    return min(GRAM, -(-(size - edits) // (max(edits, 1) + 1)))
+
 
+def fingerprints(ids: np.ndarray, coverage: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of a template and their places."""
+    hashes = window_hashes(ids, gram_of(len(ids), coverage)) if len(ids) else np.empty(0, np.uint64)
+    return hashes, np.arange(len(hashes))
 
-def align(template: list[int], tokens: list[int], diagonal: int, band: int) -> tuple[int, int, int]:
-    """Best local alignment near a diagonal: (equal tokens, first and one past the last token of the document)."""
+
+def _index(coverage: float) -> callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for name, text in zip(batch.column("template").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                ids = hashes.of([t.encode() for t in TOKEN.findall((text or "").lower())])
+                found, places = fingerprints(ids, coverage)
+                size = len(found)
+                yield pa.record_batch(
+                    [
+                        pa.array([name] * size, pa.string()),
+                        pa.array(found.view(np.int64)),
+                        pa.array(places, pa.int32()),
+                        pa.array([gram_of(len(ids), coverage) if size else 0] * size, pa.int32()),
+                        pa.array([ids.view(np.int64).tolist()] * size, pa.list_(pa.int64())),
+                    ],
+                    ["template", "hash", "place", "gram", "tokens"],
+                )
+
+    return run
+
+
+def align(template: list[int], tokens: list[int], diagonal: int, band: int, gain: int = 1) -> tuple[int, int, int]:
+    """Best local alignment near a diagonal, an equal token worth ``gain``: (equal tokens, first and one past the last token of the document)."""
     width = 2 * band + 1
     empty = (0, 0, -1, -1)  # score, equal tokens, first and last place
     above: list[tuple[int, int, int, int]] = [empty] * (width + 1)
@@ -115,7 +129,7 @@ def align(template: list[int], tokens: list[int], diagonal: int, band: int) -> t
                 same = tokens[j] == token
                 score, equal, first, _ = above[b]
                 if same:
-                    cell = (score + 1, equal + 1, first if score > 0 else j, j)
+                    cell = (score + gain, equal + 1, first if score > 0 else j, j)
                 elif score > 1:
                     cell = (score - 1, equal, first, above[b][3])
                 for other in (above[b + 1], left):
@@ -166,10 +180,14 @@ def _scan(index: list[dict], coverage: float) -> callable:
             results = []
             # Narrower than a template, so that no band reaches the next place of the same one.
             band = min(BAND, max(len(tokens) // 2, 1))
+            gain = allowed_edits(len(tokens), coverage) + 1
             for diagonal in sorted({at - place for at, place in pairs}):
                 low = max(0, diagonal - band)
                 part = ids[low : diagonal + len(tokens) + band + 1].tolist()
-                equal, first, last = align(tokens, part, diagonal - low, band)
+                near = set(part)
+                if sum(t in near for t in tokens) < coverage * len(tokens):
+                    continue
+                equal, first, last = align(tokens, part, diagonal - low, band, max(gain, 2))
                 if equal >= coverage * len(tokens):
                     results.append((equal, first + low, last + low))
             taken: list[tuple[int, int]] = []
@@ -206,7 +224,7 @@ def license_matches(docs: DataFrame, templates: DataFrame | None = None, coverag
     """
     templates = template_table(docs) if templates is None else templates
     rows = templates.select(F.col("template").cast("string"), F.col("text").cast("string")).dropDuplicates(["template"])
-    index = rows.mapInArrow(_index, "template string, hash long, place int, gram int, tokens array<long>")
+    index = rows.mapInArrow(_index(coverage), "template string, hash long, place int, gram int, tokens array<long>")
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out, block, used = None, [], set()
 

@@ -68,3 +68,17 @@ def test_several_places_blocks_and_odd_rows(spark, odd_docs, no_docs, monkeypatc
     templates = spark.createDataFrame([("t", "one"), ("none", None), ("empty", "")], "template string, text string")
     assert sorted(str(r.doc_id) for r in m.license_matches(odd_docs, templates).collect()) == ["3", "3", "None"]
     assert m.license_matches(no_docs).count() == 0
+
+
+def test_one_edit_at_every_place_is_found(spark):
+    docs = []
+    for name, text in sorted(m.TEMPLATES.items()):
+        words = m.TOKEN.findall(text)
+        for at in range(len(words) + 1):
+            docs.append((name, "added", [*words[:at], "qq", *words[at:]]))
+            if at < len(words) and m.allowed_edits(len(words), m.COVERAGE):
+                docs.append((name, "replaced", [*words[:at], "qq", *words[at + 1 :]]))
+                docs.append((name, "dropped", [*words[:at], *words[at + 1 :]]))
+    rows = [(i, f"zz yy {' '.join(words)} xx ww") for i, (_, _, words) in enumerate(docs)]
+    found = {(r.doc_id, r.template) for r in m.license_matches(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(name, kind, words) for i, (name, kind, words) in enumerate(docs) if (i, name) not in found] == []
