@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecraft.llm.common import keep, numbered
+from tablecraft.llm.common import keep, numbered, small
 
 # JSON types and the Python types they are read as.
 TYPES = {
@@ -218,13 +218,13 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 TURN_SCHEMAS = {
     "answer": {
         "type": "object",
-        "properties": {"words": {"type": "integer", "minimum": 1, "maximum": 400}, "opening": {"type": "string", "maxLength": 60}},
+        "properties": {"words": {"type": "integer", "minimum": 1, "maximum": 400}, "opening": {"type": "string", "maxLength": 60}, "text": {"type": "string"}, "context": {"type": "array"}},
         "required": ["words", "opening"],
         "additionalProperties": False,
     },
     "explain": {
         "type": "object",
-        "properties": {"words": {"type": "integer", "minimum": 5}, "opening": {"type": "string"}, "lines": {"type": "integer", "maximum": 12}},
+        "properties": {"words": {"type": "integer", "minimum": 5}, "opening": {"type": "string"}, "text": {"type": "string"}, "context": {"type": "array"}, "lines": {"type": "integer", "maximum": 12}},
         "required": ["words", "lines"],
     },
 }
@@ -233,7 +233,9 @@ TURN_SCHEMAS = {
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results from plain chat turns (conv_id, turn, role, text).
 
-    Each assistant turn is a call that depends on the assistant turn before it; the user turn that follows is its result.
+    Each assistant turn is a call, with its text, that depends on the assistant turn before it; the user turn that follows
+    is its result. What other roles say before the first assistant turn is that call's context. All other turns are
+    results without a call, named by role and turn; a turn without role and text is none.
     """
     words = F.split(F.trim(F.coalesce("text", F.lit(""))), r"[ \n\t]+")
     plain = turns.select(
@@ -243,22 +245,32 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("text").cast("string").alias("text"),
     )
     own = F.concat_ws("-", F.lit("call"), "turn")
-    calls = plain.filter("role = 'assistant'").select(
+    first = plain.filter("role = 'assistant' and conv_id is not null").groupBy("conv_id").agg(F.min("turn").alias("first_turn"))
+    first = small(keep(first, "first-turns"))
+    others = plain.filter("coalesce(role, '') != 'assistant' and (role is not null or text is not null)").join(first, "conv_id", "left")
+    opens = F.coalesce(F.col("turn") < F.col("first_turn"), F.lit(False))
+    context = others.filter(opens).groupBy("conv_id", F.col("first_turn").alias("turn"))
+    context = context.agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("context"))
+    size, opening = F.size(words).alias("words"), words[0].alias("opening")
+    calls = plain.filter("role = 'assistant'").join(context, ["conv_id", "turn"], "left").select(
         "conv_id",
         own.alias("call_id"),
         "turn",
         F.when(F.size(words) % 3 == 0, "explain").otherwise("answer").alias("name"),
         F.when(
             F.size(words) % 3 == 0,
-            F.to_json(F.struct(F.size(words).alias("words"), words[0].alias("opening"), F.size(F.split("text", "\n")).alias("lines"))),
+            F.to_json(F.struct(size, opening, F.size(F.split("text", "\n")).alias("lines"), "text", "context")),
         )
-        .otherwise(F.to_json(F.struct(F.size(words).alias("words"), words[0].alias("opening"))))
+        .otherwise(F.to_json(F.struct(size, opening, "text", "context")))
         .alias("arguments"),
         F.when(F.col("turn") > 2, F.array(F.concat_ws("-", F.lit("call"), F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
     )
-    results = plain.filter("role = 'user' and turn > 0").select(
+    answers = F.coalesce((F.col("role") == "user") & (F.col("turn") > 0), F.lit(False))
+    results = others.filter(~opens).select(
         "conv_id",
-        F.concat_ws("-", F.lit("call"), F.col("turn") - 1).alias("call_id"),
+        F.when(answers, F.concat_ws("-", F.lit("call"), F.col("turn") - 1))
+        .otherwise(F.concat_ws("-", F.coalesce("role", F.lit("turn")), "turn"))
+        .alias("call_id"),
         "turn",
         F.col("text").alias("content"),
     )

@@ -64,6 +64,18 @@ def test_empty_and_turns(spark):
     assert {(r.call_id, r.level, r.status, r.n_calls) for r in rows} == {("call-1", 0, "linked", 2), ("call-3", 1, "no_result", 1)}
 
 
+def test_every_turn_is_in_some_message(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    extra = [(-1, 0, "system", "rules é"), (-1, 1, "user", "first \"words\""), (-1, 2, "assistant", "a whole\nanswer"), (-1, 3, "system", "late"), (-2, 0, "user", "alone")]
+    turns = turns.select("conv_id", "turn", "role", "text").unionByName(spark.createDataFrame(extra, "conv_id long, turn int, role string, text string"))
+    said = {}
+    for r in m.link(*m.from_turns(turns), m.TURN_SCHEMAS).collect():
+        message = json.loads(r.message)
+        arguments = message["arguments"] or {}
+        said.setdefault(r.conv_id, set()).update([message["result"], arguments.get("text"), *(c.get("text") for c in arguments.get("context", []))])
+    assert [r for r in turns.collect() if r.text is not None and r.text not in said.get(r.conv_id, ())] == []
+
+
 def test_canonical_is_stable():
     value = {"b": [1.0, 2.5, {"z": None, "a": "é"}], "a": True}
     assert m.canonical(value) == '{"a":true,"b":[1,2.5,{"a":"é","z":null}]}'
