@@ -46,10 +46,3 @@ def source_size(request, spark):
         spark.conf.set(SMALL_SOURCE_ROWS_CONF, "-1")
     yield request.param
     spark.conf.unset(SMALL_SOURCE_ROWS_CONF)
-
-
-def rows(df, *columns) -> list[tuple]:
-    """Sorted rows of a frame, nulls first."""
-    picked = df.select(*columns) if columns else df
-    found = [tuple(r) for r in picked.collect()]
-    return sorted(found, key=lambda r: tuple((v is not None, str(v)) for v in r))

@@ -6,7 +6,7 @@ import sys
 from datetime import datetime
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark import cloudpickle
 
 from tablecraft.operators.quality import Check

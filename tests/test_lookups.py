@@ -7,7 +7,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from tablecraft.operators.features import FeatureLookup, lookup_features, training_set
 from tablecraft.operators.geo import EARTH_RADIUS, nearby_places

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark import cloudpickle
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tablecraft.operators.agreement import has_feedback

@@ -9,7 +9,7 @@ from datetime import datetime
 import numpy as np
 import pytest
 from pyspark import cloudpickle
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from tablecraft.functions import text as X
