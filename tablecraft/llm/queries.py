@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from tablecraft.llm import (
     decontamination,
     edit_counts,
+    filter_audit,
     html_text,
     license_scan,
     ngram_join,
     packing,
     quality_rules,
     sharding,
+    token_files,
     tool_calls,
     toxicity,
 )
@@ -103,3 +105,15 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in all documents: template, coverage and span."""
     return license_scan.license_matches(_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of all documents, written in compressed blocks in the order of their ids and read back."""
+    return token_files.write_and_read(_table(spark, sf_dir, "documents"))
+
+
+@query(filter_audit.AUDIT_SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all orders: what each step removes, per source."""
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
