@@ -15,6 +15,7 @@ from tablecraft.llm import (
     packing,
     quality_rules,
     sharding,
+    token_alignment,
     token_files,
     tool_calls,
     toxicity,
@@ -117,3 +118,10 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five filters in all orders: what each step removes, per source."""
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@query()
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two vocabularies, for all documents."""
+    documents, _ = token_alignment.align(_table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
