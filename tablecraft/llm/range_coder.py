@@ -22,9 +22,11 @@ import numpy as np
 
 # Ids of a block, and blocks side by side.
 BLOCK = 2048
-LANES = 2048
+LANES = 1024
 # Places of the tables of orders 0 (counts of candidates only), 1 and 2 of a block.
-ORDER_0 = ORDER_1 = ORDER_2 = 1 << 11
+ORDER_0, ORDER_1, ORDER_2 = 1 << 10, 1 << 10, 1 << 11
+# The weights learn from every so many steps.
+TAUGHT = 4
 # Inputs are in sixteenths of a natural logarithm, weights in 64ths, probabilities of 16 bits.
 UNIT, WEIGHT, ONE = 16, 64, 1 << 16
 LEAST = 64
@@ -56,7 +58,7 @@ class Model:
         # Order 1 and 2: the id, how often it was right and how often the place was looked at.
         self._one, self._two = np.zeros(lanes * ORDER_1, np.int64), np.zeros(lanes * ORDER_2, np.int64)
         # Order 0: counts by hash for the candidates; for all ids so far, sorted: id, its first place and its count.
-        self._counts = np.zeros(lanes * ORDER_0, np.int64)
+        self._counts = np.zeros(lanes * ORDER_0, np.int32)
         self.sorted = np.zeros((lanes, 1), np.int64)
         self.ids = self.spans = np.empty(0, np.int64)
         self.seen = np.zeros(lanes, np.int64)
@@ -88,9 +90,9 @@ class Model:
 
     def learn(self, ids: np.ndarray, start: int, saw: list[np.ndarray]) -> None:
         """Learn from the ids (steps, lanes) from ``start`` on, and what ``predict`` gave there."""
-        candidate, share, case, *inputs = saw
+        candidate, share, case, *inputs = (v[::TAUGHT] for v in saw)
         flat = case.ravel()
-        miss = np.where(candidate >= 0, np.where(candidate == ids[start:], ONE, 0) - share, 0).astype(float)
+        miss = np.where(candidate >= 0, np.where(candidate == ids[start::TAUGHT], ONE, 0) - share, 0).astype(float)
         for n, value in enumerate((*inputs, None)):
             # Sums stay far below 2^53, so the floats of bincount are whole numbers.
             value = np.full(case.shape, UNIT) if value is None else value
@@ -102,7 +104,7 @@ class Model:
         new = ids[start:].ravel()
         self._remember(self._one, (self._at_1 + ((before * 40503 >> 4) & (ORDER_1 - 1))).ravel(), new)
         self._remember(self._two, (self._at_2 + ((before * 1000003 + earlier * 40503 >> 5) & (ORDER_2 - 1))).ravel(), new)
-        self._counts += np.bincount((self._at_0 + (ids[start:] & (ORDER_0 - 1))).ravel(), minlength=len(self._counts))
+        self._counts += np.bincount((self._at_0 + (ids[start:] & (ORDER_0 - 1))).ravel(), minlength=len(self._counts)).astype(np.int32)
         self._count(ids)
 
     @staticmethod
@@ -111,13 +113,15 @@ class Model:
         known = table[place]
         table[place] = (known & 0xFFFFFFFF) + np.where(known >> 32 == ids + 1, (1 << 16) + 1, 1) | (ids + 1) << 32
 
-    def find(self, ids: np.ndarray) -> np.ndarray:
-        """First place and count of ids (steps, lanes) among those so far; 0 for ids not seen."""
-        if not len(self.ids):
-            return np.zeros(ids.shape, np.int64)
-        wanted = (self._lane * self.vocabulary + ids).T.ravel()
-        at = np.minimum(np.searchsorted(self.ids, wanted), len(self.ids) - 1)
-        return np.where(self.ids[at] == wanted, self.spans[at], 0).reshape(ids.shape[::-1]).T
+    def find(self, ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """First place and count of the ``wanted`` ones of ids (steps, lanes) among those so far; 0 for ids not seen."""
+        out = np.zeros(ids.shape, np.int64)
+        if len(self.ids):
+            lane, step = np.nonzero(wanted.T)
+            own = lane * self.vocabulary + ids[step, lane]
+            at = np.minimum(np.searchsorted(self.ids, own), len(self.ids) - 1)
+            out[step, lane] = np.where(self.ids[at] == own, self.spans[at], 0)
+        return out
 
     def _count(self, ids: np.ndarray) -> None:
         seen = len(ids)
@@ -235,7 +239,7 @@ def encode(ids: np.ndarray, vocabulary: int) -> list[bytes]:
             candidate, share = saw[:2]
             hit = candidate == own
             begin, size = np.where(hit, 0, share), np.where(hit, share, ONE - share)
-            span = model.find(own)
+            span = model.find(own, ~hit)
             new = ~hit & (span == 0)
             total = np.where(hit, 1, model.total)
             place = np.where(hit, 0, np.where(new, model.seen, span >> 16))

@@ -26,6 +26,7 @@ import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ from tablecraft.session import working_dir
 
 CLOSING_ID = 1
 FILE_BYTES = 32 << 20
-CACHED_STRETCHES = 400_000
+CACHED_STRETCHES = 1_000_000
 SLICE_ROWS = 256
 # Mark, version, ids, CRC-32 of the ids as unsigned 32-bit little-endian numbers, CRC-32 of the coded words.
 HEADER = "<4sHHIII"
@@ -56,19 +57,33 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self.size = self._tokenizer.get_vocab_size()
-        self._known: dict[bytes, np.ndarray] = {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        self._forget()
+
+    def _forget(self) -> None:
+        # Known stretches by number; the ids of stretch n are those from firsts[n] to firsts[n + 1].
+        self._known: dict[bytes, int] = {}
+        self._firsts, self._ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
+
+    def _learn(self, stretches: list[bytes]) -> None:
+        found = [e.ids for e in self._tokenizer.encode_batch_fast([s.decode() for s in stretches], add_special_tokens=False)]
+        self._known.update(zip(stretches, range(len(self._known), len(self._known) + len(stretches)), strict=True))
+        ends = np.cumsum([len(own) for own in found]) + len(self._ids)
+        self._firsts = np.concatenate([self._firsts, ends])
+        self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts behind each other, and how many each text has."""
         parts = [text.encode().split() for text in texts]
         if len(self._known) > CACHED_STRETCHES:
-            self._known.clear()
-        known = self._known
-        new = list({part for own in parts for part in own if part not in known})
-        if new:
-            found = self._tokenizer.encode_batch_fast([part.decode() for part in new], add_special_tokens=False)
-            known.update(zip(new, (np.array(e.ids, np.uint32) for e in found), strict=True))
-        nothing = np.empty(0, np.uint32)
-        return [np.concatenate([known[part] for part in own]) if own else nothing for own in parts]
+            self._forget()
+        if new := set().union(*parts).difference(self._known):
+            self._learn(list(new))
+        counts = np.array([len(own) for own in parts])
+        number = np.fromiter(map(self._known.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
+        first, size = self._firsts[number], self._firsts[number + 1] - self._firsts[number]
+        ends = np.cumsum(size)
+        ids = self._ids[np.repeat(first - ends + size, size) + np.arange(int(size.sum()))]
+        return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])])
 
 
 def public_encoder() -> WordEncoder:
@@ -132,12 +147,11 @@ class _File:
         self._ids, self._doc_ids, self._lengths = [], [], []
         self._held = self._blocks = self._docs = 0
 
-    def add(self, doc_ids: pa.Array, ids: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def add(self, doc_ids: pa.Array, ids: np.ndarray, lengths: np.ndarray) -> Iterator[pa.RecordBatch]:
         self._doc_ids.append(doc_ids)
-        for own in ids:
-            self._ids.append(own)
-            self._lengths.append(len(own))
-            self._held += len(own)
+        self._ids.append(ids)
+        self._lengths.extend(lengths.tolist())
+        self._held += len(ids)
         while self._held >= self._size * range_coder.LANES:
             yield self._blocked(self._size * range_coder.LANES)
 
@@ -187,14 +201,13 @@ class _File:
 def _write(make_encoder: Callable, closing: int, size: int) -> Callable:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, out = make_encoder(), None
-        end = np.array([closing], np.uint32)
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 if out is None:
                     out = _File(TaskContext.get().partitionId(), encode.size, size, part.column("doc_id").type)
-                found = encode([text or "" for text in part.column("text").to_pylist()])
-                yield from out.add(part.column("doc_id"), [np.concatenate([own, end]) for own in found])
+                ids, lengths = encode([text or "" for text in part.column("text").to_pylist()])
+                yield from out.add(part.column("doc_id"), np.insert(ids, np.cumsum(lengths), closing), lengths + 1)
         if out:
             yield from out.close()
 

@@ -7,19 +7,19 @@ Learning, from labelled rows alone:
    toxic documents are the majority). Of positive weights, those count that chance does not account for: among the terms
    in as many documents, fewer than ``BY_CHANCE`` of those at least as toxic are expected if labels were dealt at random.
    Where no term passes that, all of positive weight count.
-   ``COVERS`` times, choose the fewest that explain the toxic documents, the one that explains most of the unexplained
+   ``rounds`` times, choose the fewest that explain the toxic documents, the one that explains most of the unexplained
    ones first, without words chosen before (copies of one toxic text so add few). Their words are the toxic tokens; this
    turns labels of documents into labels of tokens.
-3. Fit the chain by maximum likelihood on sentences around such tokens, and sentences without any. A token's features
-   are its word and its beginnings, as far as they occur in toxic tokens.
+3. Fit the chain by maximum likelihood on all sentences of the sample; equal ones, such as those of one length without
+   any feature, count together. A token's features are its word and its beginnings, as far as they occur in toxic tokens.
 4. Fit a logistic curve from the marginals of a document to its label.
 
 Steps 2 to 4 use at most ``sample_docs`` labelled documents of each class, those with the smallest hash of their id;
 step 1 and the scoring cover everything. Language, source, id and labels are never inputs of a score.
 
-Scoring: every token of every text that has a feature is looked up; sentences with such tokens go through the forward
-and backward recursion, and the marginals of their tokens make the score. Sentences without any such token have
-marginals near zero and are not run.
+Scoring: every token of every text is looked up; sentences that have one with a feature go through the forward and
+backward recursion, many side by side, and the marginals of their tokens make the score. Sentences without any such token
+have marginals near zero and are not run.
 
 Defined results: null or empty texts and texts without toxic features get the lowest score; rows that repeat an id are
 scored one by one; without labelled rows of both classes every score is 0.
@@ -30,17 +30,19 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablecraft.llm.common import discard, keep, small, without_documents
+from tablecraft.llm.common import discard, keep, small
 
 TOKEN = re.compile(r"[^\W\d_]+")
+SENTENCE = re.compile(r"[^.!?\n]+")
 BEGINNINGS = (4, 5, 6)
 SAMPLE_DOCS = 4_000
 CANDIDATES = 20_000
@@ -50,7 +52,11 @@ COVERS = 8
 LEAST_SHARE = 0.00075
 SEQUENCE = 48
 THRESHOLD = 0.7
-COUNTED_TERMS = 400_000
+# Marginal from which a token counts as an offending one.
+TOXIC = 0.5
+COUNTED_TERMS, COUNTED_SENTENCES = 400_000, 100_000
+# Texts and sentences that a task runs at once.
+SLICE_ROWS, AT_ONCE = 256, 4096
 CACHED_WORDS = 400_000
 
 
@@ -81,7 +87,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows()
 
 
-def _marked(candidates: dict[str, int]) -> callable:
+def _marked(candidates: dict[str, int]) -> Callable:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
@@ -114,10 +120,10 @@ def cover(found: list[list[int]], weight: list[float], least_gain: int) -> list[
     return chosen
 
 
-def covers(found: list[list[int]], names: list[str], weight: list[float], least_gain: int) -> list[int]:
-    """Terms of ``COVERS`` covers, each without the terms that are a beginning or a longer form of those before."""
+def covers(found: list[list[int]], names: list[str], weight: list[float], least_gain: int, rounds: int) -> list[int]:
+    """Terms of ``rounds`` covers, each without the terms that are a beginning or a longer form of those before."""
     chosen, left = [], found
-    for _ in range(COVERS):
+    for _ in range(rounds):
         best = cover(left, weight, least_gain)
         chosen += best
         stems = tuple(names[t].lstrip("=") for t in best)
@@ -127,138 +133,172 @@ def covers(found: list[list[int]], names: list[str], weight: list[float], least_
     return chosen
 
 
-def sentences(text: str) -> list[list[tuple[int, int]]]:
-    """Token spans of a text by sentence; a longer sentence is cut after ``SEQUENCE`` tokens."""
-    out: list[list[tuple[int, int]]] = [[]]
-    end = 0
-    for match in TOKEN.finditer(text):
-        gap = text[end : match.start()]
-        if out[-1] and (len(out[-1]) >= SEQUENCE or any(c in gap for c in ".!?\n")):
-            out.append([])
-        end = match.end()
-        out[-1].append((match.start(), end))
+def sentences(text: str, own: list) -> list[tuple[int, int, int, int]]:
+    """Sentences with a feature: where the whole sentence begins (character, token), first token and token after the last.
+
+    ``own`` holds something true for every token of the text that has one. A sentence longer than ``SEQUENCE`` tokens is cut after them.
+    """
+    out, at = [], 0
+    for match in SENTENCE.finditer(text):
+        count = len(TOKEN.findall(match.group()))
+        for first in range(at, at + count, SEQUENCE):
+            last = min(first + SEQUENCE, at + count)
+            if any(own[first:last]):
+                out.append((match.start(), at, first, last))
+        at += count
     return out
 
 
-class Features(dict):
-    """Feature numbers of each word, remembered up to a bound."""
+def token_spans(text: str, sentence: tuple[int, int, int, int]) -> list[tuple[int, int]]:
+    """Where the tokens of a sentence begin and end."""
+    begin, at, first, last = sentence
+    found = islice(TOKEN.finditer(text, begin), first - at, last - at)
+    return [match.span() for match in found]
+
+
+class Remembered(dict):
+    """What a function gives for each word, remembered up to a bound."""
 
-    def __init__(self, known: dict[str, int]):
+    def __init__(self, function: Callable[[str], object]):
         super().__init__()
-        self._known = known
+        self._function = function
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> object:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        known = self._known
-        value = self[word] = tuple(known[t] for t in terms(word) if t in known)
+        value = self[word] = self._function(word)
         return value
 
 
-def forward_backward(emission: np.ndarray, mask: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features_of(known: dict[str, int]) -> Remembered:
+    """The numbers of the known features of a word."""
+    return Remembered(lambda word: tuple(known[t] for t in terms(word) if t in known))
+
+
+def forward_backward(emission: np.ndarray, mask: np.ndarray, chain: np.ndarray, times: np.ndarray | float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Marginals of label 1, pair marginals (from, to) summed over places, and log partition, for padded sequences.
 
     ``emission`` is the score of label 1 over label 0, (sequences, places); ``mask`` tells real places; ``chain`` holds
-    the scores of starting with 1 and of the steps 0 to 1, 1 to 0 and 1 to 1 (0 to 0 is 0).
+    the scores of starting with 1 and of the steps 0 to 1, 1 to 0 and 1 to 1 (0 to 0 is 0); ``times`` weighs sequences
+    in the sum of pairs. Both recursions keep shares that sum to one at each place.
     """
     count, length = emission.shape
-    start, *steps = chain
-    move = np.array([[0.0, steps[0]], [steps[1], steps[2]]])
-    scores = np.stack([np.zeros_like(emission), emission], -1)
-    alpha = np.zeros((length, count, 2))
-    alpha[0] = scores[:, 0] + np.array([0.0, start])
+    start, up, down, stay = np.exp(np.clip(chain, -40, 40))
+    # Odds of label 1, bounded so that products stay within the range of floats.
+    odds = np.exp(np.clip(emission, -60, 60)).T
+    real = mask.T
+    share, scale = np.empty((length, count)), np.zeros(count)
+    one = odds[0] * start
+    total = 1 + one
+    share[0] = one / total
+    scale += np.log(total)
     for t in range(1, length):
-        step = np.logaddexp(alpha[t - 1][:, :1] + move[0], alpha[t - 1][:, 1:] + move[1]) + scores[:, t]
-        alpha[t] = np.where(mask[:, t : t + 1], step, alpha[t - 1])
-    total = np.logaddexp(alpha[-1][:, 0], alpha[-1][:, 1])
-    beta = np.zeros((count, 2))
-    marginal = np.zeros((count, length))
-    pairs = np.zeros((2, 2))
+        before = share[t - 1]
+        one = odds[t] * ((1 - before) * up + before * stay)
+        zero = 1 - before + before * down
+        total = one + zero
+        share[t] = np.where(real[t], one / total, before)
+        scale += np.where(real[t], np.log(total), 0.0)
+    marginal, pairs = np.zeros((length, count)), np.zeros((2, 2))
+    # Weights of what follows, for label 0 and 1; only their ratio counts.
+    next_0, next_1 = np.ones(count), np.ones(count)
     for t in range(length - 1, -1, -1):
-        marginal[:, t] = np.where(mask[:, t], np.exp(alpha[t][:, 1] + beta[:, 1] - total), 0.0)
+        one, zero = share[t] * next_1, (1 - share[t]) * next_0
+        marginal[t] = np.where(real[t], one / (one + zero), 0.0)
         if t:
-            ahead = scores[:, t] + beta
-            real = mask[:, t]
-            both = alpha[t - 1][:, :, None] + move[None] + ahead[:, None, :] - total[:, None, None]
-            pairs += np.exp(both[real]).sum(0)
-            before = np.logaddexp(move[:, 0] + ahead[:, :1], move[:, 1] + ahead[:, 1:])
-            beta = np.where(real[:, None], before, beta)
-    return marginal, pairs, total
-
-
-def _padded(found: list[list[tuple[int, ...]]], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    length = max(map(len, found))
-    emission, mask = np.full((len(found), length), weights[-1]), np.zeros((len(found), length), bool)
-    for n, own in enumerate(found):
-        mask[n, : len(own)] = True
-        for t, ids in enumerate(own):
-            for i in ids:
-                emission[n, t] += weights[i]
-    return emission, mask
-
-
-def fit_chain(found: list[list[tuple[int, ...]]], labels: list[list[int]], size: int, steps: int = 90, ridge: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the features (the last is the bias) and of the chain, by gradient ascent on the likelihood."""
-    length = max(map(len, found), default=1)
-    mask, truth = np.zeros((len(found), length), bool), np.zeros((len(found), length))
-    places, ids = [], []
-    for n, (own, marks) in enumerate(zip(found, labels, strict=True)):
-        mask[n, : len(own)] = True
-        truth[n, : len(own)] = marks
-        for t, features in enumerate(own):
-            places.extend([n * length + t] * len(features))
-            ids.extend(features)
-    places, ids = np.array(places, np.int64), np.array(ids, np.int64)
-    inner = mask[:, 1:]
-    first, second = truth[:, :-1], truth[:, 1:]
-    seen = np.array([truth[:, 0].sum(), ((1 - first) * second * inner).sum(), (first * (1 - second) * inner).sum(), (first * second * inner).sum()])
+            before = share[t - 1]
+            to_0, to_1 = next_0, odds[t] * next_1
+            both = np.stack([(1 - before) * to_0, (1 - before) * up * to_1, before * down * to_0, before * stay * to_1])
+            pairs += np.where(real[t], times * both / both.sum(0), 0.0).sum(1).reshape(2, 2)
+            back_0, back_1 = to_0 + up * to_1, down * to_0 + stay * to_1
+            both = back_0 + back_1
+            next_0, next_1 = np.where(real[t], back_0 / both, next_0), np.where(real[t], back_1 / both, next_1)
+    return marginal.T, pairs, scale
+
+
+def fit_chain(found: list[list[tuple[int, ...]]], labels: list[list[int]], times: list[int], size: int, steps: int = 90, ridge: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the features (the last is the bias) and of the chain, by gradient ascent on the likelihood.
+
+    ``times`` tells how often each sentence occurs.
+    """
+    lengths = np.array([len(own) for own in found])
+    order = np.argsort(lengths, kind="stable")
+    groups = []
+    for at in range(0, len(order), AT_ONCE):
+        chosen = order[at : at + AT_ONCE]
+        length = int(lengths[chosen].max())
+        mask, truth = np.arange(length) < lengths[chosen][:, None], np.zeros((len(chosen), length))
+        places, ids = [], []
+        for row, n in enumerate(chosen.tolist()):
+            truth[row, : len(labels[n])] = labels[n]
+            for t, own in enumerate(found[n]):
+                places.extend([row * length + t] * len(own))
+                ids.extend(own)
+        groups.append((mask, truth, np.array(places, np.int64), np.array(ids, np.int64), np.array([times[n] for n in chosen], float)))
+    total = float(sum(times)) or 1.0
     value = np.zeros(size + 1 + 4)
     value[size] = -3.0
     mean, square = np.zeros_like(value), np.zeros_like(value)
     for step in range(1, steps + 1):
-        emission = np.full(mask.size, value[size])
-        np.add.at(emission, places, value[ids])
-        marginal, pairs, _ = forward_backward(emission.reshape(mask.shape), mask, value[size + 1 :])
         slope = np.zeros_like(value)
-        miss = ((truth - marginal) * mask).ravel()
-        np.add.at(slope, ids, miss[places])
-        slope[size] = miss.sum()
-        slope[size + 1 :] = seen - np.array([marginal[:, 0].sum(), pairs[0, 1], pairs[1, 0], pairs[1, 1]])
-        slope = slope / len(found) - ridge / len(found) * value
+        for mask, truth, places, ids, weight in groups:
+            emission = value[size] + np.bincount(places, value[ids], mask.size)
+            marginal, pairs = forward_backward(emission.reshape(mask.shape), mask, value[size + 1 :], weight)[:2]
+            miss = (truth - marginal) * mask * weight[:, None]
+            slope[:size] += np.bincount(ids, miss.ravel()[places], size)[:size]
+            slope[size] += miss.sum()
+            inner = mask[:, 1:] * weight[:, None]
+            first, second = truth[:, :-1], truth[:, 1:]
+            seen = [(truth[:, 0] * weight).sum(), ((1 - first) * second * inner).sum(), (first * (1 - second) * inner).sum(), (first * second * inner).sum()]
+            slope[size + 1 :] += np.array(seen) - [(marginal[:, 0] * weight).sum(), pairs[0, 1], pairs[1, 0], pairs[1, 1]]
+        slope = slope / total - ridge / total * value
         mean, square = 0.9 * mean + 0.1 * slope, 0.99 * square + 0.01 * slope**2
         value = value + 0.25 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-9)
     return value[: size + 1], value[size + 1 :]
 
 
 class Tagger:
-    """A fitted chain: marginals of the tokens of a text."""
+    """A fitted chain: marginals of the tokens of texts."""
 
     def __init__(self, known: dict[str, int], weights: list[float], chain: list[float]):
-        self.features, self.weights, self.chain = Features(known), np.array(weights), np.array(chain)
-
-    def __call__(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, marginal) of the tokens of all sentences that have a known feature."""
-        features = self.features
-        if not any(map(features.__getitem__, TOKEN.findall(text))):
-            return []
-        spans, found = [], []
-        for sentence in sentences(text):
-            own = [features[text[a:b]] for a, b in sentence]
+        self._bias, self._chain = weights[-1], np.array(chain)
+        # The score of a word's features; 0 for none, and as good as 0 where they cancel out.
+        self._scores = Remembered(lambda word: (sum(own) or 1e-9) if (own := [weights[known[t]] for t in terms(word) if t in known]) else 0.0)
+
+    def __call__(self, texts: list[str]) -> list[tuple[list[float], list[tuple[int, int, float]]]]:
+        """For each text, the marginals of the tokens of its sentences with a feature, and the spans of toxic tokens."""
+        score = self._scores.__getitem__
+        owners, places, emissions = [], [], []
+        for number, text in enumerate(texts):
+            own = list(map(score, TOKEN.findall(text)))
             if any(own):
-                spans.append(sentence)
-                found.append(own)
-        out = []
-        for at in range(0, len(found), 512):
-            emission, mask = _padded(found[at : at + 512], self.weights)
-            marginal, _, _ = forward_backward(emission, mask, self.chain)
-            for own, values in zip(spans[at : at + 512], marginal, strict=True):
-                out.extend((a, b, float(p)) for (a, b), p in zip(own, values[: len(own)], strict=True))
+                for sentence in sentences(text, own):
+                    owners.append(number)
+                    places.append(sentence)
+                    emissions.append(own[sentence[2] : sentence[3]])
+        lengths = np.array([len(e) for e in emissions], np.int64)
+        order = np.argsort(lengths, kind="stable")
+        marginals: list[list[float]] = [[]] * len(emissions)
+        for at in range(0, len(order), AT_ONCE):
+            chosen = order[at : at + AT_ONCE]
+            mask = np.arange(int(lengths[chosen].max())) < lengths[chosen][:, None]
+            emission = np.zeros(mask.shape)
+            emission[mask] = list(chain.from_iterable(emissions[n] for n in chosen.tolist()))
+            found, _, _ = forward_backward(emission + self._bias, mask, self._chain)
+            for n, values in zip(chosen.tolist(), found, strict=True):
+                marginals[n] = values[: lengths[n]].tolist()
+        out: list[tuple[list, list]] = [([], []) for _ in texts]
+        for number, sentence, values in zip(owners, places, marginals, strict=True):
+            out[number][0].extend(values)
+            if max(values) >= TOXIC:
+                spans = zip(token_spans(texts[number], sentence), values, strict=True)
+                out[number][1].extend((a, b, p) for (a, b), p in spans if p >= TOXIC)
         return out
 
 
-def evidence(marginals: list[tuple[int, int, float]]) -> tuple[float, float]:
+def evidence(marginals: list[float]) -> tuple[float, float]:
     """Log odds of at least one toxic token, and log of one more than the expected number of them."""
-    p = np.clip([m for *_, m in marginals], 0.0, 1 - 1e-9) if marginals else np.zeros(0)
+    p = np.clip(marginals, 0.0, 1 - 1e-9)
     none = float(np.log1p(-p).sum())
     some = -np.expm1(none)
     return float(np.clip(np.log(max(some, 1e-6)) - none, -8.0, 8.0)), float(np.log1p(p.sum()))
@@ -275,49 +315,86 @@ def fit_curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return value
 
 
-MODEL = "known map<string,int>, weights array<double>, chain array<double>, curve array<double>"
-
-
-def _train(chosen: list[str]) -> callable:
-    """One row: the model fitted to a bounded number of labelled documents, streamed through one task."""
-    starts = {t for t in chosen if t[0] != "="}
-    words = {t[1:] for t in chosen if t[0] == "="}
+def _toxic_word(chosen: list[str]) -> Callable[[str], bool]:
+    starts, words = {t for t in chosen if t[0] != "="}, {t[1:] for t in chosen if t[0] == "="}
 
     def is_toxic(word: str) -> bool:
         low = word.lower()
         return low in words or any(low[:n] in starts for n in BEGINNINGS)
 
-    def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        docs = []
-        for frame in frames:
-            for text, label in zip(frame["text"], frame["label"], strict=True):
-                own, plain = [], []
-                for sentence in sentences(text or ""):
-                    tokens = [text[a:b] for a, b in sentence]
-                    (own if any(map(is_toxic, tokens)) else plain).append(tokens)
-                # Of the sentences without a toxic token, the first is enough for the chain.
-                docs.append((int(label), own, plain[:1], text or ""))
-        known: dict[str, int] = {}
-        for label, own, _, _ in docs:
-            if label:
-                for tokens in own:
-                    for token in filter(is_toxic, tokens):
-                        for term in terms(token):
-                            known.setdefault(term, len(known))
-        features = Features(known)
-        found, labels = [], []
-        for label, own, plain, _ in docs:
-            for tokens in own + plain:
-                if tokens:
-                    found.append([features[t] for t in tokens])
-                    labels.append([int(bool(label) and is_toxic(t)) for t in tokens])
-        weights, chain = fit_chain(found, labels, len(known))
-        tagger = Tagger(known, weights, chain)
-        x = np.array([evidence(tagger(text)) for *_, text in docs])
-        curve = fit_curve(x, np.array([label for label, *_ in docs], float))
-        yield pd.DataFrame({"known": [known], "weights": [weights.tolist()], "chain": [chain.tolist()], "curve": [curve.tolist()]})
-
-    return train
+    return is_toxic
+
+
+def _known_terms(chosen: list[str]) -> Callable:
+    """The features of toxic tokens."""
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic, found = Remembered(_toxic_word(chosen)), set()
+        for batch in batches:
+            for text in batch.column("text"):
+                found.update(t for word in set(TOKEN.findall(text.as_py() or "")) if toxic[word] for t in terms(word))
+        yield pa.record_batch([pa.array(sorted(found), pa.string())], ["term"])
+
+    return known
+
+
+LESSONS = "features array<array<int>>, marks array<int>, times long"
+
+
+def _lessons(chosen: list[str], known: dict[str, int]) -> Callable:
+    """Every sentence of every text as the features of its tokens and their labels, equal ones counted together."""
+
+    def rows(counted: Counter) -> pa.RecordBatch:
+        keys = list(counted)
+        return pa.record_batch(
+            [
+                pa.array([k[0] for k in keys], pa.list_(pa.list_(pa.int32()))),
+                pa.array([k[1] for k in keys], pa.list_(pa.int32())),
+                pa.array([counted[k] for k in keys], pa.int64()),
+            ],
+            ["features", "marks", "times"],
+        )
+
+    def lessons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic, features = Remembered(_toxic_word(chosen)), features_of(known)
+        counted: Counter = Counter()
+        for batch in batches:
+            for text, label in zip(batch.column("text"), batch.column("label").to_pylist(), strict=True):
+                for part in SENTENCE.findall(text.as_py() or ""):
+                    words = TOKEN.findall(part)
+                    for at in range(0, len(words), SEQUENCE):
+                        own = words[at : at + SEQUENCE]
+                        counted[tuple(features[w] for w in own), tuple(int(bool(label) and toxic[w]) for w in own)] += 1
+                if len(counted) > COUNTED_SENTENCES:
+                    yield rows(counted)
+                    counted = Counter()
+        yield rows(counted)
+
+    return lessons
+
+
+def _fitted(size: int) -> Callable:
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lessons = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("features", "marks", "times")), strict=True)]
+        lessons.sort()
+        found, marks, times = zip(*lessons, strict=True) if lessons else ((), (), ())
+        weights, steps = fit_chain(found, marks, times, size)
+        yield pa.record_batch([pa.array([v.tolist()], pa.list_(pa.float64())) for v in (weights, steps)], ["weights", "chain"])
+
+    return fitted
+
+
+def _evidence(model: dict) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(model["known"], model["weights"], model["chain"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                found = [evidence(values) for values, _ in tagger([t or "" for t in part.column("text").to_pylist()])]
+                columns = [pa.array(v, pa.float64()) for v in zip(*found, strict=True)]
+                yield pa.record_batch([part.column("label"), *columns], ["label", "some", "amount"])
+
+    return run
 
 
 def held_out(doc_id: Column) -> Column:
@@ -342,82 +419,102 @@ def _beyond_chance(counted: DataFrame, share: float) -> DataFrame:
     return counts.filter(chance < BY_CHANCE * F.col("observed")).select("docs", "toxic")
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic"):
-    """The model as one row (see ``MODEL``), or None when a class has no labelled row."""
-    marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
+def _sampled(train: DataFrame, sizes: dict[int, int], label: int, sample_docs: int) -> DataFrame:
+    """The labelled rows of the ``sample_docs`` ids with the smallest hashes; ids are chosen before texts are read."""
+    place = F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(10**9))
+    # A bound on the hash, from the number of rows, keeps most others where they are.
+    bound = int(min(1.0, 1.3 * sample_docs / max(sizes.get(label, 0), 1) + 1e-4) * 10**9) + 1
+    near = train.filter((F.col("label") == label) & (place < bound))
+    chosen = near.select("id", place.alias("place")).distinct().orderBy("place", "id").limit(sample_docs)
+    return near.join(F.broadcast(chosen.select("id")), "id", "left_semi").select("label", "text")
+
+
+def learn(
+    docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, candidates: int = CANDIDATES, rounds: int = COVERS,
+    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+) -> dict | None:
+    """The model (known, weights, chain, curve), or None when a class has no labelled row.
+
+    Bounds: ``sample_docs`` labelled documents of each class for steps 2 to 4, ``candidates`` terms to choose toxic words
+    from, in ``rounds`` covers.
+    """
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     marks = marks.filter("id is not null and label is not null").groupBy("id").agg((F.max("label") != 0).cast("int").alias("label"))
     marks = small(marks.filter(~held_out(F.col("id"))))
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     train = keep(plain.join(marks, "id").select("id", "label", "text"), "labelled")
-    counted = train.mapInArrow(_count, "term string, toxic long, docs long")
-    counted = counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"))
     sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}
     if len(sizes) < 2:
         discard(train)
         return None
-    counted = keep(counted, "counted-terms")
+    counted = train.mapInArrow(_count, "term string, toxic long, docs long")
+    counted = keep(counted.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs")), "counted-terms")
     share = sizes[1] / (sizes[0] + sizes[1])
     odds = F.log((F.col("toxic") + 0.5) / (F.col("docs") - F.col("toxic") + 0.5))
     weighed = counted.withColumn("weight", odds - max(0.0, float(np.log(share / (1 - share))))).filter("weight > 0 and toxic > 0")
     certain = small(keep(_beyond_chance(counted, share), "certain-counts"))
     by_rank = [F.desc(F.col("toxic") * F.col("weight")), F.desc("toxic"), "term"]
-    pure = weighed.join(certain, ["docs", "toxic"], "left_semi").orderBy(*by_rank).limit(CANDIDATES).collect()
-    pure = pure or weighed.orderBy(*by_rank).limit(CANDIDATES).collect()
-
-    def sample(label: int) -> DataFrame:
-        """The rows of the smallest hashes; a bound on the hash, from the number of rows, keeps the others where they are."""
-        place = F.xxhash64("id", F.lit(7))
-        share = min(1.0, 1.3 * sample_docs / max(sizes.get(label, 0), 1) + 1e-4)
-        near = train.filter((F.col("label") == label) & (F.pmod(place, F.lit(10**9)) < int(share * 10**9) + 1))
-        return near.orderBy(F.pmod(place, F.lit(10**9)), "id").limit(sample_docs)
-
-    toxic = sample(1)
+    pure = weighed.join(certain, ["docs", "toxic"], "left_semi").orderBy(*by_rank).limit(candidates).collect()
+    pure = pure or weighed.orderBy(*by_rank).limit(candidates).collect()
+    toxic = keep(_sampled(train, sizes, 1, sample_docs), "toxic-sample")
+    both = toxic.union(_sampled(train, sizes, 0, sample_docs))
     found = toxic.mapInArrow(_marked({r["term"]: i for i, r in enumerate(pure)}), "found array<int>").collect()
     least_gain = max(1, math.ceil(LEAST_SHARE * len(found)))
-    chosen = covers([r["found"] for r in found], [r["term"] for r in pure], [r["weight"] for r in pure], least_gain)
-    both = toxic.union(sample(0)).select("label", "text").coalesce(1)
-    model = both.mapInPandas(_train([pure[i]["term"] for i in chosen]), MODEL).first()
-    discard(counted)
-    discard(train)
+    chosen = covers([r["found"] for r in found], [r["term"] for r in pure], [r["weight"] for r in pure], least_gain, rounds)
+    chosen = [pure[i]["term"] for i in chosen]
+    # Features of the toxic tokens of the sample.
+    names = toxic.mapInArrow(_known_terms(chosen), "term string").distinct().collect()
+    known = {name: n for n, name in enumerate(sorted(r["term"] for r in names))}
+    lessons = both.mapInArrow(_lessons(chosen, known), LESSONS).groupBy("features", "marks").agg(F.sum("times").alias("times"))
+    fitted = lessons.coalesce(1).mapInArrow(_fitted(len(known)), "weights array<double>, chain array<double>").first()
+    model = {"known": known, "weights": list(fitted["weights"]), "chain": list(fitted["chain"])}
+    seen = both.mapInArrow(_evidence(model), "label int, some double, amount double").collect()
+    seen = np.array(sorted(tuple(r) for r in seen), float)
+    model["curve"] = fit_curve(seen[:, 1:], seen[:, 0]).tolist()
+    for stored in (counted, train, toxic):
+        discard(stored)
     return model
 
 
-SCORED = "doc_id long, score double, toxic_tokens double, spans array<struct<start:int,end:int,marginal:double>>"
-
-
-def _score(model: dict) -> callable:
+def _scored(model: dict, name: str, carried: bool) -> Callable:
+    """Scores beside the columns of the rows, or beside their id with counts and spans."""
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Tagger(model["known"], model["weights"], model["chain"])
-        curve = np.array(model["curve"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger, curve = Tagger(model["known"], model["weights"], model["chain"]), np.array(model["curve"])
         for batch in batches:
-            scores, counts, spans = [], [], []
-            for text in batch.column("text"):
-                found = tagger(text.as_py() or "")
-                some, amount = evidence(found)
-                scores.append(float(1 / (1 + np.exp(-(curve @ [some, amount, 1.0])))))
-                counts.append(sum(p for *_, p in found))
-                spans.append([{"start": a, "end": b, "marginal": p} for a, b, p in found if p >= 0.5])
-            yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(counts, pa.float64()), pa.array(spans, spans_type)],
-                ["doc_id", "score", "toxic_tokens", "spans"],
-            )
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                found = tagger([t or "" for t in part.column(name).to_pylist()])
+                x = np.array([(*evidence(values), 1.0) for values, _ in found])
+                scores = pa.array(1 / (1 + np.exp(-(x @ curve))))
+                if carried:
+                    yield pa.record_batch([*part.columns, scores], [*part.schema.names, "__score"])
+                    continue
+                counts = pa.array([float(sum(values)) for values, _ in found])
+                spans = [[{"start": a, "end": b, "marginal": p} for a, b, p in own] for _, own in found]
+                yield pa.record_batch([part.column("doc_id"), scores, counts, pa.array(spans, spans_type)], ["doc_id", "score", "toxic_tokens", "spans"])
+
+    return run
 
-    return score
+
+SCORED = "score double, toxic_tokens double, spans array<struct<start:int,end:int,marginal:double>>"
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: doc_id, score, toxic_tokens (expected number) and the offending spans (code points)."""
     model = learn(docs, labels, id_col=id_col, text_col=text_col, **options)
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if model is None:
         kind = SCORED.split("spans ")[1]
         return plain.select("doc_id", F.lit(0.0).alias("score"), F.lit(0.0).alias("toxic_tokens"), F.array().cast(kind).alias("spans"))
-    return plain.mapInArrow(_score(model.asDict()), SCORED)
+    return plain.mapInArrow(_scored(model, "text", False), f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, {SCORED}")
 
 
-def decent_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those that score ``threshold`` or more; rows without an id stay."""
-    scored = score_documents(docs, labels, id_col=id_col, **options)
-    return without_documents(docs, scored.filter(F.col("score") >= threshold).select("doc_id"), id_col)
+def decent_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; rows are judged one by one, whatever their id."""
+    model = learn(docs, labels, id_col=id_col, text_col=text_col, **options)
+    if model is None:
+        return docs
+    scored = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())])
+    return docs.mapInArrow(_scored(model, text_col, True), scored).filter(F.col("__score") < threshold).drop("__score")

@@ -68,6 +68,33 @@ def test_marginals_equal_enumeration():
     assert np.allclose(pairs, want_pairs)
 
 
+def test_sentences_that_occur_often_weigh_as_often():
+    found, marks = [[(0,), ()], [(), (), ()], [(1,)]], [[1, 0], [0, 0, 0], [0]]
+    often = m.fit_chain(found, marks, [3, 5, 2], 2)
+    each = m.fit_chain([f for f, n in zip(found, (3, 5, 2), strict=True) for _ in range(n)], [f for f, n in zip(marks, (3, 5, 2), strict=True) for _ in range(n)], [1] * 10, 2)
+    assert all(np.allclose(a, b) for a, b in zip(often, each, strict=True))
+
+
+def test_sentences_and_spans():
+    text = "One bad. two\nbad bad three? " + "x " * 100 + "bad"
+    own = [word == "bad" for word in m.TOKEN.findall(text)]
+    found = m.sentences(text, own)
+    assert [[text[a:b] for a, b in m.token_spans(text, s)] for s in found] == [["One", "bad"], ["bad", "bad", "three"], ["x"] * 4 + ["bad"]]
+
+
+def test_rows_are_judged_one_by_one(corpus, spark):
+    docs, labels = corpus
+    twins = spark.createDataFrame([(90_001, "calm words here"), (90_001, "you Zmoron zidiot Zmoron"), (None, "zidiot Zmoron zidiot")], "doc_id long, text string")
+    kept = m.decent_documents(docs.union(twins), labels).filter("doc_id is null or doc_id > 90000").collect()
+    assert [tuple(r) for r in kept] == [(90_001, "calm words here")]
+
+
+def test_text_ids(spark):
+    docs = spark.createDataFrame([(f"a-{i}", t) for i, t in enumerate(["you moron here", "good words here", "such a moron", "fine"])], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"a-{i}", t) for i, t in enumerate([1, 0, 1, 0])], "doc_id string, toxic int")
+    assert {r.doc_id for r in m.score_documents(docs, labels).collect()} == {"a-0", "a-1", "a-2", "a-3"}
+
+
 def test_cover_ignores_what_is_explained():
     found = [[0, 5, 6], [0, 5, 6], [0, 5, 6], [0], [0], [1], [1], [1]]
     assert m.cover(found, [1.0] * 7, 3) == [0, 1]
