@@ -1,9 +1,9 @@
 """Tool-call linking: calls meet their results by identifier, in topological order, as canonical JSON.
 
 Calls and results are joined on conversation and identifier; both sides have one row per identifier before the join, so
-no identifier multiplies rows. A call may depend on other calls of its conversation; levels are found in rounds, each
-taking the calls whose dependencies all have a level, with three joins over what is left. A conversation of any length
-is numbered from counts per partition, not in one task. Arguments are checked against a JSON schema per tool.
+no identifier multiplies rows. A call may depend on other calls of its conversation; levels are found by doubling the
+pointers of calls that wait for one other, and rounds over the calls that wait for several (``_levels``). A conversation
+of any length is numbered from counts per partition, not in one task. Arguments are checked against a JSON schema per tool.
 
 Canonical JSON: keys sorted, no blanks, characters as they are, whole floats as integers.
 
@@ -18,6 +18,7 @@ are no JSON object, and null arguments are invalid. Empty tables give no rows.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablecraft.llm.common import keep, numbered, small
+from tablecraft.llm.common import discard, keep, numbered, small
 
 # JSON types and the Python types they are read as.
 TYPES = {
@@ -137,26 +138,84 @@ def _messages(schemas: dict[str, dict]) -> callable:
     return run
 
 
+def _chains(single: DataFrame) -> DataFrame:
+    """Calls that wait for one other call each, as (conv_id, call_id, waits, weight, least) with ``waits`` at a chain's end.
+
+    A call's level is the larger of ``least`` and the level of ``waits`` plus ``weight``. Such steps follow each other as
+    one step of the same form, so pointers are doubled: the number of rounds is the logarithm of the longest chain. Calls
+    on a cycle, or behind one, never come to an end and are left out.
+    """
+    longest = single.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(longest.bit_length()):
+        ahead = single.select("conv_id", F.col("call_id").alias("waits"), F.col("waits").alias("next"), F.col("weight").alias("more"), F.col("least").alias("floor"))
+        moved = single.join(ahead, ["conv_id", "waits"], "left").select(
+            *KEY,
+            F.coalesce("next", "waits").alias("waits"),
+            (F.col("weight") + F.coalesce("more", F.lit(0))).alias("weight"),
+            F.greatest("least", F.col("floor") + F.col("weight")).alias("least"),
+            F.col("next").isNotNull().alias("moved"),
+        )
+        moved = keep(moved, "chains")
+        discard(single)
+        single = moved.drop("moved")
+        single._stored_at = moved._stored_at
+        if not moved.filter("moved").limit(1).count():
+            return single
+    ends = single.select("conv_id", F.col("call_id").alias("waits"))
+    ended = keep(single.join(ends, ["conv_id", "waits"], "left_anti").select(single.columns), "chains")
+    discard(single)
+    return ended
+
+
 def _levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level): 0 without dependencies, else one more than the deepest; no row for cycles."""
-    nodes, edges = keep(nodes, "calls"), keep(edges, "dependencies")
-    found, level = [], 0
-    while True:
-        ready = nodes.join(edges.select(*KEY).distinct(), KEY, "left_anti") if level or edges.limit(1).count() else nodes
-        ready = keep(ready, "ready")
-        if not ready.limit(1).count():
-            break
-        found.append(ready.withColumn("level", F.lit(level)))
-        if not edges.limit(1).count():
+    """(conv_id, call_id, level): 0 without dependencies, else one more than the deepest; no row for cycles.
+
+    ``waiting`` has the steps of the calls without a level: call, the call it waits for (null: none, ``weight`` is a level
+    it has at least) and the weight between. Each round gives levels to calls that wait for none, collapses chains of calls
+    that wait for one, and puts the end of a chain in place of the calls in it. What waits for one thing over several ways
+    then waits for it once. Rounds follow the nesting of branches that stay apart, not the length of a conversation.
+    """
+    found = keep(nodes.join(edges.select(*KEY).distinct(), KEY, "left_anti").withColumn("level", F.lit(0)), "levels")
+    resolved, followers = [found], []
+    waiting = keep(edges.select(*KEY, F.col("depends_on").alias("waits"), F.lit(1).alias("weight")), "waiting")
+    while waiting.limit(1).count():
+        known = found.select("conv_id", F.col("call_id").alias("waits"), "level")
+        steps = waiting.join(known, ["conv_id", "waits"], "left").select(
+            *KEY, F.when(F.col("level").isNull(), F.col("waits")).alias("waits"), (F.col("weight") + F.coalesce("level", F.lit(0))).alias("weight")
+        )
+        steps = keep(steps.groupBy(*KEY, "waits").agg(F.max("weight").alias("weight")), "steps")
+        open_step = F.col("waits").isNotNull()
+        calls = steps.groupBy(*KEY).agg(
+            F.count("waits").alias("n"),
+            F.max(F.when(open_step, F.col("waits"))).alias("waits"),
+            F.max(F.when(open_step, F.col("weight"))).alias("weight"),
+            F.max(F.when(~open_step, F.col("weight"))).alias("least"),
+        )
+        calls = keep(calls, "waiting-calls")
+        found = keep(calls.filter("n = 0").select(*KEY, F.col("least").alias("level")), "levels")
+        resolved.append(found)
+        chains = _chains(keep(calls.filter("n = 1").drop("n"), "chains"))
+        followers.append(chains)
+        branching = calls.filter("n > 1").select(*KEY)
+        ahead = chains.select("conv_id", F.col("call_id").alias("waits"), F.col("waits").alias("next"), F.col("weight").alias("more"), "least")
+        rest = steps.join(branching, KEY, "left_semi").join(ahead, ["conv_id", "waits"], "left")
+        over = rest.select(*KEY, F.coalesce("next", "waits").alias("waits"), (F.col("weight") + F.coalesce("more", F.lit(0))).alias("weight"))
+        floor = rest.filter("least is not null").select(*KEY, F.lit(None).cast(nodes.schema["call_id"].dataType).alias("waits"), (F.col("weight") + F.col("least")).alias("weight"))
+        before, waiting = waiting, keep(over.union(floor).groupBy(*KEY, "waits").agg(F.max("weight").alias("weight")), "waiting")
+        settled = found.limit(1).count() or chains.limit(1).count()
+        for stored in (before, steps, calls):
+            discard(stored)
+        if not settled:
+            # All that is left waits for a cycle.
             break
-        done = ready.select("conv_id", F.col("call_id").alias("depends_on"))
-        edges = keep(edges.join(done, ["conv_id", "depends_on"], "left_anti"), "dependencies")
-        nodes = keep(nodes.join(ready, KEY, "left_anti"), "calls")
-        level += 1
-    out = found[0] if found else nodes.withColumn("level", F.lit(0)).limit(0)
-    for other in found[1:]:
-        out = out.union(other)
-    return out
+    levels = keep(functools.reduce(DataFrame.union, resolved), "levels")
+    # A chain ends at a call of a level, or at one of a chain that was collapsed later.
+    for chains in reversed(followers):
+        known = levels.select("conv_id", F.col("call_id").alias("waits"), "level")
+        own = chains.join(known, ["conv_id", "waits"]).select(*KEY, F.greatest("least", F.col("level") + F.col("weight")).alias("level"))
+        if chains.limit(1).count():
+            levels = keep(levels.union(own), "levels")
+    return levels
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

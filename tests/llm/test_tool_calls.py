@@ -31,6 +31,43 @@ def test_levels_equal_longest_paths(spark):
     assert all(r.missing_dependencies == 1 and r.status == "no_result" for r in rows)
 
 
+def brute_levels(deps):
+    """Longest paths by relaxation; calls on or behind a cycle have none."""
+    level = {}
+    while True:
+        new = {c: max((level[d] + 1 for d in own), default=0) for c, own in deps.items() if c not in level and all(d in level for d in own)}
+        if not new:
+            return level
+        level |= new
+
+
+def test_levels_with_cycles_and_long_chains(spark):
+    rng = random.Random(9)
+    graphs = {}
+    for conv in range(40):
+        size = rng.randint(1, 24)
+        own = {f"c{i}": {f"c{rng.randrange(max(i, 1))}" for _ in range(rng.choice([0, 1, 1, 2, 3])) if i} for i in range(size)}
+        if conv % 3 == 0:
+            own[f"c{rng.randrange(size)}"].add(f"c{rng.randrange(size)}")
+        graphs[conv] = own
+    # A row of diamonds, a star behind a chain, and two chains that meet.
+    graphs[100] = {"s0": set()} | {f"{k}{i}": {f"s{i - 1}"} for i in range(1, 12) for k in "lr"} | {f"s{i}": {f"l{i}", f"r{i}"} for i in range(1, 12)}
+    graphs[101] = {f"p{i}": {f"p{i - 1}"} if i else set() for i in range(9)} | {f"q{i}": {"p8"} for i in range(60)}
+    graphs[102] = {f"p{i}": {f"p{i - 1}"} if i else set() for i in range(30)} | {f"q{i}": {f"q{i - 1}"} if i else set() for i in range(7)} | {"m": {"p29", "q6"}, "n": {"m", "q3"}}
+    calls = [(conv, c, 0, "f", '{"n": 1}', sorted(d)) for conv, own in graphs.items() for c, d in own.items()]
+    rows = m.link(*frames(spark, calls, []), SCHEMA).collect()
+    want = {(conv, c): level for conv, own in graphs.items() for c, level in brute_levels(own).items()}
+    assert {(r.conv_id, r.call_id): r.level for r in rows if r.status != "cycle"} == want
+    assert len(rows) == len(calls)
+
+
+def test_a_conversation_of_2000_turns(spark):
+    turns = spark.range(2000).selectExpr("7L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('text ', id) as text")
+    rows = m.link(*m.from_turns(turns), m.TURN_SCHEMAS).collect()
+    assert sorted((r.turn, r.level, r.position) for r in rows) == [(2 * n + 1, n, n) for n in range(1000)]
+    assert {r.status for r in rows} == {"linked", "no_result"}
+
+
 def test_statuses_and_checks(spark):
     calls = [
         (1, "a", 1, "f", '{"n": 2.0}', None),
