@@ -14,7 +14,7 @@ Steps, each over stored tables:
    linked sets share a signature that is not empty, or all their signatures are kept.
 4. A few sets that share a signature are compared with each other. More of them are compared with one of them, the hub
    (the set with most company), not with each other. Two sets that were compared with one hub need a comparison of their own only if one of them is not linked
-   with it; then their differences from the hub overlap, and a prefix of the rarer elements of these differences finds
+   with it; then their differences from the hub overlap, and a prefix of these differences, in the order of hashes, finds
    the pair. Crowded places in that index get a hub again, so no group is ever compared pair by pair.
 5. Links make components.
 
@@ -35,7 +35,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecraft.llm.common import WordHashes, discard, keep, lists, mixed, multiplier, small, text_bytes, window_hashes, without_documents
@@ -217,38 +217,42 @@ def _compared(pairs: DataFrame, sets: DataFrame, over: int, under: int, differen
 
 
 def _deltas(spokes: DataFrame, over: int, under: int) -> DataFrame:
-    """Index rows (hub, element, sid, listed, asks): ``listed`` rows can be found, ``asks`` rows look for partners.
+    """Index rows (hub, element, sid, open, listed, asks): open sets, those not linked with the hub, look for partners.
 
-    Let D be the difference of a set from the hub. If x is not linked with the hub but with y, then D(x) and D(y) share
-    more than (|D(y)| + c (|hub| - |y|)) / 2 elements, c = (under - over) / (under + over). So each set lists the
-    rarest elements of its difference, one more than it could do without, and each unlinked set asks with all of its;
-    if neither is linked with the hub, the bound holds both ways and a listed element meets a listed one.
+    Let D be the difference of a set from the hub, c = (under - over) / (under + over), and d the distance of two sets.
+    Linked sets have d(x, y) <= c (|x| + |y|), and D(x) and D(y) share (|D(x)| + |D(y)| - d(x, y)) / 2 elements. So
+
+    * if x is open, they share more than (|D(y)| + c (|hub| - |y|)) / 2: y lists so many elements of D(y), the first in the
+      order of their hashes, that one of those shared is among them;
+    * as |D(y)| >= |D(x)| - d(x, y), they share at least |D(x)| - c (|x| + |y|): an open x asks sets that are linked with
+      the hub with that many elements of D(x), the first in the same order. Two open sets meet in what both list;
+    * |D(x)| - c |x| <= |D(y)| + c |y|: sets of a hub that are out of each other's reach list and ask nothing.
+
+    Two sets that share s elements have one in common among the first |D| - s + 1 of each.
     """
-    useful = (
-        spokes.groupBy("hub")
-        .agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("asking"))
-        .filter("n > 1 and asking > 0")
-        .select("hub")
+    size, near, whole = F.size("added") + F.size("removed"), under - over, under + over
+    sets = spokes.select(
+        "hub", "sid", (~F.col("linked")).alias("open"), "hub_size", F.col("size").cast("long").alias("size"), size.cast("long").alias("delta"),
+        F.sort_array(F.concat("added", "removed")).alias("elements"),
     )
-    size = F.size("added") + F.size("removed")
-    shared = F.floor(
-        (size * (under + over) + (under - over) * (F.col("hub_size") - F.col("size"))) / F.lit(2 * (under + over))
+    inner, outer = F.col("delta") * whole - F.col("size") * near, F.col("delta") * whole + F.col("size") * near
+    reach = sets.groupBy("hub").agg(
+        F.count("*").alias("n"), F.min(F.when(F.col("open"), inner)).alias("nearest"), F.max(F.when(~F.col("open"), outer)).alias("farthest")
     )
-    rows = spokes.join(useful, "hub").select(
-        "hub",
-        "sid",
-        "linked",
-        (size - F.greatest(shared, F.lit(0))).alias("listing"),
-        F.explode(F.concat("added", "removed")).alias("element"),
+    sets = sets.join(reach.filter("n > 1 and nearest is not null").drop("n"), "hub")
+    shared = F.floor((F.col("delta") * whole + (F.col("hub_size") - F.col("size")) * near) / (2 * whole))
+    listing = F.when(F.col("open") | (outer >= F.col("nearest")), F.col("delta") - F.greatest(shared, F.lit(0))).otherwise(0)
+    # The largest partner has floor(|x| under / over) elements.
+    largest = F.floor(F.col("size") * under / over)
+    least = F.ceil((F.col("delta") * whole - (F.col("size") + largest) * near) / whole)
+    asking = F.when(F.col("open") & (inner <= F.col("farthest")), F.col("delta") - F.greatest(least, F.lit(1)) + 1).otherwise(0)
+    sets = sets.withColumns({"listing": listing.cast("int"), "asking": asking.cast("int")})
+    first = F.greatest("listing", "asking")
+    rows = sets.filter(first > 0).select(
+        "hub", "sid", "open", "listing", "asking", F.posexplode(F.slice("elements", F.lit(1), first)).alias("rank", "element")
     )
-    rows = keep(rows, "differences")
-    counts = rows.groupBy("hub", "element").agg(F.count("*").alias("company"))
-    ranked = Window.partitionBy("hub", "sid").orderBy("company", "element")
-    return (
-        rows.join(counts, ["hub", "element"])
-        .withColumn("listed", F.row_number().over(ranked) <= F.col("listing"))
-        .filter("company > 1 and (listed or not linked)")
-        .select("hub", "element", "sid", "listed", (~F.col("linked")).alias("asks"))
+    return rows.select(
+        "hub", "element", "sid", "open", (F.col("rank") < F.col("listing")).alias("listed"), (F.col("rank") < F.col("asking")).alias("asks")
     )
 
 
@@ -270,20 +274,21 @@ def _links(sets: DataFrame, over: int, under: int) -> DataFrame:
         rows = keep(_deltas(spokes, over, under), "index")
         places = rows.groupBy("hub", "element").agg(
             F.count("*").alias("company"),
-            F.count_if(F.col("listed") & ~F.col("asks")).alias("linked"),
+            F.count_if(F.col("listed") & ~F.col("open")).alias("linked"),
             F.count_if("asks").alias("asking"),
-            F.count_if(F.col("listed") & F.col("asks")).alias("both"),
+            F.count_if(F.col("listed") & F.col("open")).alias("both"),
         )
         work = F.col("linked") * F.col("asking") + F.col("both") * (F.col("both") - 1)
         places = places.filter(work > 0).select(
             "hub", "element", "company", (work <= allowed * F.col("company")).alias("light")
         )
-        rows = keep(rows.join(places, ["hub", "element"]), "places")
+        stored, rows = rows, keep(rows.join(places, ["hub", "element"]), "places")
+        discard(stored)
         few = rows.filter("light")
-        a, b = few.filter("listed").alias("a"), few.filter("asks").alias("b")
+        a, b = few.filter("listed").alias("a"), few.filter("open").alias("b")
         pairs = (
             a.join(b, ["hub", "element"])
-            .filter("a.sid != b.sid and (b.listed or not a.asks)")
+            .filter("a.sid != b.sid and if(a.open, b.listed, b.asks)")
             .select(F.least("a.sid", "b.sid").alias("hub"), F.greatest("a.sid", "b.sid").alias("sid"))
             .distinct()
         )
