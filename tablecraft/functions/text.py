@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,37 +137,61 @@ def _indented(json_text: Column) -> Column:
     return F.aggregate(_tokens(json_text), start, add)["out"]
 
 
+# Numbers beyond JSON that parsers accept, and Python's notation of them.
+NOT_FINITE = {"NaN": "nan", "Infinity": "inf", "-Infinity": "-inf"}
+
+
 def json_first_field(c: Column) -> Column:
     """First known response field of a JSON object; else the JSON, indented; else the raw text.
 
     A text counts as JSON only as a whole: it has to parse both as the one item of an array and as the value of a field,
-    which no text with more before or after its value does. Of repeated fields the last counts. Other values than text
-    come in Python's notation, numbers as they are written. All of it runs inside the JVM.
+    which no text with more before or after its value does; names and texts are in double quotes. Of repeated fields the
+    last counts. Other values than text come in Python's notation, numbers as they are written. All of it runs inside the
+    JVM, and each text is parsed once per form.
     """
+    strict = {"allowSingleQuotes": "false"}
     item, value = F.concat(F.lit("["), c, F.lit("]")), F.concat(F.lit('{"v":'), c, F.lit("}"))
-    one = F.size(F.from_json(item, "array<string>")) == 1
-    fields = F.map_entries(F.from_json(value, "v map<string,string>")["v"])
-    kinds = F.map_entries(F.from_json(value, "v map<string,variant>")["v"])
-
-    def last(entries: Column, name: str) -> Column:
-        return F.try_element_at(F.filter(entries, lambda e: e["key"] == name), F.lit(-1))
-
-    found = None
-    for name in RESPONSE_FIELDS:
-        entry = last(fields, name)
-        is_text = F.schema_of_variant(last(kinds, name)["value"]) == "STRING"
-        shown = F.when(is_text, entry["value"]).otherwise(
-            F.coalesce(_python_notation(entry["value"]), F.lit("None"))
-        )
-        found = F.when(entry.isNotNull(), shown) if found is None else found.when(entry.isNotNull(), shown)
-    scalar = F.from_json(value, "v string")["v"]
-    other = (
-        F.when(F.trim(c) == "null", F.lit("None"))
-        .when(scalar.isNull(), c)
-        .when(F.ltrim(c).startswith('"'), scalar)
-        .otherwise(_python_notation(c))
+    parsed = F.struct(
+        (F.size(F.from_json(item, "array<string>", strict)) == 1).alias("one"),
+        F.map_entries(F.from_json(value, "v map<string,string>", strict)["v"]).alias("fields"),
+        F.map_entries(F.from_json(value, "v map<string,variant>", strict)["v"]).alias("kinds"),
+        F.from_json(value, "v string", strict)["v"].alias("scalar"),
     )
-    return F.when(~F.coalesce(one, F.lit(False)), c).when(fields.isNotNull(), found.otherwise(_indented(c))).otherwise(other)
+
+    def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+        """``use`` of a value that is computed once, however often ``use`` names it."""
+        return F.transform(F.array(value), use)[0]
+
+    def last(entries: Column, name: Column) -> Column:
+        return F.try_element_at(F.filter(entries, lambda e: e["key"] == name), F.lit(-1))["value"]
+
+    def notation(text: Column) -> Column:
+        out = F.when(text.isNull(), F.lit("None"))
+        for raw, shown in NOT_FINITE.items():
+            out = out.when(F.btrim(text, F.lit('"')) == raw, F.lit(shown))
+        return out.otherwise(_python_notation(text))
+
+    def from_field(p: Column) -> Column:
+        names = F.transform(p["fields"], lambda e: e["key"])
+        known = F.filter(F.array(*map(F.lit, RESPONSE_FIELDS)), lambda n: F.array_contains(names, n))
+        entry = F.struct(
+            F.size(known).alias("known"),
+            last(p["fields"], F.get(known, F.lit(0))).alias("text"),
+            F.schema_of_variant(last(p["kinds"], F.get(known, F.lit(0)))).alias("kind"),
+        )
+        return bound(entry, lambda e: F.when(e["known"] == 0, _indented(c)).when(e["kind"] == "STRING", e["text"]).otherwise(notation(e["text"])))
+
+    def shown(p: Column) -> Column:
+        return (
+            F.when(~F.coalesce(p["one"], F.lit(False)), c)
+            .when(p["fields"].isNotNull(), from_field(p))
+            .when(F.trim(c) == "null", F.lit("None"))
+            .when(p["scalar"].isNull(), c)
+            .when(F.ltrim(c).startswith('"'), p["scalar"])
+            .otherwise(notation(c))
+        )
+
+    return bound(parsed, shown)
 
 
 def json_struct(c: Column, schema: str) -> Column:

@@ -49,6 +49,13 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
         ("null", "None"),
         ('{"broken": ', '{"broken": '),
         ("{}", "{}"),
+        ("{'content': 'x'}", "{'content': 'x'}"),
+        ("{'content': \"x\"}", "{'content': \"x\"}"),
+        ("['a']", "['a']"),
+        ('{"content": NaN}', "nan"),
+        ('{"content": -Infinity, "text": "t"}', "-inf"),
+        ('{"content": 1.0, "content": 2.50}', "2.5"),
+        ('{"text": "it\'s", "content": "5"}', "5"),
         ("", ""),
         (None, None),
     ],
