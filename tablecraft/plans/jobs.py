@@ -6,14 +6,16 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablecraft.operators.cdc import merge_history, standardize_history
+from tablecraft.functions.change import BRONZE_VERSION, IS_ACTIVE
+from tablecraft.operators.cdc import apply_feed, merge_history, standardize_history, version_range
 from tablecraft.operators.quality import Check, gate
 from tablecraft.operators.scoring import batch_inference
 from tablecraft.operators.versions import max_commit_version, scalar
 from tablecraft.plans.silver import silver_table
 from tablecraft.sources.feed import from_version
-from tablecraft.sources.tables import append, overwrite, read
+from tablecraft.sources.tables import append, change_partitions, layout, overwrite, read
 
 
 def check_table(spark: SparkSession, table: str, checks: Iterable[Check], quarantine_table: str) -> DataFrame:
@@ -52,15 +54,29 @@ def refresh_history_table(
 
     The feed is read from the highest version the table holds; that version may
     be read twice, which changes nothing. The table is partitioned by the active
-    flag, so later runs read the active rows without the closed ones.
+    flag: a run replaces the active rows and appends the rows it closed; rows
+    closed before stay where they are, and only those in the feed's versions are
+    read, to tell replayed events.
     """
     if not spark.catalog.tableExists(table):
-        state = standardize_history(initial, initial_version, as_of)
-    else:
-        target = spark.table(table)
-        start = scalar(max_commit_version(target))
-        state = merge_history(from_version(feed, start), target, keys)
-    overwrite(state, table, ["is_active_record"])
+        overwrite(standardize_history(initial, initial_version, as_of), table, [IS_ACTIVE])
+        return
+    target = spark.table(table)
+    events = from_version(feed, scalar(max_commit_version(target)))
+    if layout(spark, table) != [IS_ACTIVE]:
+        overwrite(merge_history(events, target, keys), table)
+        return
+    versions = version_range(events)
+    if versions is None:
+        return
+    closed = target.where(~F.col(IS_ACTIVE) & F.col(BRONZE_VERSION).between(*versions))
+
+    def refreshed(active: DataFrame) -> DataFrame:
+        known = active.withColumn("stored_before", F.lit(False)).unionByName(closed.withColumn("stored_before", F.lit(True)))
+        changed = apply_feed(events, known, keys)
+        return changed.where(~F.coalesce("stored_before", F.lit(False))).select(*target.columns)
+
+    change_partitions(spark, table, spark.range(1).select(F.lit(True).alias(IS_ACTIVE)), refreshed)
 
 
 def infer_table(

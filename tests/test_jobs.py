@@ -57,12 +57,17 @@ def test_refresh_history_table(spark, tables):
         columns = ("k", "v", "effective_start_date", "effective_end_date", "is_active_record", "bronze_commit_version")
         return rows(spark.table(table), *columns)
 
+    def files(active):
+        return {r[0] for r in spark.table(table).where(f"is_active_record = {active}").select("_metadata.file_name").distinct().collect()}
+
     assert refresh(0) == [("a", "1", t[0], None, True, 0), ("b", "1", t[0], None, True, 0)]
     changed = [("a", "1", t[0], t[1], False, 0), ("a", "2", t[1], None, True, 1)]
     assert refresh(1) == [*changed, ("b", "1", t[0], None, True, 0)]
+    before = files(False)
     closed = [*changed, ("b", "1", t[0], t[2], False, 0)]
     assert refresh(2) == closed
     assert refresh(2) == closed
+    assert refresh(2) == closed and files(False) > before
     plan = spark.table(table).where("is_active_record")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(is_active_record" in plan
 

@@ -8,7 +8,7 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from tablecraft.operators.merge import MergeConfig
+from tablecraft.operators.merge import DeleteMode, MergeConfig
 from tablecraft.session import working_dir
 from tablecraft.sources import feed as feeds
 from tablecraft.sources import tables as S
@@ -150,3 +150,75 @@ def test_overwrite_keeps_properties_and_writes_a_self_reading_table_once(spark):
     assert found["owner_team"] == "it's a \\ team"
     assert not spark.catalog.tableExists(f"{name}__staged")
     spark.sql(f"DROP TABLE {name}")
+
+
+def files(spark, name, where):
+    return {r[0] for r in spark.table(name).where(where).select("_metadata.file_path").distinct().collect()}
+
+
+@pytest.fixture
+def parts(spark, name):
+    """A table partitioned by p, one of whose values is null, with keys 0 to 7."""
+    rows = [(n, f"v{n}", ["a", "b", None, "it's"][n % 4]) for n in range(8)]
+    S.write(spark.createDataFrame(rows, "id int, v string, p string"), name, S.WriteMode.OVERWRITE, partition_by=["p"])
+    return {(n, f"v{n}", ["a", "b", None, "it's"][n % 4]) for n in range(8)}
+
+
+def content(spark, name):
+    return {(r.id, r.v, r.p) for r in spark.table(name).collect()}
+
+
+def test_merge_rewrites_only_matched_partitions(spark, name, parts):
+    kept, appended = files(spark, name, "p = 'b'"), files(spark, name, "p = 'it\\'s'")
+    source = spark.createDataFrame([(0, "new", "a"), (6, "moved", "it's"), (9, "more", "c")], "id int, v string, p string")
+    S.write(source, name, S.WriteMode.UPSERT, keys=["id"])
+    want = {r for r in parts if r[0] not in (0, 6)} | {(0, "new", "a"), (6, "moved", "it's"), (9, "more", "c")}
+    assert content(spark, name) == want
+    assert S.layout(spark, name) == ["p"]
+    assert files(spark, name, "p = 'b'") == kept
+    assert appended < files(spark, name, "p = 'it\\'s'")
+    S.write(source, name, S.WriteMode.UPSERT, keys=["id"])
+    assert content(spark, name) == want
+
+
+def test_merge_adds_columns_to_a_partitioned_table(spark, name, parts):
+    source = spark.createDataFrame([(1, "x", "b", 5)], "id int, v string, p string, w int")
+    S.write(source, name, S.WriteMode.UPSERT, keys=["id"])
+    assert S.layout(spark, name) == ["p"]
+    assert rows(spark.table(name).where("w is not null"), "id", "v", "p", "w") == [(1, "x", "b", 5)]
+    assert content(spark, name) == {r for r in parts if r[0] != 1} | {(1, "x", "b")}
+
+
+def test_update_and_delete_keep_partitions(spark, name, parts):
+    kept = files(spark, name, "p = 'a'")
+    S.update_table(spark, name, {"v": F.lit("z")}, "id = 1")
+    S.delete_from_table(spark, name, "p is null")
+    S.delete_from_table(spark, name, F.col("id") > 100)
+    assert content(spark, name) == {(i, "z" if i == 1 else v, p) for i, v, p in parts if p is not None}
+    assert S.layout(spark, name) == ["p"] and files(spark, name, "p = 'a'") == kept
+    S.update_table(spark, name, {"p": F.lit("b")}, "id = 0")
+    assert (0, "v0", "b") in content(spark, name) and len(content(spark, name)) == 6
+    S.update_table(spark, name, {"v": F.lit("all")})
+    assert S.layout(spark, name) == ["p"] and {r[1] for r in content(spark, name)} == {"all"}
+    S.delete_from_table(spark, name)
+    assert spark.table(name).count() == 0
+
+
+def test_partitions_by_two_columns(spark, name):
+    data = [(n, n % 2 == 0, datetime(2025, 1, 1 + n % 3)) for n in range(12)]
+    frame = spark.createDataFrame(data, "id int, even boolean, at timestamp").withColumn("day", F.to_date("at")).drop("at")
+    S.write(frame, name, S.WriteMode.OVERWRITE, partition_by=["even", "day"])
+    kept = files(spark, name, "not even or day <> date'2025-01-01'")
+    S.delete_from_table(spark, name, "even and day = date'2025-01-01'")
+    assert spark.table(name).count() == 10 and files(spark, name, "true") == kept
+
+
+def test_cdc_merge_into_partitions(spark, name, parts):
+    kept = files(spark, name, "p = 'b'")
+    changes = spark.createDataFrame([(0, "d", "a", "delete"), (3, "u", "it's", "update_postimage")], "id int, v string, p string, _change_type string")
+    S.write(changes, name, S.WriteMode.MERGE_CDC, config=MergeConfig(["id"], delete_mode=DeleteMode.SOFT), merge_schema=False, as_of="2025-01-01 00:00:00")
+    assert content(spark, name) == {(i, "u" if i == 3 else v, p) for i, v, p in parts}
+    assert rows(spark.table(name).where("is_deleted"), "id") == [(0,)]
+    assert files(spark, name, "p = 'b'") == kept
+    S.write(changes, name, S.WriteMode.MERGE_CDC, config=MergeConfig(["id"], delete_mode=DeleteMode.HARD), merge_schema=False)
+    assert {r[0] for r in content(spark, name)} == {0, 3} and S.layout(spark, name) == ["p"]

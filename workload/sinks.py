@@ -55,6 +55,28 @@ def table_merge(spark, d):
     return S.read(spark, name)
 
 
+@query(_outer(_picked("true")))
+def table_merge_partitions(spark, d):
+    """A merge into a partitioned table: matched partitions are replaced, the others appended to or left alone."""
+    name = f"{_database(spark)}.orders"
+    target = merge_target(spark, d)
+    S.write(target, name, S.WriteMode.OVERWRITE, partition_by=["o_orderstatus"])
+    S.write(merge_source(spark, d), name, S.WriteMode.UPSERT, keys=_KEY)
+    if S.layout(spark, name) != ["o_orderstatus"]:
+        raise AssertionError("the merge lost the partitioning")
+    return S.read(spark, name)
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE o_totalprice END AS o_totalprice, o_orderstatus FROM orders WHERE NOT (o_orderstatus = 'F' AND o_totalprice < 50000)")
+def table_change_partitions(spark, d):
+    """Updates and deletes in a partitioned table."""
+    name = f"{_database(spark)}.orders"
+    S.write(table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), name, S.WriteMode.OVERWRITE, partition_by=["o_orderstatus"])
+    S.delete_from_table(spark, name, "o_orderstatus = 'F' AND o_totalprice < 50000")
+    S.update_table(spark, name, {"o_totalprice": F.lit(0)}, "o_orderkey % 5 = 0")
+    return S.read(spark, name)
+
+
 @query(
     _outer(
         _picked(_CHANGED)
