@@ -1,19 +1,19 @@
 """Benchmark decontamination with spaced seeds.
 
 Fixed masks pick some of the tokens of a stretch and ignore the others, so that a stretch still hashes alike when an
-ignored token was replaced. Hashes of the benchmark and of the documents are joined; around each hit the two texts are
-laid over each other, and the best stretch through the hit is measured, replaced tokens included.
+ignored token was replaced. Hashes of the benchmark and of the documents are joined; every hit names a diagonal, an item
+laid over a document at one offset. The two texts are compared along the whole diagonal, and its longest stretch in which
+at most one in five tokens differs is the overlap.
 
-A document's hashes first meet a bitmap of fixed size that is filled from all hashes of the benchmark, so only likely
-hits, with the tokens around them, are shuffled; the join itself is on the full hashes. Benchmarks of any size are
-joined the same way.
+A document's hashes first meet a bitmap that is filled from all hashes of the benchmark and sized by their number, so only
+likely hits, as places, are shuffled; the join itself is on the full hashes. Tokens travel once per item and document
+that meet, however many hits they have. Benchmarks of any size are joined the same way.
 
-Tokens are runs of letters and digits in lower case. A match is reported when its stretch has at least ``least_tokens``
-equal tokens, or all tokens of a shorter item, and at most one in five of its tokens differs. Items shorter than a
-mask are hashed as a whole.
+Tokens are runs of letters and digits in lower case. An overlap is reported when it has at least ``least_tokens`` equal
+tokens, or all tokens of a shorter item. Items shorter than a mask are hashed as a whole.
 
-Defined results: null or empty texts and items match nothing; repeated rows and equal items match each by themselves; a
-null id is reported as null.
+Defined results: null or empty texts and items match nothing; repeated rows match each by themselves; equal rows of one item
+id are one item, different texts of one id match by themselves; a null id is reported as null; ids keep their types.
 """
 
 from __future__ import annotations
@@ -27,17 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablecraft.llm.common import WordHashes, keep, lists, mixed, multiplier, small, without_documents
+from tablecraft.operators.sizing import is_small
 
 # Characters beyond ASCII that are no letters or digits, and a table that blanks those within ASCII.
 _FOREIGN_MARK = re.compile(r"[^\w\x00-\x7f]")
 _BLANKED = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
-# Fixed masks of eight tokens; 1 counts, 0 is ignored.
-MASKS = ("11111111", "1101100111001", "11010010110011", "1110010100110101", "101101101101")
+# Fixed masks of five tokens; 1 counts, 0 is ignored. Twelve tokens with two replaced still agree in one of them.
+MASKS = ("11111", "1101011", "11001101")
 LEAST_TOKENS = 10
-AROUND = 64
-# Points of the bitmap (bits); a bitmap takes 4 MB.
-POINTS = 1 << 25
-MISMATCH = 4
+# One in so many tokens of an overlap may differ.
+ONE_IN = 5
+# Points of the bitmap (bits) for each hash of the benchmark, and at least and at most; at most 32 MB.
+POINTS_EACH, LEAST_POINTS, MOST_POINTS = 64, 1 << 16, 1 << 28
 # Tokens that a task hashes at once.
 HELD_TOKENS = 1 << 15
 
@@ -68,144 +69,159 @@ def seeds(ids: np.ndarray, masks: list[str]) -> Iterator[tuple[str, np.ndarray]]
         yield mask, total
 
 
-def _item_seeds(shortest: int) -> callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            rows = [[], [], [], []]
-            items = []
-            for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = tokens(text, hashes)
-                masks = [m for m in MASKS if len(m) <= len(ids)]
-                if len(ids) < shortest and len(ids):
-                    masks.append("1" * len(ids))
-                for mask, found in seeds(ids, masks):
-                    for at, seed in enumerate(found.view(np.int64).tolist()):
-                        for column, value in zip(rows, (seed, item, at, len(mask)), strict=True):
-                            column.append(value)
-                        items.append(ids.view(np.int64))
-            yield pa.record_batch(
-                [*(pa.array(r, pa.int64()) for r in rows[:2]), *(pa.array(r, pa.int32()) for r in rows[2:]), lists(items, pa.int64())],
-                ["seed", "item_id", "item_at", "span", "item"],
-            )
+def _item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        found = [tokens(text, hashes).view(np.int64) for text in batch.column("text").to_pylist()]
+        yield pa.record_batch([batch.column("item"), batch.column("item_id"), lists(found, pa.int64())], ["item", "item_id", "tokens"])
 
-    return run
+
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shortest = min(map(len, MASKS))
+    for batch in batches:
+        columns: list[list[np.ndarray]] = [[], [], []]
+        spans = []
+        for item, own in zip(batch.column("item").to_pylist(), batch.column("tokens"), strict=True):
+            ids = own.values.to_numpy().view(np.uint64)
+            masks = [m for m in MASKS if len(m) <= len(ids)] if len(ids) >= shortest else ["1" * len(ids)] * bool(len(ids))
+            for mask, found in seeds(ids, masks):
+                for column, value in zip(columns, (found.view(np.int64), np.full(len(found), item), np.arange(len(found))), strict=True):
+                    column.append(value)
+                spans.append(np.full(len(found), len(mask)))
+        cells = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (*columns, spans)]
+        yield pa.record_batch([pa.array(c.astype(np.int64)) for c in cells], ["seed", "item", "item_at", "span"])
 
 
 def _hits(bitmap: bytes, lengths: list[int]) -> callable:
     masks = sorted({*MASKS, *("1" * n for n in lengths)})
+    points = len(bitmap) * 8
 
-    def found_in(docs: list[int | None], parts: list[np.ndarray], known: np.ndarray) -> pa.RecordBatch:
+    def found_in(rows: list[int], parts: list[np.ndarray], known: np.ndarray) -> pa.RecordBatch:
         """Likely hits of some documents, whose tokens are hashed as one row; hits across documents don't count."""
         ids = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-        begins = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-        owners, found, places, starts, around = [], [], [], [], []
+        ends = np.cumsum([len(p) for p in parts]).astype(np.int64)
+        owners, found, places = [], [], []
         for mask, own in seeds(ids, masks):
-            hit = np.flatnonzero(known[(own & np.uint64(POINTS - 1)).view(np.int64)])
-            doc = np.searchsorted(begins, hit, "right") - 1
-            for at, n in zip(hit.tolist(), doc.tolist(), strict=True):
-                begin, end = int(begins[n]), int(begins[n + 1])
-                if at + len(mask) <= end:
-                    start = max(begin, at - AROUND)
-                    owners.append(docs[n])
-                    found.append(own[at])
-                    places.append(at - begin)
-                    starts.append(start - begin)
-                    around.append(ids[start : min(end, at + AROUND + len(mask))].view(np.int64))
-        return pa.record_batch(
-            [pa.array(owners, pa.int64()), pa.array(np.array(found, np.uint64).view(np.int64)), pa.array(places, pa.int32()), pa.array(starts, pa.int32()), lists(around, pa.int64())],
-            ["doc_id", "seed", "at", "start", "around"],
-        )
+            hit = np.flatnonzero(known[(own & np.uint64(points - 1)).view(np.int64)])
+            doc = np.searchsorted(ends, hit, "right")
+            inside = hit + len(mask) <= ends[doc]
+            hit, doc = hit[inside], doc[inside]
+            owners.append(np.array(rows, np.int64)[doc])
+            found.append(own[hit].view(np.int64))
+            places.append(hit - (ends[doc] - np.array([len(p) for p in parts], np.int64)[doc]))
+        columns = [np.concatenate(c) if c else np.empty(0, np.int64) for c in (owners, found, places)]
+        return pa.record_batch([pa.array(c) for c in columns], ["row", "seed", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         known = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").view(bool)
-        docs, parts, held = [], [], 0
+        rows, parts, held = [], [], 0
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
                 own = tokens(text.as_py(), hashes)
-                docs.append(doc)
+                rows.append(row)
                 parts.append(own)
                 held += len(own)
                 if held >= HELD_TOKENS:
-                    yield found_in(docs, parts, known)
-                    docs, parts, held = [], [], 0
-        if docs:
-            yield found_in(docs, parts, known)
+                    yield found_in(rows, parts, known)
+                    rows, parts, held = [], [], 0
+        if rows:
+            yield found_in(rows, parts, known)
 
     return run
 
 
-def best_stretch(equal: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """Best stretch of a diagonal around the hit (low to high): from, to and equal tokens; a difference costs ``MISMATCH``."""
-    value = np.where(equal, 1, -MISMATCH)
-    right = np.cumsum(value[high:])
-    to = high + int(right.argmax()) + 1 if len(right) and right.max() > 0 else high
-    left = np.cumsum(value[:low][::-1])
-    start = low - int(left.argmax()) - 1 if len(left) and left.max() > 0 else low
-    return start, to, int(equal[start:to].sum())
+def longest_stretch(equal: np.ndarray) -> tuple[int, int, int]:
+    """The longest stretch, from equal to equal, in which at most one in ``ONE_IN`` differs: from, to, equal places."""
+    if not equal.any():
+        return 0, 0, 0
+    sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, 1 - ONE_IN))])
+    # A stretch from i to j is allowed if sums[j] >= sums[i]; the largest such j is found among the maxima from the right.
+    highest = np.maximum.accumulate(sums[::-1])[::-1]
+    to = np.searchsorted(-highest, -sums, "right") - 1
+    start = int((to - np.arange(len(sums))).argmax())
+    same = np.flatnonzero(equal[start : to[start]])
+    return start + int(same[0]), start + int(same[-1]) + 1, len(same)
 
 
 def _measured(least_tokens: int) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in ("doc_id", "item_id", "at", "start", "item_at", "span")}
-            out = []
+            docs, items, out = [], [], []
             for n in range(batch.num_rows):
-                item = batch.column("item")[n].values.to_numpy()
-                around = batch.column("around")[n].values.to_numpy()
-                # Place of the item's first token, counted from the first token around the hit.
-                shift = columns["at"][n] - columns["start"][n] - columns["item_at"][n]
-                first, last = max(0, -shift), min(len(item), len(around) - shift)
-                equal = item[first:last] == around[first + shift : last + shift]
-                low = columns["item_at"][n] - first
-                start, to, same = best_stretch(equal, low, low + columns["span"][n])
-                length = to - start
-                if 5 * (length - same) <= length and same >= min(least_tokens, len(item)):
-                    begin = columns["start"][n] + shift + first + start
-                    out.append((columns["doc_id"][n], columns["item_id"][n], begin, first + start, length, same, len(item)))
-            kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 5)
-            cells = list(zip(*out, strict=True)) if out else [[]] * len(kinds)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cells, kinds, strict=True)], [f.split()[0] for f in MATCHES.split(", ")])
+                own = tokens(batch.column("text")[n].as_py(), hashes).view(np.int64)
+                for met in batch.column("met")[n].values:
+                    item = met["tokens"].values.to_numpy()
+                    best = None
+                    for shift in met["shifts"].as_py():
+                        first, last = max(0, -shift), min(len(item), len(own) - shift)
+                        start, to, same = longest_stretch(item[first:last] == own[first + shift : last + shift])
+                        if same >= min(least_tokens, len(item)):
+                            found = (same, -(first + shift + start), -(first + start), to - start)
+                            best = found if best is None else max(best, found)
+                    if best:
+                        docs.append(n)
+                        items.append(met["item_id"])
+                        out.append((-best[1], -best[2], best[3], best[0], len(item)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            kind = batch.schema.field("met").type.value_type.field("item_id").type
+            yield pa.record_batch(
+                [batch.column("doc_id").take(pa.array(docs, pa.int64())), pa.array([i.as_py() for i in items], kind), *(pa.array(c, pa.int32()) for c in columns)],
+                ["doc_id", "item_id", *(f.split()[0] for f in MATCHES.split(", "))],
+            )
 
     return run
 
 
-MATCHES = "doc_id long, item_id long, doc_at int, item_at int, length int, equal int, item_length int"
+MATCHES = "doc_at int, item_at int, length int, equal int, item_length int"
 
 
 def _bitmap(codes: DataFrame) -> bytes:
-    """A bitmap of all seeds, of fixed size: bits are gathered by byte before they reach the driver."""
-    point = F.pmod(F.col("seed"), F.lit(POINTS))
+    """A bitmap of all seeds: bits are gathered by byte before they reach the driver."""
+    wanted = min(max(POINTS_EACH * codes.count(), LEAST_POINTS), MOST_POINTS)
+    points = 1 << (wanted - 1).bit_length()
+    point = F.pmod(F.col("seed"), F.lit(points))
     cells = codes.select(point.alias("point")).selectExpr("shiftright(point, 3) cell", "shiftleft(1, cast(point % 8 as int)) bit")
     cells = cells.groupBy("cell").agg(F.bit_or("bit").alias("bits"))
-    table = np.zeros(POINTS // 8, np.uint8)
+    table = np.zeros(points // 8, np.uint8)
     for rows in cells.toLocalIterator(prefetchPartitions=True):
         table[rows["cell"]] = rows["bits"]
     return table.tobytes()
 
 
+def _sized(df: DataFrame) -> DataFrame:
+    """A stored frame marked for broadcasting when its rows and bytes are few."""
+    return F.broadcast(df) if is_small(df) else df
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, least_tokens: int = LEAST_TOKENS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """Overlaps of documents with benchmark items: the longest stretch of each document and item.
 
     Columns: doc_id, item_id, doc_at and item_at (token where the stretch begins), length, equal (tokens that agree)
-    and item_length.
+    and item_length. ``docs`` is read twice and has to give its rows in the same order, as stored tables do.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    items = items.filter("text is not null").withColumn("item", F.monotonically_increasing_id())
+    items = keep(items.select("item", "item_id", "text").mapInArrow(_item_tokens, f"item long, item_id {item_kind}, tokens array<long>"), "items")
+    codes = keep(items.select("item", "tokens").mapInArrow(_item_seeds, "seed long, item long, item_at long, span long"), "seeds")
     shortest = min(map(len, MASKS))
-    codes = keep(
-        items.mapInArrow(_item_seeds(shortest), "seed long, item_id long, item_at int, span int, item array<long>"), "seeds"
-    )
     lengths = [r["span"] for r in codes.filter(F.col("span") < shortest).select("span").distinct().collect()]
-    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    hits = plain.mapInArrow(
-        _hits(_bitmap(codes), lengths), "doc_id long, seed long, at int, start int, around array<long>"
-    )
-    found = hits.join(small(codes, 50_000), "seed").mapInArrow(_measured(least_tokens), MATCHES)
-    best = F.max_by(F.struct("doc_at", "item_at", "length", "equal", "item_length"), F.struct("equal", -F.col("doc_at"), -F.col("item_at")))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
-
-
-def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those that match an item; rows without an id stay."""
-    return without_documents(docs, matches(docs, benchmark, id_col=id_col, **options).select("doc_id"), id_col)
+    plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
+    hits = plain.select("row", "text").mapInArrow(_hits(_bitmap(codes), lengths), "row long, seed long, at long")
+    met = hits.join(_sized(codes.select("seed", "item", "item_at")), "seed").select("row", "item", (F.col("at") - F.col("item_at")).cast("int").alias("shift"))
+    met = met.groupBy("row", "item").agg(F.collect_set("shift").alias("shifts"))
+    met = met.join(_sized(items), "item").groupBy("row").agg(F.collect_list(F.struct("item_id", "tokens", "shifts")).alias("met"))
+    met = keep(met, "met")
+    # Only the ids of the rows that met an item go out to the documents; their texts then come to the items.
+    rows = small(met.select("row"))
+    found = plain.join(rows, "row", "left_semi").join(met, "row").select("doc_id", "text", "met")
+    return found.mapInArrow(_measured(least_tokens), f"doc_id {kind}, item_id {item_kind}, {MATCHES}")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that match an item; rows are judged one by one, whatever their id."""
+    numbered = keep(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
+    found = matches(numbered, benchmark, id_col="__row", text_col=text_col, **options).select("doc_id")
+    return without_documents(numbered, found, "__row").drop("__row")
