@@ -16,7 +16,7 @@ from tablecraft.session import working_dir
 # is joined by shuffling. The rows are counted first.
 BROADCAST_ROWS = 1_000_000
 # Words whose hashes a task keeps at hand.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 # Documents that a task holds as Python objects at once.
 SLICE_ROWS = 256
 

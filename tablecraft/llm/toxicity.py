@@ -54,10 +54,10 @@ SEQUENCE = 48
 THRESHOLD = 0.7
 # Marginal from which a token counts as an offending one.
 TOXIC = 0.5
-COUNTED_TERMS, COUNTED_SENTENCES = 400_000, 100_000
+COUNTED_TERMS, COUNTED_SENTENCES = 150_000, 50_000
 # Texts and sentences that a task runs at once.
 SLICE_ROWS, AT_ONCE = 256, 4096
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 
 
 def terms(word: str) -> list[str]:
