@@ -85,8 +85,10 @@ def test_query_with_large_keys_and_large_sources(spark, duck, name):
 
 def test_every_query_has_sql():
     # Those of the training-data operators and their pipeline are tested against brute force.
-    own = {n for n in queries() if not re.fullmatch(r"op\d+_.*|pipeline", n)}
-    assert own == set(oracle_sql())
+    def own(names):
+        return {n for n in names if not re.fullmatch(r"op\d+_.*|pipeline", n)}
+
+    assert own(queries()) == own(oracle_sql())
 
 
 def test_entry(spark):
