@@ -262,8 +262,17 @@ class Tagger:
 
     def __init__(self, known: dict[str, int], weights: list[float], chain: list[float]):
         self._bias, self._chain = weights[-1], np.array(chain)
-        # The score of a word's features; 0 for none, and as good as 0 where they cancel out.
-        self._scores = Remembered(lambda word: (sum(own) or 1e-9) if (own := [weights[known[t]] for t in terms(word) if t in known]) else 0.0)
+        # Every known word of four letters or more has its first four as a feature of its own: others are told by them.
+        least = BEGINNINGS[0]
+
+        def score(word: str) -> float:
+            """The score of a word's features; 0 for none, and as good as 0 where they cancel out."""
+            low = word.lower()
+            if (low[:least] if len(low) >= least else "=" + low) not in known:
+                return 0.0
+            return sum(weights[known[t]] for t in terms(word) if t in known) or 1e-9
+
+        self._scores = Remembered(score)
 
     def __call__(self, texts: list[str]) -> list[tuple[list[float], list[tuple[int, int, float]]]]:
         """For each text, the marginals of the tokens of its sentences with a feature, and the spans of toxic tokens."""
