@@ -8,14 +8,17 @@ the body all parts that are not mostly links. If the core lies in an article or
 element is the text as a whole.
 
 Before that, what is never text goes: scripts, styles, comments in the markup, forms, menus, headers and footers of the
-page, sidebars, adverts, notices and reader comments, told by element, role or the words of class and id, and hidden
-elements.
+page, sidebars, adverts, notices and reader comments, told by element, role, class or id, and hidden elements. A class or
+id is a mark if all of its words are marks or say where and what a part is ("sidebar-left", "ad-banner", but not
+"has-sidebar" or "social-science"). A marked wrapper or form that holds the article, or the frame of the page, and more
+text than all that lies outside marked parts, is taken for a wrapper of the page and stays; what is marked inside it goes.
 
 The text: character references are decoded, white space inside a block becomes one blank, blocks are trimmed and joined
 in page order by two line ends. A line break inside a block is white space. Nothing is capped.
 
 Defined results: a null or empty page, or one without text, gives an empty text; markup without end tags, or cut off in
-the middle, is read as far as it goes; repeated rows are extracted one by one.
+the middle, is read as far as it goes (only an open script, style, textarea or title hides the rest of the page); repeated
+rows are extracted one by one.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ BLOCKS = frozenset(
 SPACED = frozenset("br td th wbr img option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes svg math object select".split())
+# Of these, the ones that hide the rest of the page if their end is missing.
+RAW_TO_THE_END = frozenset("script style textarea title".split())
 NEVER = frozenset("head nav footer aside form button dialog menu search input label fieldset canvas audio video".split())
 WHOLE = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -60,6 +65,23 @@ MARKS = frozenset(
 )
 # These mark page headers, but not the header of an article.
 HEADER_MARKS = frozenset("header masthead topbar".split())
+# These say where or what a part is, and are no marks by themselves.
+COMPANIONS = frozenset(
+    "a article area bar block body bottom box btn button buttons col column container content entry fixed global group id"
+    " inner js item items left links list main middle mobile module outer page panel part post posts primary right row"
+    " secondary section side site slot sticky text the to top unit user widgets wrap wrapper".split()
+)
+# Parts with these marks never wrap a page.
+FIRM_MARKS = frozenset(
+    "nav navbar navigation menu footer breadcrumb breadcrumbs cookie cookies consent gdpr comment comments reply replies"
+    " disqus contentinfo".split()
+)
+# Elements that frame a page.
+FRAME = frozenset("h1 article main nav header footer".split())
+# What marks a node: nothing, a mark that a wrapper of the page may bear, or one that always holds.
+CLEAR, MARKED, FIRM = 0, 1, 2
+# A part that holds a frame but no article is a wrapper of the page if it holds this many times the text outside.
+FRAMED_SHARE = 10
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>""", re.S)
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -75,33 +97,85 @@ class Page:
         self.names: list[str] = []
         self.parents: list[int] = []
         self.texts: list[str] = []
+        self.marks: list[int] = []
         self.dropped: list[bool] = []
 
-    def add(self, name: str, parent: int, text: str = "", dropped: bool = False) -> int:
+    def add(self, name: str, parent: int, text: str = "", mark: int = CLEAR) -> int:
         self.names.append(name)
         self.parents.append(parent)
         self.texts.append(text)
-        self.dropped.append(dropped)
+        self.marks.append(mark)
         return len(self.names) - 1
 
+    def drop_marked(self) -> None:
+        """Drop all that is marked or inside a marked node, but keep the wrapper of the page."""
+        size = len(self.names)
+        if MARKED in self.marks:
+            for node in self._wrapper():
+                self.marks[node] = CLEAR
+        self.dropped = [False] * size
+        for node in range(size):
+            parent = self.parents[node]
+            self.dropped[node] = self.marks[node] != CLEAR or parent >= 0 and self.dropped[parent]
+
+    def _wrapper(self) -> list[int]:
+        """The marked nodes, from the inside out, that wrap the text of the page."""
+        size = len(self.names)
+        clear, whole, frame = [0] * size, [False] * size, [False] * size
+        for node in range(size - 1, 0, -1):
+            if not self.names[node]:
+                clear[node] = len("".join(self.texts[node].split()))
+            parent = self.parents[node]
+            frame[parent] |= frame[node] or self.names[node] in FRAME
+            if self.marks[node] == CLEAR:
+                clear[parent] += clear[node]
+                whole[parent] |= whole[node] or self.names[node] in WHOLE
+        firm = [False] * size
+        for node in range(1, size):
+            firm[node] = self.marks[node] == FIRM or firm[self.parents[node]]
+        found = [
+            n
+            for n in range(1, size)
+            if self.marks[n] == MARKED
+            and not firm[n]
+            and (whole[n] and clear[n] > clear[0] or frame[n] and clear[n] > FRAMED_SHARE * clear[0])
+        ]
+        if not found:
+            return []
+        path = [max(found, key=lambda n: (clear[n], -n))]
+        while self.parents[path[-1]] >= 0:
+            path.append(self.parents[path[-1]])
+        return [n for n in path if self.marks[n] == MARKED]
+
 
 def _attributes(source: str) -> dict[str, str]:
     return {a.lower(): v.strip("\"'") for a, v in _ATTRIBUTE.findall(source)} if source else {}
 
 
-def _is_noise(name: str, source: str, inside: bool) -> bool:
+def _marking(token: str, marks: frozenset[str]) -> set[str]:
+    """The marks in a class, id or role, if it holds no words beside them but companions."""
+    words = set(_WORD.findall(token))
+    return words & marks if words <= marks | COMPANIONS | HEADER_MARKS else set()
+
+
+def _mark(name: str, source: str, inside: bool) -> int:
     """Whether an element is never text; ``inside``: it is part of an article or main element."""
     if name in NEVER or name == "header" and not inside:
-        return True
+        return MARKED if name == "form" else FIRM
     if not source or name in ("body", "html"):
-        return False
+        return CLEAR
     found = _attributes(source)
     if "hidden" in found or found.get("aria-hidden") == "true" or _HIDDEN.search(found.get("style", "")):
-        return True
-    words = set(_WORD.findall(" ".join(found.get(a, "") for a in ("class", "id", "role")).lower()))
-    if words & HEADER_MARKS and not inside:
-        return True
-    return name not in WHOLE and bool(words & MARKS) or name == "article" and bool(words & {"comment", "comments", "reply"})
+        return FIRM
+    tokens = " ".join(found.get(a, "") for a in ("class", "id", "role")).lower().split()
+    marks = {m for t in tokens for m in _marking(t, MARKS)}
+    if name == "article":
+        return FIRM if marks & {"comment", "comments", "reply"} else CLEAR
+    if name in WHOLE:
+        return CLEAR
+    if marks:
+        return FIRM if marks & FIRM_MARKS else MARKED
+    return MARKED if not inside and any(_marking(t, HEADER_MARKS) for t in tokens) else CLEAR
 
 
 def parse(source: str) -> Page:
@@ -110,11 +184,12 @@ def parse(source: str) -> Page:
     page.add("html", -1)
     stack = [0]
     whole = 0  # open article and main elements
+    endless: set[str] = set()  # names whose end tag does not come any more
     at = 0
 
     def text(piece: str) -> None:
         if piece:
-            page.add("", stack[-1], html.unescape(piece), page.dropped[stack[-1]])
+            page.add("", stack[-1], html.unescape(piece))
 
     def close(depth: int) -> None:
         nonlocal whole
@@ -155,20 +230,26 @@ def parse(source: str) -> Page:
                 close(depth)
             continue
         if name in RAW:
+            if name in endless or match.group(3).rstrip().endswith("/"):
+                continue
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-            if not match.group(3).rstrip().endswith("/"):
-                at = end.end() if end else len(source)
+            if end:
+                at = end.end()
+            elif name in RAW_TO_THE_END:
+                at = len(source)
+            else:
+                endless.add(name)
             continue
         if name in BLOCKS and (depth := open_depth(("p",), BLOCKS - {"p"})):
             close(depth)
         if name in CLOSED_BY_SAME and (depth := open_depth(CLOSED_BY_SAME[name], LIST_ENDS)):
             close(depth)
         parent = stack[-1]
-        dropped = page.dropped[parent] or _is_noise(name, match.group(3), whole > 0)
-        node = page.add(name, parent, "", dropped)
+        node = page.add(name, parent, "", _mark(name, match.group(3), whole > 0))
         if name not in VOID and not (match.group(3).endswith("/") and name not in BLOCKS):
             stack.append(node)
             whole += name in WHOLE
+    page.drop_marked()
     return page
 
 

@@ -59,6 +59,53 @@ def test_densities_count_links():
     assert chars[plain] == 15 and density[plain] > density[linked]
 
 
+STORY = "<h1>The title</h1><p>One long sentence of the story, with words enough.<p>And one more sentence, as long as that."
+WANT = "The title\n\nOne long sentence of the story, with words enough.\n\nAnd one more sentence, as long as that."
+
+
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        '<div class="layout has-sidebar"><article>{}</article></div>',
+        '<div class="page widget"><article>{}</article></div>',
+        '<div class="sidebar-left"><main>{}</main><div class="sidebar">other things, of less weight</div></div>',
+        '<div id="content-with-ads"><div>{}</div></div>',
+        '<div class="social-science">{}</div>',
+        '<section class="related-work">{}</section>',
+        "<form action='/x'><nav><a href='/'>Home</a></nav><div>{}</div><label>Name</label><input name=n></form>",
+        '<form class="page-form"><div class="sidebar-right"><article>{}</article></div><button>Go</button></form>',
+        "<svg><path d='M0'><article>{}</article>",
+        "<select><option>one<div><article>{}</article></div>",
+    ],
+)
+def test_wrappers_and_open_elements_hide_no_article(wrap):
+    page = f"<body><nav><a href='/'>Home</a></nav>{wrap.format(STORY)}<div class='cookie-notice'>We use cookies for all.</div></body>"
+    assert m.main_text(page) == WANT
+
+
+@pytest.mark.parametrize(
+    "noise",
+    [
+        '<section class="post-comments"><article><p>A comment that is longer than the article, by far, as comments often are.'
+        " It goes on and on and on, and then it goes on some more, until nobody reads it any longer.</article></section>",
+        '<div class="sidebar-left"><article>A teaser of another story.</article></div>',
+        '<form><h1>Sign up</h1><p>Get all of our news in one letter.</p></form>',
+        '<div class="site-footer">Someone, somewhere</div>',
+        '<div class="top-ad">Buy things</div>',
+    ],
+)
+def test_marked_parts_beside_the_article_go(noise):
+    for story in (f"<article>{STORY}</article>", f"<div id=story>{STORY}</div>"):
+        assert m.main_text(f"<body>{noise}{story}{noise}</body>") == WANT
+
+
+def test_pages_of_nothing_but_noise():
+    assert m.main_text("<body><div class='cookie-notice'><p>We use cookies for all.</p></div></body>") == ""
+    assert m.main_text("<body><form><p>Your name<input></form><footer>us</footer></body>") == ""
+    assert m.main_text("<p>seen</p><script>var a = 1; <p>unseen") == "seen"
+    assert m.main_text("<p>a</p>" + "<object>" * 20_000 + "<p>b</p>") == "a\n\nb"
+
+
 def test_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>a", "x"), (2, "v", "", "x")], "page_id long, url string, html string, text string")
     rows = m.extract(pages).collect()
