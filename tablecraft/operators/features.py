@@ -70,58 +70,118 @@ def lookup_features(labels: DataFrame, features: DataFrame, lookup: FeatureLooku
     if clash:
         raise ValueError(f"labels already have columns {clash}: use rename_outputs")
     if lookup.timestamp_lookup_key:
-        return _lookup_as_of(labels, features, lookup)
+        return _on_timeline(labels, [(lookup, features)])
     known = [F.col(k).isNotNull() for k in lookup.keys]
     picked = features.where(reduce(lambda a, b: a & b, known)).groupBy(*lookup.keys).agg(
         F.count(F.lit(1)).alias("__rows"), *[F.first(f).alias(f"__first_{f}") for f in lookup.feature_names]
     )
-    # One row per key, or the label rows would multiply: a repeated key raises when the lookup runs.
-    repeated = F.raise_error(F.lit(f"{lookup.table_name} has several rows of one key of {lookup.keys}"))
-    picked = picked.where(F.when(F.col("__rows") == 1, F.lit(True)).otherwise(repeated.cast("boolean"))).select(
+    picked = picked.where(F.when(F.col("__rows") == 1, F.lit(True)).otherwise(_repeated(lookup).cast("boolean"))).select(
         *lookup.keys, *[F.col(f"__first_{f}").alias(f"__feature_{f}") for f in lookup.feature_names]
     )
     joined = skew_join(labels, picked, lookup.keys, "left")
     return joined.select(*labels.columns, *_outputs(lookup, lambda f: F.col(f"__feature_{f}")))
 
 
-def _lookup_as_of(labels: DataFrame, features: DataFrame, lookup: FeatureLookup) -> DataFrame:
-    """Newest feature row of the key at or before the label's time.
+Lookup = tuple[FeatureLookup, DataFrame]
 
-    Labels and features share one timeline per key; a feature of the same
-    instant counts. The features travel as one struct, so that a null feature
-    value hides older ones instead of letting them through.
+
+def _repeated(lookup: FeatureLookup) -> Column:
+    """Raises: one row per key, or the label rows would multiply."""
+    return F.raise_error(F.lit(f"{lookup.table_name} has several rows of one key of {lookup.keys}"))
+
+
+def _on_timeline(labels: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
+    """Attach lookups of the same keys in one pass, the first of them as of a time.
+
+    Labels and the features of all tables share one timeline per key, so there is one exchange for all of them, and one
+    sort per time column of the labels. The newest features at or before the label's time count; those of the same
+    instant as well. Features travel as one struct per lookup, so that a null feature value hides older ones instead of
+    letting them through. Features without a time stand at the beginning of the timeline.
     """
-    ts = lookup.timestamp_lookup_key
-    keys = lookup.keys
-    left = labels.select(
-        *[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)],
-        F.col(ts).alias("__ts"),
-        F.lit(1).alias("__side"),
-        F.struct(*labels.columns).alias("__label"),
-    )
-    right = features.select(
-        *[F.col(k).alias(f"__key_{i}") for i, k in enumerate(keys)],
-        F.col(lookup.feature_timestamp or ts).alias("__ts"),
-        F.lit(0).alias("__side"),
-        F.struct(
-            F.col(lookup.feature_timestamp or ts).alias("ts"),
-            *[F.col(f).alias(f"f_{f}") for f in lookup.feature_names],
-        ).alias("__feature"),
-    )
+    keys = lookups[0][0].keys
     key_names = [f"__key_{i}" for i in range(len(keys))]
-    known = F.col("__key_0").isNotNull() & F.col("__ts").isNotNull()
-    for n in key_names[1:]:
-        known = known & F.col(n).isNotNull()
-    timeline = left.unionByName(right.where(known), allowMissingColumns=True)
-    found = carry(timeline, key_names, ["__ts", "__side"], {"__found": F.col("__feature")})
-
-    usable = known
-    if lookup.lookback_window is not None:
-        usable = usable & (F.col("__found.ts") >= F.col("__ts") - F.lit(lookup.lookback_window))
-    return found.where(F.col("__side") == 1).select(
-        *[F.col(f"__label.{c}").alias(c) for c in labels.columns],
-        *_outputs(lookup, lambda f: F.when(usable, F.col(f"__found.f_{f}"))),
-    )
+    times = list(dict.fromkeys(lk.timestamp_lookup_key for lk, _ in lookups if lk.timestamp_lookup_key))
+
+    def rows(df: DataFrame, instants: Mapping[str, str], side: int, content: Column) -> DataFrame:
+        """A part of the timeline; ``instants`` names the column of ``df`` for each time."""
+        return df.select(
+            *[F.col(k).alias(n) for k, n in zip(keys, key_names)],
+            *[F.col(c).alias(f"__ts_{times.index(t)}") for t, c in instants.items()],
+            F.lit(side).alias("__side"),
+            content,
+        )
+
+    known = reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in key_names])
+    timeline = rows(labels, {t: t for t in times}, 1, F.struct(*labels.columns).alias("__label"))
+    usable, values = [], {t: {} for t in times}
+    for i, (lookup, features) in enumerate(lookups):
+        ts = lookup.timestamp_lookup_key
+        own = [F.col(f).alias(f"f_{f}") for f in lookup.feature_names]
+        if ts:
+            seen = lookup.feature_timestamp or ts
+            instant, here = f"__ts_{times.index(ts)}", known & F.col(f"__ts_{times.index(ts)}").isNotNull()
+            part = rows(features, {ts: seen}, 0, F.struct(F.col(seen).alias("ts"), *own).alias(f"__feature_{i}"))
+            fresh = here
+            if lookup.lookback_window is not None:
+                fresh = here & (F.col(f"__found_{i}.ts") >= F.col(instant) - F.lit(lookup.lookback_window))
+        else:
+            part, here, fresh = rows(features, {}, 0, F.struct(*own).alias(f"__feature_{i}")), known, known
+        timeline = timeline.unionByName(part.where(here), allowMissingColumns=True)
+        usable.append(fresh)
+        values[ts or times[0]][f"__found_{i}"] = F.col(f"__feature_{i}")
+    for t in times:
+        timeline = carry(timeline, key_names, [f"__ts_{times.index(t)}", "__side"], values[t])
+
+    wanted = F.col("__side") == 1
+    for i, (lookup, _) in enumerate(lookups):
+        if not lookup.timestamp_lookup_key:
+            again = F.col(f"__feature_{i}").isNotNull() & F.col(f"__found_{i}").isNotNull()
+            wanted = F.when(again, _repeated(lookup).cast("boolean")).otherwise(wanted)
+    outputs = [
+        c
+        for i, (lookup, _) in enumerate(lookups)
+        for c in _outputs(lookup, lambda f, i=i: F.when(usable[i], F.col(f"__found_{i}.f_{f}")))
+    ]
+    return timeline.where(wanted).select(*[F.col(f"__label.{c}").alias(c) for c in labels.columns], *outputs)
+
+
+def _shared(labels: DataFrame, lookups: Sequence[Lookup]) -> list[list[Lookup]]:
+    """``lookups`` in groups that one timeline can serve: same keys in the same types, at least one as of a time."""
+
+    def fits(lookup: FeatureLookup, features: DataFrame) -> bool:
+        ts = lookup.timestamp_lookup_key
+        pairs = [(k, k) for k in lookup.keys] + ([(ts, lookup.feature_timestamp or ts)] if ts else [])
+        return all(
+            c in labels.columns and f in features.columns and labels.schema[c].dataType == features.schema[f].dataType
+            for c, f in pairs
+        )
+
+    groups: dict[Any, list[Lookup]] = {}
+    for i, (lookup, features) in enumerate(lookups):
+        groups.setdefault(tuple(lookup.keys) if fits(lookup, features) else i, []).append((lookup, features))
+    shared = []
+    for group in groups.values():
+        group.sort(key=lambda g: g[0].timestamp_lookup_key is None)
+        timed = group[0][0].timestamp_lookup_key is not None
+        shared.extend([group] if timed else [[g] for g in group])
+    return shared
+
+
+def _attach_all(labels: DataFrame, lookups: Sequence[Lookup]) -> DataFrame:
+    """Attach all lookups; those whose keys and time the labels have already come first, together."""
+    names = [*labels.columns, *[lk.output_name(f) for lk, _ in lookups for f in lk.feature_names]]
+    result, left = labels, list(lookups)
+    while left:
+        ready = [g for g in left if {*g[0].keys, g[0].timestamp_lookup_key} - {None} <= {*result.columns}] or left
+        for group in _shared(result, ready):
+            clash = [lk.output_name(f) for lk, _ in group for f in lk.feature_names if lk.output_name(f) in result.columns]
+            if clash or len(group) == 1:
+                for lookup, features in group:
+                    result = lookup_features(result, features, lookup)
+            else:
+                result = _on_timeline(result, group)
+        left = [g for g in left if not any(g is r for r in ready)]
+    return result.select(*[f"`{n}`" for n in names])
 
 
 def training_set(
@@ -130,10 +190,16 @@ def training_set(
     label_column: str | None,
     exclude_columns: Sequence[str] = (),
 ) -> DataFrame:
-    """Labels with the features of all lookups, without the excluded columns."""
+    """Labels with the features of all lookups, without the excluded columns.
+
+    Lookups of the same keys are served by one timeline, if one of them is as of a time. A lookup may use the features of
+    another one as its keys.
+    """
     if label_column is not None and label_column not in labels.columns:
         raise ValueError(f"label column {label_column} is missing")
-    result = labels
-    for lookup, features in lookups:
-        result = lookup_features(result, features, lookup)
+    outputs = [lk.output_name(f) for lk, _ in lookups for f in lk.feature_names]
+    twice = sorted({n for n in outputs if outputs.count(n) > 1})
+    if twice:
+        raise ValueError(f"several lookups give columns {twice}: use rename_outputs")
+    result = _attach_all(labels, lookups)
     return result.drop(*[c for c in exclude_columns if c != label_column])

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from helpers import rows
+from pyspark.sql import functions as F
 
 from tablecraft.operators.features import FeatureLookup, lookup_features, training_set
 from tablecraft.operators.geo import EARTH_RADIUS, nearby_places
@@ -76,6 +77,61 @@ def test_training_set(spark, labels, visits):
         training_set(labels, [], "absent")
 
 
+def _four(visits, members):
+    later = visits.withColumnRenamed("ts", "seen")
+    return [
+        (FeatureLookup("visits", "member_id", ["age"], timestamp_lookup_key="ts"), visits),
+        (FeatureLookup("members", "member_id", ["area"], default_values={"area": "none"}), members),
+        (
+            FeatureLookup(
+                "visits", "member_id", ["age"], timestamp_lookup_key="ts", feature_timestamp="seen",
+                rename_outputs={"age": "recent_age"}, lookback_window=timedelta(hours=10),
+            ),
+            later,
+        ),
+        (FeatureLookup("visits", "member_id", ["age"], timestamp_lookup_key="made", feature_timestamp="seen",
+                       rename_outputs={"age": "made_age"}), later),
+    ]
+
+
+def _two_times(labels):
+    return labels.withColumn("made", F.col("ts") - F.expr("make_interval(0, 0, 0, 0, id % 50)"))
+
+
+def test_lookups_on_one_timeline_equal_one_after_the_other(spark, labels, visits, group_size):
+    labels = _two_times(labels)
+    members = spark.createDataFrame([("hot", "x"), ("a", None), (None, "z")], "member_id string, area string")
+    lookups = _four(visits, members)
+    one_by_one = labels
+    for lookup, features in lookups:
+        one_by_one = lookup_features(one_by_one, features, lookup)
+    found = training_set(labels, lookups, None)
+    assert found.columns == one_by_one.columns == ["id", "member_id", "ts", "made", "age", "area", "recent_age", "made_age"]
+    assert rows(found) == rows(one_by_one) and found.count() == 60
+    with pytest.raises(Exception, match="several rows of one key"):
+        training_set(labels, _four(visits, members.union(members)), None).collect()
+
+
+def test_one_exchange_for_all_lookups_of_a_key(spark, labels, visits):
+    members = spark.createDataFrame([("hot", "x")], "member_id string, area string")
+    plan = training_set(_two_times(labels), _four(visits, members), None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
+def test_lookups_by_features_and_by_other_types(spark, labels, visits):
+    members = spark.createDataFrame([("hot", 5), ("a", 6)], "member_id string, home int")
+    homes = spark.createDataFrame([(5, "five"), (6, "six")], "home bigint, name string")
+    lookups = [
+        (FeatureLookup("homes", "home", ["name"]), homes),
+        (FeatureLookup("members", "member_id", ["home"]), members),
+    ]
+    found = training_set(labels, lookups, None)
+    assert found.columns == ["id", "member_id", "ts", "name", "home"]
+    assert {(r["member_id"], r["home"], r["name"]) for r in found.collect()} == {("hot", 5, "five"), ("a", 6, "six"), ("b", None, None), (None, None, None)}
+    with pytest.raises(ValueError, match="several lookups"):
+        training_set(labels, [lookups[0], lookups[0]], None)
+
+
 def test_lookup_configuration():
     lookup = FeatureLookup.from_config(
         {"feature_store_name": "fs.member", "lookup_key": "member_id", "feature_names": ["Age"], "lookback_window": 30}
