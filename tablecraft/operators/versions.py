@@ -8,11 +8,13 @@ frame); :func:`scalar` fetches the single value where a job needs it.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from functools import reduce
 from typing import Any
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,19 +103,29 @@ def freshness(tables: Mapping[str, DataFrame], logs: Mapping[str, DataFrame] | N
     return reduce(DataFrame.unionByName, parts)
 
 
+# Tables of a schema that are looked at side by side.
+TABLES_AT_ONCE = 8
+
+
 def schema_freshness(spark: SparkSession, schema: str, logs: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """Freshness of every table of a schema; null for a table that cannot be read.
+    """Freshness of every table of a schema; null for a table that cannot be read as a whole.
 
-    Broken or missing files of a table count for nothing and don't end the report.
+    Each table is an action of its own and read strictly: a broken or missing file makes the table's value null, not
+    that of its other files, and leaves the report whole.
     """
-    tables = {}
-    reader = spark.read.options(ignoreCorruptFiles="true", ignoreMissingFiles="true")
-    for entry in spark.catalog.listTables(schema):
+    logs = logs or {}
+
+    def modified(name: str) -> tuple[str, datetime | None]:
         try:
-            tables[entry.name] = reader.table(f"{schema}.{entry.name}")
-        except AnalysisException:
-            tables[entry.name] = spark.range(0)
-    return freshness(tables, logs)
+            df = spark.read.options(ignoreCorruptFiles="false", ignoreMissingFiles="false").table(f"`{schema}`.`{name}`")
+            return name, freshness({name: df}, {name: logs[name]} if name in logs else None).first()["last_modified"]
+        except (PySparkException, Py4JJavaError):
+            return name, None
+
+    names = [entry.name for entry in spark.catalog.listTables(schema) if not entry.isTemporary]
+    with ThreadPoolExecutor(TABLES_AT_ONCE) as pool:
+        found = list(pool.map(modified, names))
+    return spark.createDataFrame(found, "table_name string, last_modified timestamp")
 
 
 # -- metadata frames ----------------------------------------------------------

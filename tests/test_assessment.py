@@ -257,7 +257,7 @@ def test_schema_freshness(spark):
                     (folder / f".{file.name}.crc").unlink()
             spark.catalog.refreshTable(f"fresh.{name}")
         assert rows(V.schema_freshness(spark, "fresh")) == [
-            ("a", datetime(2025, 3, 1)), ("broken", None), ("part", datetime(2025, 4, 1)), ("torn", None),
+            ("a", datetime(2025, 3, 1)), ("broken", None), ("part", None), ("torn", None),
         ]
     finally:
         spark.sql("DROP DATABASE fresh CASCADE")

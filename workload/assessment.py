@@ -145,6 +145,16 @@ def agreement_by_source(spark, d):
     return _rounded(A.agreement_scores(labels, "quality", "toxic", ["source"]))
 
 
+@query(
+    _scores("(SELECT source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)"
+            " WHERE quality IS NOT NULL AND toxic IS NOT NULL)", "source,")
+)
+def agreement_of_pairs(spark, d):
+    """Documents without a label make lists of unequal length: an error by default, left out when asked for."""
+    labels = table(spark, d, "documents").select("doc_id", "source").join(table(spark, d, "labels"), "doc_id", "left")
+    return _rounded(A.agreement_scores(labels, "quality", "toxic", ["source"], nulls="drop"))
+
+
 @query(
     """SELECT CASE WHEN quality IS NULL THEN NULL WHEN toxic = 1 THEN false ELSE true END AS label, count(*) AS n
     FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from tablecraft.functions.time import iso8601_utc
@@ -241,6 +243,24 @@ def freshness(spark, d):
     )
 
 
+@query(
+    """SELECT 'orders' AS table_name, max(o_orderdate) AS last_modified FROM orders
+    UNION ALL SELECT 'lineitem', max(l_shipdate) FROM lineitem
+    UNION ALL SELECT 'region', CAST(NULL AS TIMESTAMP) FROM region WHERE r_regionkey = (SELECT min(r_regionkey) FROM region)
+    UNION ALL SELECT 'broken', CAST(NULL AS TIMESTAMP) FROM region WHERE r_regionkey = (SELECT min(r_regionkey) FROM region)"""
+)
+def schema_freshness(spark, d):
+    schema = f"freshness_{zlib.crc32(d.encode())}"
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {schema}")
+    for name in ("orders", "lineitem", "region"):
+        spark.sql(f"CREATE OR REPLACE VIEW {schema}.{name} AS SELECT * FROM parquet.`{d}/{name}.parquet`")
+    # A view of a table that is gone.
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {schema}.gone (id INT) USING parquet")
+    spark.sql(f"CREATE OR REPLACE VIEW {schema}.broken AS SELECT * FROM {schema}.gone")
+    spark.sql(f"DROP TABLE {schema}.gone")
+    return versions.schema_freshness(spark, schema)
+
+
 # -- metadata frames: parts stand for tables, their brand for the schema --------
 
 

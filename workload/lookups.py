@@ -94,6 +94,34 @@ def training_set(spark, d):
     )
 
 
+@query(
+    """WITH p AS (SELECT event_id, user_id, ts, value AS amount FROM events WHERE event_type = 'purchase'),
+    v AS (SELECT user_id, ts, value FROM events WHERE event_type = 'view'),
+    c AS (SELECT user_id, ts, value FROM events WHERE event_type = 'click'),
+    pv AS (SELECT p.*, v.value AS view_value FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts),
+    pc AS (SELECT pv.*, CASE WHEN c.ts >= pv.ts - INTERVAL 7 DAY THEN c.value END AS click_value
+           FROM pv ASOF LEFT JOIN c ON pv.user_id = c.user_id AND pv.ts >= c.ts)
+    SELECT event_id, amount, view_value, click_value, c_mktsegment AS segment, coalesce(n_orders, 0) AS n_orders
+    FROM pc LEFT JOIN customer ON user_id = c_custkey
+    LEFT JOIN (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY ALL) ON user_id = o_custkey"""
+)
+def training_set_timeline(spark, d):
+    """Four lookups of one key, two of them as of a time, on one timeline."""
+
+    def events(kind):
+        return table(spark, d, "events").where(F.col("event_type") == kind).select("user_id", "ts", "value")
+
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    orders = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count("*").alias("n_orders"))
+    lookups = [
+        (FeatureLookup("views", "user_id", ["value"], "ts", {"value": "view_value"}), events("view")),
+        (FeatureLookup("clicks", "user_id", ["value"], "ts", {"value": "click_value"}, timedelta(days=7)), events("click")),
+        (FeatureLookup("customer", "user_id", ["c_mktsegment"], rename_outputs={"c_mktsegment": "segment"}), customers),
+        (FeatureLookup("orders", "user_id", ["n_orders"], default_values={"n_orders": 0}), orders),
+    ]
+    return training(_purchases(spark, d), lookups, "amount", ["user_id", "ts"])
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
 def missing_keys(spark, d):
     return _by_key(spark, d, "left_anti")
