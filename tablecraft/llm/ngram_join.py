@@ -72,8 +72,12 @@ def _scan(size: int, look: int) -> callable:
                 counts.append(len(found))
                 first.append(found[found < np.uint64(look)].view(np.int64))
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(counts, pa.int64()), lists(first, pa.int64())],
-                ["doc_id", "high", "low", "n_shingles", "first"],
+                [
+                    *(batch.column(c) for c in ("doc_id", "text_hash")),
+                    *(pa.array(c, pa.int64()) for c in (high, low, counts)),
+                    lists(first, pa.int64()),
+                ],
+                ["doc_id", "text_hash", "high", "low", "n_shingles", "first"],
             )
 
     return scan
@@ -305,7 +309,7 @@ def ngram_join(
     """Group documents whose n-gram sets have a Jaccard similarity of at least ``over / under``.
 
     Returns one row per row of ``docs``: doc_id, n_shingles, class_id (smallest id with the same words), component_id
-    (smallest id reachable over links, itself included). ASCII letters are lower-cased; words are separated by ASCII
+    (smallest id reachable over links, itself included), text_hash (``xxhash64``, to tell rows of one id apart). ASCII letters are lower-cased; words are separated by ASCII
     white space. See the module for the method and for nulls, empty texts and repeated rows.
     """
     if not 0 < over <= under:
@@ -315,7 +319,9 @@ def ngram_join(
     # again and a twentieth of all features, so that most sets without a partner show more than that.
     look = min(2**64 - 1, 2**64 * (30 * (under - over) + under) // (20 * under))
     scanned = keep(
-        plain.mapInArrow(_scan(size, look), "doc_id long, high long, low long, n_shingles long, first array<long>"),
+        plain.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+            _scan(size, look), "doc_id long, text_hash long, high long, low long, n_shingles long, first array<long>"
+        ),
         "scanned",
     )
     rows = keep(scanned.drop("first"), "documents")
@@ -360,13 +366,16 @@ def ngram_join(
         "n_shingles",
         F.coalesce("class_id", "doc_id").alias("class_id"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
+        "text_hash",
     )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the smallest id of each group kept; rows without an id and rows with an empty set stay.
 
-    Rows that repeat an id and its text are one document and stay together.
+    Rows that repeat an id are judged by their texts: those of an id and a text that stay or go do so together.
     """
-    groups = ngram_join(docs, id_col=id_col, text_col=text_col, **options)
-    return without_documents(docs, groups.filter("doc_id != component_id").select("doc_id"), id_col)
+    groups = ngram_join(docs, id_col=id_col, text_col=text_col, **options).filter("doc_id != component_id")
+    row = F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")))
+    keyed = docs.withColumn("__row", F.when(F.col(id_col).isNotNull(), row))
+    return without_documents(keyed, groups.select(F.xxhash64("doc_id", "text_hash")), "__row").drop("__row")

@@ -213,6 +213,12 @@ def judge(
     )
 
 
-def good_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rejected ones; a row without an id can't be told from others and stays."""
-    return without_documents(docs, judge(docs, id_col=id_col, **options).filter("not kept").select("doc_id"), id_col)
+def good_documents(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options
+) -> DataFrame:
+    """``docs`` without the rejected ones; rows are judged one by one, whatever their id."""
+    # All that a verdict depends on: rows that agree in it share the verdict. Nulls count, as hashes pass over them.
+    seen = [F.col(c).cast("string") for c in (text_col, lang_col, source_col)]
+    keyed = docs.withColumn("__row", F.xxhash64(*seen, *[c.isNull() for c in seen]))
+    verdicts = judge(keyed, id_col="__row", text_col=text_col, lang_col=lang_col, source_col=source_col, **options)
+    return without_documents(keyed, verdicts.filter("not kept").select("doc_id"), "__row").drop("__row")

@@ -130,3 +130,10 @@ def test_components_of_long_paths(spark):
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert found == {**{i: 0 for i in range(201)}, 300: 300, 400: 300, 500: 300}
     assert components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
+
+
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    a, b = (" ".join(f"{p}{i}" for i in range(40)) for p in "ab")
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, a), (7, None), (7, a + " more")]
+    kept = m.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, spark.createDataFrame([(1, a), (5, b), (5, b), (None, a), (7, None)], kept.schema).collect()))

@@ -64,3 +64,15 @@ def test_few_rows_meet_the_base_rule_only(odd_docs, no_docs):
     assert m.judge(no_docs).count() == 0
     kept = m.good_documents(odd_docs)
     assert kept.columns == odd_docs.columns
+
+
+def test_rows_of_one_id_are_judged_one_by_one(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    good = [" ".join(rng.choice(words) for _ in range(120)) for _ in range(300)]
+    rows = [(i, t, "en", "src") for i, t in enumerate(good)]
+    rows += [(3, "too short", "en", "src"), (None, "short as well", "en", None), (None, good[0], "en", "src"), (4, None, None, None)]
+    kept = m.good_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {(3, good[3]), (None, good[0])} <= {(r.doc_id, r.text) for r in kept}
+    assert not any(r.text in ("too short", "short as well", None) for r in kept)
+    assert kept[0].__fields__ == ["doc_id", "text", "lang", "source"]
