@@ -216,26 +216,34 @@ def forward_backward(emission: np.ndarray, mask: np.ndarray, chain: np.ndarray,
     return marginal.T, pairs, scale
 
 
-def fit_chain(found: list[list[tuple[int, ...]]], labels: list[list[int]], times: list[int], size: int, steps: int = 90, ridge: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+def fit_chain(found: list[list[tuple[int, ...]]], labels: list[list[int]], times: list[int], size: int, **options) -> tuple[np.ndarray, np.ndarray]:
+    """``fit_flat`` for sentences as the features and the labels of their tokens."""
+    tokens = list(chain.from_iterable(found))
+    flat = (map(len, found), map(len, tokens), chain.from_iterable(tokens), chain.from_iterable(labels), times)
+    return fit_flat(*(np.fromiter(v, np.int64) for v in flat), size, **options)
+
+
+def fit_flat(lengths: np.ndarray, held: np.ndarray, features: np.ndarray, labels: np.ndarray, times: np.ndarray, size: int, steps: int = 90, ridge: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the features (the last is the bias) and of the chain, by gradient ascent on the likelihood.
 
-    ``times`` tells how often each sentence occurs.
+    ``lengths`` are the tokens of each sentence, ``held`` the features of each token; ``times`` tells how often each
+    sentence occurs.
     """
-    lengths = np.array([len(own) for own in found])
     order = np.argsort(lengths, kind="stable")
+    firsts, held_before = np.cumsum(lengths) - lengths, np.cumsum(held, dtype=np.int64) - held
     groups = []
     for at in range(0, len(order), AT_ONCE):
         chosen = order[at : at + AT_ONCE]
-        length = int(lengths[chosen].max())
-        mask, truth = np.arange(length) < lengths[chosen][:, None], np.zeros((len(chosen), length))
-        places, ids = [], []
-        for row, n in enumerate(chosen.tolist()):
-            truth[row, : len(labels[n])] = labels[n]
-            for t, own in enumerate(found[n]):
-                places.extend([row * length + t] * len(own))
-                ids.extend(own)
-        groups.append((mask, truth, np.array(places, np.int64), np.array(ids, np.int64), np.array([times[n] for n in chosen], float)))
-    total = float(sum(times)) or 1.0
+        place = np.arange(int(lengths[chosen].max()))
+        mask = place < lengths[chosen][:, None]
+        tokens = (firsts[chosen][:, None] + place)[mask]
+        truth = np.zeros(mask.shape, bool)
+        truth[mask] = labels[tokens]
+        own = held[tokens].astype(np.int64)
+        ends = np.cumsum(own)
+        ids = features[np.repeat(held_before[tokens] - ends + own, own) + np.arange(own.sum())]
+        groups.append((mask, truth, np.repeat(np.flatnonzero(mask), own), ids, times[chosen].astype(float)))
+    total = float(times.sum()) or 1.0
     value = np.zeros(size + 1 + 4)
     value[size] = -3.0
     mean, square = np.zeros_like(value), np.zeros_like(value)
@@ -383,11 +391,16 @@ def _lessons(chosen: list[str], known: dict[str, int]) -> Callable:
 
 
 def _fitted(size: int) -> Callable:
+    def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """The lessons as numbers behind each other: a Python object per token would take ten times the memory."""
+        tokens = batch.column("features").flatten()
+        kinds = (np.int32, np.int16, np.int32, np.int8, np.int64)
+        columns = (batch.column("features").value_lengths(), tokens.value_lengths(), tokens.flatten(), batch.column("marks").flatten(), batch.column("times"))
+        return tuple(column.to_numpy().astype(kind) for column, kind in zip(columns, kinds, strict=True))
+
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lessons = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("features", "marks", "times")), strict=True)]
-        lessons.sort()
-        found, marks, times = zip(*lessons, strict=True) if lessons else ((), (), ())
-        weights, steps = fit_chain(found, marks, times, size)
+        lessons = [np.concatenate(v) for v in zip(*map(flat, batches), strict=True)] or [np.zeros(0, np.int64)] * 5
+        weights, steps = fit_flat(*lessons, size)
         yield pa.record_batch([pa.array([v.tolist()], pa.list_(pa.float64())) for v in (weights, steps)], ["weights", "chain"])
 
     return fitted
@@ -475,7 +488,9 @@ def learn(
     names = toxic.mapInArrow(_known_terms(chosen), "term string").distinct().collect()
     known = {name: n for n, name in enumerate(sorted(r["term"] for r in names))}
     lessons = both.mapInArrow(_lessons(chosen, known), LESSONS).groupBy("features", "marks").agg(F.sum("times").alias("times"))
-    fitted = lessons.coalesce(1).mapInArrow(_fitted(len(known)), "weights array<double>, chain array<double>").first()
+    # In one order, so that sums come out the same; Spark sorts them, which can spill.
+    lessons = lessons.coalesce(1).sortWithinPartitions("features", "marks")
+    fitted = lessons.mapInArrow(_fitted(len(known)), "weights array<double>, chain array<double>").first()
     model = {"known": known, "weights": list(fitted["weights"]), "chain": list(fitted["chain"])}
     seen = both.mapInArrow(_evidence(model), "label int, some double, amount double").collect()
     seen = np.array(sorted(tuple(r) for r in seen), float)

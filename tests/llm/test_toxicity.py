@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import functools
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tablecraft.llm import toxicity as m
@@ -75,6 +78,27 @@ def test_sentences_that_occur_often_weigh_as_often():
     assert all(np.allclose(a, b) for a, b in zip(often, each, strict=True))
 
 
+def test_fitting_takes_few_bytes_a_token(monkeypatch):
+    monkeypatch.setattr(m, "fit_flat", functools.partial(m.fit_flat, steps=1))
+    monkeypatch.setattr(m, "AT_ONCE", 256)
+    sentences, length = 10_000, 20
+    rows = {
+        "features": pa.array([[[n % 2]] + [[]] * (length - 1) for n in range(sentences)], pa.list_(pa.list_(pa.int32()))),
+        "marks": pa.array([[1] + [0] * (length - 1)] * sentences, pa.list_(pa.int32())),
+        "times": pa.array([1] * sentences, pa.int64()),
+    }
+    batch = pa.record_batch(list(rows.values()), list(rows))
+    tracemalloc.start()
+    try:
+        (fitted,) = m._fitted(2)(iter([batch.slice(0, 6000), batch.slice(6000)]))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(fitted.column("weights")[0]) == 3 and most < 50 * sentences * length
+    (nothing,) = m._fitted(2)(iter([]))
+    assert len(nothing.column("weights")[0]) == 3
+
+
 def test_sentences_and_spans():
     text = "One bad. two\nbad bad three? " + "x " * 100 + "bad"
     own = [word == "bad" for word in m.TOKEN.findall(text)]
