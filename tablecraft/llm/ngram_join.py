@@ -12,10 +12,12 @@ Steps, each over stored tables:
    bound on the symmetric difference fixes a first-level partition of the domain, split again into second-level
    parts; a signature is a subset of the second-level parts of one first-level part. By the pigeonhole principle,
    linked sets share a signature that is not empty, or all their signatures are kept.
-4. A few sets that share a signature are compared with each other. More of them are compared with one of them, the hub
-   (the set with most company), not with each other. Two sets that were compared with one hub need a comparison of their own only if one of them is not linked
-   with it; then their differences from the hub overlap, and a prefix of the rarer elements of these differences finds
-   the pair. Crowded places in that index get a hub again, so no group is ever compared pair by pair.
+4. A few sets that share a signature are compared with each other. More of them make a crowd. Crowds of one band that
+   have sets in common make a family, and all sets of a family are compared with one of them, the hub (the set with most
+   company), not with each other: a set has one hub a band, however many crowds it is in. Two sets that were compared
+   with one hub need a comparison of their own only if one of them is not linked with it; then their differences from the
+   hub overlap, and a prefix of the rarer elements of these differences finds the pair. Crowded places in that index get
+   a hub each, so no group is ever compared pair by pair.
 5. Links make components.
 
 Features are 64-bit hashes; two different features or word sequences get the same one with a probability of 2^-64 a
@@ -150,16 +152,19 @@ def part_signatures(items: np.ndarray, band: int, distance: int) -> np.ndarray:
     return out[~empty] if empty.any(0).sum() <= spare else out.ravel()
 
 
-def signatures(items: np.ndarray, over: int, under: int, limits: list[tuple[int, int]]) -> np.ndarray:
-    """All PartEnum signatures of a set: for its own band and, where a larger partner may lie there, for the next."""
+def band_signatures(items: np.ndarray, over: int, under: int, limits: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray]]:
+    """Bands and the PartEnum signatures of a set there: its own band and, where a larger partner may lie there, the next."""
     size = len(items)
     own = int(np.searchsorted([low for low, _ in limits], size, side="right")) - 1
-    found = []
     for band in (own, own + 1):
         if band == own or size * under // over >= limits[band][0]:
             distance = (under - over) * 2 * limits[band][1] // (under + over)
-            found.append(part_signatures(items, band, distance))
-    return np.concatenate(found)
+            yield band, part_signatures(items, band, distance)
+
+
+def signatures(items: np.ndarray, over: int, under: int, limits: list[tuple[int, int]]) -> np.ndarray:
+    """All PartEnum signatures of a set."""
+    return np.concatenate([found for _, found in band_signatures(items, over, under, limits)])
 
 
 def _signed(over: int, under: int) -> callable:
@@ -168,28 +173,43 @@ def _signed(over: int, under: int) -> callable:
         for batch in batches:
             sids = batch.column("sid")
             for at in range(0, len(sids), 512):
-                found, owners = [], []
+                found, owners, of_band = [], [], []
                 column = batch.column("items").slice(at, 512)
                 for sid, items in zip(sids.slice(at, 512).to_pylist(), column, strict=True):
                     values = items.values.to_numpy().view(np.uint64)
                     if len(values) >= limits[-1][0]:
                         limits = bands(2 * len(values), over, under)
-                    own = signatures(values, over, under, limits)
-                    found.append(own)
-                    owners.append(np.full(len(own), sid, np.int64))
-                yield pa.record_batch(
-                    [pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(owners))], ["place", "sid"]
-                )
+                    for band, own in band_signatures(values, over, under, limits):
+                        found.append(own)
+                        owners.append(np.full(len(own), sid, np.int64))
+                        of_band.append(np.full(len(own), band, np.int32))
+                columns = (np.concatenate(found).view(np.int64), np.concatenate(owners), np.concatenate(of_band))
+                yield pa.record_batch(list(map(pa.array, columns)), ["place", "sid", "band"])
 
     return sign
 
 
 def _crowds(places: DataFrame) -> DataFrame:
-    """Rows (place, sid) of the places that hold two sets or more, with the number of sets."""
+    """Rows (place, sid, band) of the places that hold two sets or more, with the number of sets."""
     counts = places.groupBy("place").agg(F.count("*").alias("company")).filter("company > 1")
     return keep(places.join(counts, "place"), "crowds")
 
 
+def _family_spokes(crowds: DataFrame) -> DataFrame:
+    """Each set beside the hub of its family, the set with most company there; at most one hub per set and band.
+
+    Sets that share a place are in one family. The sizes in a band are close, so the hub is as large as its sets, about.
+    """
+    member = F.xxhash64("band", "sid")
+    company = crowds.groupBy("band", "sid").agg(F.sum("company").alias("company")).withColumn("node", member)
+    nodes = crowds.select("place", member.alias("node"))
+    least = nodes.groupBy("place").agg(F.min("node").alias("least"))
+    families = keep(components(nodes.join(least, "place"), "node", "least"), "families")
+    company = company.join(families, "node")
+    hubs = company.groupBy("component").agg(F.max_by("sid", F.struct("company", "sid")).alias("hub"))
+    return company.join(hubs, "component").filter("sid != hub").select("hub", "sid").distinct()
+
+
 def _spokes(crowds: DataFrame) -> DataFrame:
     """Each set of a place beside the hub of the place: the set with most company over all places."""
     company = crowds.groupBy("sid").agg(F.sum("company").alias("company"))
@@ -258,7 +278,7 @@ def _deltas(spokes: DataFrame, over: int, under: int) -> DataFrame:
 
 def _links(sets: DataFrame, over: int, under: int) -> DataFrame:
     """Links (hub, sid) that join all linked sets into their components."""
-    signed = keep(sets.mapInArrow(_signed(over, under), "place long, sid long"), "signatures")
+    signed = keep(sets.mapInArrow(_signed(over, under), "place long, sid long, band int"), "signatures")
     crowds = _crowds(signed)
     discard(signed)
     few = crowds.filter(F.col("company") <= PAIRED_SETS).select("place", "sid")
@@ -268,8 +288,9 @@ def _links(sets: DataFrame, over: int, under: int) -> DataFrame:
     compared = keep(_compared(pairs, sets, over, under, differences=False), "pairs")
     found, allowed = [compared.filter("linked").select("hub", "sid")], PAIRED_MEMBERS
     crowds = crowds.filter(F.col("company") > PAIRED_SETS)
+    spokes_of = _family_spokes
     while crowds.limit(1).count():
-        spokes = keep(_compared(_spokes(crowds), sets, over, under, differences=True), "spokes")
+        spokes = keep(_compared(spokes_of(crowds), sets, over, under, differences=True), "spokes")
         found.append(spokes.filter("linked").select("hub", "sid"))
         rows = keep(_deltas(spokes, over, under), "index")
         places = rows.groupBy("hub", "element").agg(
@@ -300,6 +321,7 @@ def _links(sets: DataFrame, over: int, under: int) -> DataFrame:
             "crowds",
         )
         allowed *= 8
+        spokes_of = _spokes
     return functools.reduce(DataFrame.union, found, sets.select(F.col("sid").alias("hub"), "sid").limit(0))
 
 

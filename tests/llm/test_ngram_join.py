@@ -84,6 +84,20 @@ def test_crowded_places_get_hubs_of_their_own(spark, monkeypatch):
     assert got == brute(docs, 3, 90, 100)
 
 
+def test_sets_have_one_hub_a_band(spark):
+    places = {k: (3, range(k, k + 8)) for k in range(12)} | {100: (4, range(8)), 101: (4, range(50, 58)), 102: (5, range(50, 57))}
+    rows = [(place, sid, band, len(sids)) for place, (band, sids) in places.items() for sid in sids]
+    crowds = spark.createDataFrame(rows, "place long, sid long, band int, company long").coalesce(1)
+    hubs = {}
+    for r in m._family_spokes(crowds).collect():
+        hubs.setdefault(r.sid, set()).add(r.hub)
+    # Crowds that overlap in band 3 have one hub: the set in most of them, with most company.
+    assert all(len(hubs[sid]) == 1 for sid in range(8, 19) if sid in hubs) and all(len(own) <= 2 for own in hubs.values())
+    for _, sids in places.values():
+        assert set.intersection(*(hubs.get(sid, set()) | {sid} for sid in sids))
+    assert len(set().union(*hubs.values())) <= 4
+
+
 @pytest.mark.parametrize(("over", "under"), [(90, 100), (80, 100), (3, 4)])
 def test_linked_sets_share_a_signature(over, under):
     rng = np.random.default_rng(1)
