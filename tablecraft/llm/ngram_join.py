@@ -12,12 +12,14 @@ Steps, each over stored tables:
    bound on the symmetric difference fixes a first-level partition of the domain, split again into second-level
    parts; a signature is a subset of the second-level parts of one first-level part. By the pigeonhole principle,
    linked sets share a signature that is not empty, or all their signatures are kept.
-4. A few sets that share a signature are compared with each other. More of them make a crowd. Crowds of one band that
-   have sets in common make a family, and all sets of a family are compared with one of them, the hub (the set with most
-   company), not with each other: a set has one hub a band, however many crowds it is in. Two sets that were compared
-   with one hub need a comparison of their own only if one of them is not linked with it; then their differences from the
-   hub overlap, and a prefix of the rarer elements of these differences finds the pair. Crowded places in that index get
-   a hub each, so no group is ever compared pair by pair.
+4. A few sets that share a signature are compared with each other. More of them make a crowd, and crowds of one band that
+   have sets in common make a family. Linked sets of a family share one of their rarer elements there, so places of
+   these take the place of signatures: most sets of a family have no partner and are in none of them. What is crowded
+   again makes families once more, of sets that are alike, and all sets of such a family are compared with one of them, the
+   hub (the set with most company), not with each other: a set has one hub a band, however many crowds it is in. Two sets
+   that were compared with one hub need a comparison of their own only if one of them is not linked with it; then their
+   differences from the hub overlap, and a prefix of the rarer elements of these differences finds the pair. Crowded places
+   in that index get a hub each, so no group is ever compared pair by pair.
 5. Links make components.
 
 Features are 64-bit hashes; two different features or word sequences get the same one with a probability of 2^-64 a
@@ -195,21 +197,52 @@ def _crowds(places: DataFrame) -> DataFrame:
     return keep(places.join(counts, "place"), "crowds")
 
 
-def _family_spokes(crowds: DataFrame) -> DataFrame:
-    """Each set beside the hub of its family, the set with most company there; at most one hub per set and band.
-
-    Sets that share a place are in one family. The sizes in a band are close, so the hub is as large as its sets, about.
-    """
+def _families(crowds: DataFrame) -> DataFrame:
+    """Sets of each band with their company and the ``component`` of crowds that have sets in common."""
     member = F.xxhash64("band", "sid")
     company = crowds.groupBy("band", "sid").agg(F.sum("company").alias("company")).withColumn("node", member)
     nodes = crowds.select("place", member.alias("node"))
     least = nodes.groupBy("place").agg(F.min("node").alias("least"))
     families = keep(components(nodes.join(least, "place"), "node", "least"), "families")
-    company = company.join(families, "node")
+    return company.join(families, "node")
+
+
+def _family_spokes(crowds: DataFrame) -> DataFrame:
+    """Each set beside the hub of its family, the set with most company there; at most one hub per set and band.
+
+    Sets that share a place are in one family. The sizes in a band are close, so the hub is as large as its sets, about.
+    """
+    company = _families(crowds)
     hubs = company.groupBy("component").agg(F.max_by("sid", F.struct("company", "sid")).alias("hub"))
     return company.join(hubs, "component").filter("sid != hub").select("hub", "sid").distinct()
 
 
+def _rare_crowds(crowds: DataFrame, sets: DataFrame, over: int, under: int) -> DataFrame:
+    """Crowds of the same form, by rare elements: linked sets that share a place share one of these.
+
+    A set has at least ``over / under`` of its elements in common with a partner, which is in its family. So the elements
+    that a family has most often, one fewer than that share, can't be all that they have in common: one of the rarer ones
+    is. A set that has too few elements in common with its whole family is in no crowd.
+    """
+    families = _families(crowds).select("component", "band", "sid")
+    rows = families.join(sets, "sid").select(
+        "component",
+        "band",
+        "sid",
+        F.ceil(F.size("items") * F.lit(over) / F.lit(under)).alias("needed"),
+        F.explode("items").alias("element"),
+    )
+    rows = keep(rows, "family-elements")
+    counts = rows.groupBy("component", "element").agg(F.count("*").alias("often")).filter("often > 1")
+    ranked = Window.partitionBy("component", "sid").orderBy(F.desc("often"), F.desc("element"))
+    return _crowds(
+        rows.join(counts, ["component", "element"])
+        .withColumn("rank", F.row_number().over(ranked))
+        .filter("rank >= needed")
+        .select(F.xxhash64("component", "element").alias("place"), "sid", "band")
+    )
+
+
 def _spokes(crowds: DataFrame) -> DataFrame:
     """Each set of a place beside the hub of the place: the set with most company over all places."""
     company = crowds.groupBy("sid").agg(F.sum("company").alias("company"))
@@ -281,13 +314,19 @@ def _links(sets: DataFrame, over: int, under: int) -> DataFrame:
     signed = keep(sets.mapInArrow(_signed(over, under), "place long, sid long, band int"), "signatures")
     crowds = _crowds(signed)
     discard(signed)
-    few = crowds.filter(F.col("company") <= PAIRED_SETS).select("place", "sid")
-    pairs = (
-        few.withColumnRenamed("sid", "hub").join(few, "place").filter("hub < sid").select("hub", "sid").distinct()
-    )
-    compared = keep(_compared(pairs, sets, over, under, differences=False), "pairs")
-    found, allowed = [compared.filter("linked").select("hub", "sid")], PAIRED_MEMBERS
-    crowds = crowds.filter(F.col("company") > PAIRED_SETS)
+    found, allowed = [], PAIRED_MEMBERS
+    for by_signatures in (True, False):
+        few = crowds.filter(F.col("company") <= PAIRED_SETS).select("place", "sid")
+        pairs = (
+            few.withColumnRenamed("sid", "hub").join(few, "place").filter("hub < sid").select("hub", "sid").distinct()
+        )
+        compared = keep(_compared(pairs, sets, over, under, differences=False), "pairs")
+        found.append(compared.filter("linked").select("hub", "sid"))
+        crowds = crowds.filter(F.col("company") > PAIRED_SETS)
+        if not crowds.limit(1).count():
+            break
+        if by_signatures:
+            crowds = _rare_crowds(crowds, sets, over, under)
     spokes_of = _family_spokes
     while crowds.limit(1).count():
         spokes = keep(_compared(spokes_of(crowds), sets, over, under, differences=True), "spokes")

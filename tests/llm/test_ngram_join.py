@@ -98,6 +98,46 @@ def test_sets_have_one_hub_a_band(spark):
     assert len(set().union(*hubs.values())) <= 4
 
 
+def test_sets_without_a_partner_in_their_family_meet_no_hub(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(140)]
+
+    def edited(number, edits):
+        words = list(base)
+        for at in rng.sample(range(140), edits):
+            words[at] = f"x{number}y{at}"
+        return " ".join(words)
+
+    # All share signatures with many others; those of 12 edits are linked with nothing, those of one with each other.
+    docs = {n: edited(n, 12 if n < 300 else 1) for n in range(320)}
+    stored, keep = {}, m.keep
+
+    def counted(df, purpose):
+        kept = keep(df, purpose)
+        stored[purpose] = stored.get(purpose, 0) + kept.count()
+        return kept
+
+    monkeypatch.setattr(m, "keep", counted)
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in m.ngram_join(frame, 5, 80, 100).collect()}
+    assert got == brute(docs, 5, 80, 100)
+    assert 0 < stored["spokes"] <= 20
+
+
+@pytest.mark.parametrize(("over", "under"), [(90, 100), (80, 100), (2, 3)])
+def test_linked_sets_of_a_family_share_a_rare_crowd(spark, over, under):
+    rng = random.Random(over)
+    base = list(range(90))
+    sets = {n: {*base} - set(rng.sample(base, k := rng.randint(0, 14))) | {rng.randrange(100, 140) for _ in range(k)} for n in range(60)}
+    crowds = spark.createDataFrame([(1, n, 7, 60) for n in sets], "place long, sid long, band int, company long")
+    frame = spark.createDataFrame([(n, sorted(own)) for n, own in sets.items()], "sid long, items array<long>")
+    places = {}
+    for r in m._rare_crowds(crowds, frame, over, under).collect():
+        places.setdefault(r.sid, set()).add(r.place)
+    linked = [(a, b) for a in sets for b in sets if a < b and under * len(sets[a] & sets[b]) >= over * len(sets[a] | sets[b])]
+    assert linked and all(places[a] & places[b] for a, b in linked)
+
+
 @pytest.mark.parametrize(("over", "under"), [(90, 100), (80, 100), (3, 4)])
 def test_linked_sets_share_a_signature(over, under):
     rng = np.random.default_rng(1)
