@@ -14,7 +14,7 @@ pass; equal ids are told apart by their place in the input, so a repeated id fil
 blocks side by side, checks both checksums, and raises ``ValueError`` on damage.
 
 Ids come from the tokenizers library. It drops white space and never joins across it, so texts are cut at ASCII white
-space and each distinct stretch goes through the library once per task and bound.
+space and each distinct stretch goes through the library once per task and bound, many plain ones in one text.
 
 Defined results: a null or empty text is the closing id alone; rows that repeat an id are documents of their own, in the
 order of the input; null ids come first; the id column keeps its type; an empty table gives no rows.
@@ -41,6 +41,8 @@ from tablecraft.session import working_dir
 CLOSING_ID = 1
 FILE_BYTES = 32 << 20
 CACHED_STRETCHES = 1_000_000
+# Stretches that go through the library in one text.
+JOINED_STRETCHES = 1024
 SLICE_ROWS = 256
 # Mark, version, ids, CRC-32 of the ids as unsigned 32-bit little-endian numbers, CRC-32 of the coded words.
 HEADER = "<4sHHIII"
@@ -57,6 +59,11 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self.size = self._tokenizer.get_vocab_size()
+        self._added = [t.content.encode() for t in self._tokenizer.get_added_tokens_decoder().values()]
+        # Bytes of the text that each id stands for, where an entry has one character a byte and a mark at the end of words.
+        self._bytes = np.zeros(self.size, np.int64)
+        for entry, number in self._tokenizer.get_vocab().items():
+            self._bytes[number] = len(entry.removesuffix("</w>"))
         self._forget()
 
     def _forget(self) -> None:
@@ -64,12 +71,35 @@ class WordEncoder:
         self._known: dict[bytes, int] = {}
         self._firsts, self._ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
 
-    def _learn(self, stretches: list[bytes]) -> None:
+    def _together(self, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain stretches from one call on all of them, and how many each has, told by the bytes of the ids."""
+        text = b" ".join(stretches).decode()
+        ids = np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        ends, wanted = np.cumsum(self._bytes[ids]), np.cumsum([len(s) for s in stretches])
+        last = np.searchsorted(ends, wanted)
+        if not len(ends) or ends[-1] != wanted[-1] or (ends[last] != wanted).any():
+            return self._apart(stretches)
+        return ids, np.diff(last, prepend=-1)
+
+    def _apart(self, stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self._tokenizer.encode_batch_fast([s.decode() for s in stretches], add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum())), counts
+
+    def _learn(self, stretches: list[bytes]) -> None:
+        # ASCII and the letters from U+00C0 to U+00FF keep their bytes in lower case and by composition, others may not;
+        # special ids stand for texts of their own.
+        plain, others = [], []
+        for own in stretches:
+            simple = own.isascii() or max(own) <= 0xC3 and b"\xc2" not in own
+            (plain if simple and not any(mark in own for mark in self._added) else others).append(own)
+        parts = [self._together(plain[at : at + JOINED_STRETCHES]) for at in range(0, len(plain), JOINED_STRETCHES)]
+        parts.append(self._apart(others))
+        stretches = plain + others
         self._known.update(zip(stretches, range(len(self._known), len(self._known) + len(stretches)), strict=True))
-        ends = np.cumsum([len(own) for own in found]) + len(self._ids)
+        ends = np.cumsum(np.concatenate([counts for _, counts in parts])) + len(self._ids)
         self._firsts = np.concatenate([self._firsts, ends])
-        self._ids = np.concatenate([self._ids, np.fromiter(chain.from_iterable(found), np.uint32)])
+        self._ids = np.concatenate([self._ids, *(ids for ids, _ in parts)])
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts behind each other, and how many each text has."""

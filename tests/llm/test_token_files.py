@@ -32,6 +32,23 @@ def test_stretches_give_the_ids_of_whole_texts(tokenizer, odd_texts):
     assert [v.tolist() for v in encode(["", " \n"])] == [[], [0, 0]]
 
 
+def test_plain_stretches_share_calls(tokenizer, odd_texts, monkeypatch):
+    encode = m.public_encoder()
+    apart, counted = encode._apart, []
+    monkeypatch.setattr(encode, "_apart", lambda stretches: counted.extend(stretches) or apart(stretches))
+    rng = random.Random(6)
+    plain = ["".join(chr(rng.randrange(33, 127)) for _ in range(rng.randint(1, 12))) + rng.choice(["", "\x1c", "\x1f", "\x00", "\x7f"]) for _ in range(20_000)]
+    plain += [c + rng.choice(["", "a", "é", "'S"]) + d for c in map(chr, range(0xC0, 0x100)) for d in "xÀß×!"] + ["'s", "''s", "I'LL", "<|", "|>", "</w>", "a</w>"]
+    texts = [" ".join(plain[at : at + 50]) for at in range(0, len(plain), 50)] + odd_texts[:200] + ["<|endoftext|>", "a<|startoftext|>b"]
+    ids, lengths = encode(texts)
+    for text, own in zip(texts, np.split(ids, np.cumsum(lengths)[:-1]), strict=True):
+        assert own.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    # Only what has characters beyond these or holds a special token goes through the library by itself.
+    assert counted and all(b"<|" in s or any(c > "ÿ" or "\x7f" < c < "À" for c in s.decode()) for s in counted)
+    known = set(encode._known)
+    assert {p.encode() for p in plain} <= known and not {p.encode() for p in plain} & set(counted)
+
+
 @pytest.mark.parametrize("vocabulary", [1, 2, 700, 49_408, 1 << 20])
 @pytest.mark.parametrize("steps,lanes", [(1, 1), (2, 3), (31, 4), (33, 5), (2048, 2), (700, 40)])
 def test_coder_round_trip(vocabulary, steps, lanes):
